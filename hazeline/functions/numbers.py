@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,16 +51,86 @@ def falsy_or(first: Column, second: Column) -> Column:
     return F.coalesce(F.when(first != 0, first), second)
 
 
+# Adding and subtracting this rounds a double to a multiple of 2**-16.
+_GRID = 1.5 * 2.0**36
+_GRID_RANGE = 2.0**35
+# Multiplying by this splits a double into two halves of 26 bits.
+_SPLIT = 2.0**27 + 1
+
+
+def _on_grid(value: Column) -> Column:
+    return F.when(F.abs(value) < _GRID_RANGE, (value + _GRID) - _GRID).otherwise(value)
+
+
+def _off_grid(value: Column) -> Column:
+    return F.when(F.abs(value) < _GRID_RANGE, value - ((value + _GRID) - _GRID)).otherwise(0.0)
+
+
+def _halves(value: Column) -> tuple[Column, Column]:
+    scaled = value * _SPLIT
+    high = scaled - (scaled - value)
+    return high, value - high
+
+
+def _quotient(coarse: Column, fine: Column, n: Column) -> Column:
+    """The double nearest to (coarse + fine) / n."""
+
+    def corrected(q: Column) -> Column:
+        high, low = _halves(q["q"])
+        rest = ((q["t"] - high * n) - low * n) + q["left"]
+        return F.when(F.abs(q["q"]) < _GRID_RANGE, q["q"] + rest / n).otherwise(q["q"])
+
+    total = coarse + fine
+    parts = F.struct(total.alias("t"), (fine - (total - coarse)).alias("left"), (total / n).alias("q"))
+    return _with(parts, corrected)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often the result refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def round_exact(value: Column, places: int = 4) -> Column:
+    """Round by the exact binary value, true ties to the even digit (``round`` goes by the printed digits, half up)."""
+    scale = float(10**places)
+
+    def rounded(v: Column) -> Column:
+        size, below = v["size"], v["below"]
+        high, low = _halves(size)
+        past_tie = (high * (2 * scale) - (below * 2 + 1)) + low * (2 * scale)
+        up = F.when(past_tie > 0, 1).when(past_tie == 0, below % 2).otherwise(0)
+        return (below + up) / F.lit(scale) * F.signum(v["value"])
+
+    size = F.abs(value)
+    parts = F.struct(value.alias("value"), size.alias("size"), F.floor(size * scale).alias("below"))
+    return F.when(size < 2.0**52 / scale, _with(parts, rounded)).otherwise(value)
+
+
 def array_mean(values: Column, places: int = 4) -> Column:
-    """Mean of the non-null elements rounded to ``places``; null when there are none. No shuffle."""
-    kept = F.filter(values, lambda x: x.isNotNull())
-    total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(kept) > 0, F.round(total / F.size(kept), places))
+    """Mean of the non-null elements rounded to ``places``; null when there are none. No shuffle.
+
+    Elements are summed in two parts, so the mean is the double nearest to the exact one whatever the order.
+    """
+
+    def mean_of(kept: Column) -> Column:
+        coarse = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + ((x + _GRID) - _GRID))
+        fine = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + (x - ((x + _GRID) - _GRID)))
+        exact = _with(
+            F.struct(coarse.alias("coarse"), fine.alias("fine")),
+            lambda s: _with(_quotient(s["coarse"], s["fine"], F.size(kept)), lambda m: round_exact(m, places)),
+        )
+        plain = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x) / F.size(kept)
+        small = (F.array_max(kept) < _GRID_RANGE) & (F.array_min(kept) > -_GRID_RANGE)
+        return F.when(F.size(kept) > 0, F.when(small, exact).otherwise(plain))
+
+    return _with(F.array_compact(values), mean_of)
 
 
 def group_mean(value: Column, places: int = 4) -> Column:
-    """The same mean as an aggregate over exploded rows (partial sums before the shuffle)."""
-    return F.round(F.avg(value), places)
+    """The same mean as an aggregate over exploded rows: three plain sums with partial aggregation."""
+    n = F.count(value)
+    mean = _quotient(F.sum(_on_grid(value)), F.sum(_off_grid(value)), n)
+    return F.when(n > 0, _with(mean, lambda m: round_exact(m, places)))
 
 
 def whole_milliseconds(seconds: Column) -> Column:

@@ -23,13 +23,11 @@ def text_at(payload: Column, path: str) -> Column:
     return F.try_variant_get(payload, path, "string")
 
 
-def numbers_at(payload: Column, path: str) -> Column:
-    return F.try_variant_get(payload, path, "array<double>")
-
-
 def kind(value: Column) -> Column:
     """BIGINT, DECIMAL, DOUBLE, STRING, BOOLEAN, OBJECT, ARRAY, VOID; null for a missing value."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    schema = F.schema_of_variant(value)
+    name = F.substring_index(F.substring_index(schema, "<", 1), "(", 1)
+    return F.when(value.isNotNull(), name)
 
 
 def is_number(value_kind: Column) -> Column:
@@ -62,8 +60,20 @@ def not_a_number(value: Column) -> Column:
     return F.coalesce(spelled, ~is_number(value_kind) & (value_kind != "VOID"), F.lit(False))
 
 
-def not_numbers(payload: Column, path: str) -> Column:
-    """True for a present value that is no list, or a list with an element that is no number."""
+def not_numbers(payload: Column, path: str, typed: Column) -> Column:
+    """True for a present value that is no list, or a list with an element that is no number.
+
+    ``typed`` is the same value read as numbers: only where it has nulls are the elements looked at one by one.
+    """
     value = at(payload, path)
     items = F.try_variant_get(payload, path, "array<variant>")
-    return F.coalesce(F.exists(items, not_a_number), value.isNotNull())
+    strict = F.coalesce(F.exists(items, not_a_number), value.isNotNull())
+    return F.when(typed.isNull() | F.exists(typed, lambda x: x.isNull()), strict).otherwise(False)
+
+
+def any_of(tests: list[Column]) -> Column:
+    """Disjunction that stops at the first true test; a null test counts as false."""
+    result = F.lit(False)
+    for test in reversed(tests):
+        result = F.coalesce(test, F.lit(False)) | result
+    return result

@@ -1,20 +1,20 @@
-"""Landed provider calls: reading them and turning them into calls with a status and a record.
+"""Landed provider calls: reading them and turning them into calls with a status and record columns.
 
 The engine starts at payloads that a collector has put into files. One JSON line is one call, laid out as
-``contracts.LANDED``. Every provider is a function from the parsed payload to a record and a problem (null when the
-payload could be normalized); all of them run in one projection over one scan.
+``contracts.LANDED``. Every provider is a set of column expressions from the parsed payload to record columns and a
+problem (null when the payload could be normalized); all of them run over one scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.contracts import LANDED, MEASURES
-from hazeline.operators.bronze import UNKNOWN, call_error, call_status
+from hazeline.operators.bronze import FAILED, UNKNOWN, call_error, call_status
 from hazeline.operators.standardize import Run
 from hazeline.sources import aqicn, openmeteo, openweather
 from hazeline.sources.cities import with_city
@@ -22,17 +22,20 @@ from hazeline.sources.cities import with_city
 
 @dataclass(frozen=True)
 class Reader:
-    """Record columns (``timestamp`` text, ``status``, measures as VARIANT) and problem text, per mode."""
+    """How one provider's payload becomes record columns (``timestamp`` text, ``status``, measures as VARIANT) and a
+    problem text, for live and historical calls. ``documents`` are typed parts of a historical payload by path."""
 
     live: Callable[[Column, Column], tuple[dict[str, Column], Column]]
-    history: Callable[[Column, Column], tuple[dict[str, Column], Column]] | None
+    history: Callable[[Column, dict[str, Column], Column], tuple[dict[str, Column], Column]] | None = None
+    documents: Mapping[str, tuple[str, str]] = field(default_factory=dict)
 
 
 READERS: dict[str, Reader] = {
-    "openweather": Reader(openweather.live, openweather.history),
-    "openmeteo": Reader(openmeteo.live, openmeteo.history),
-    "aqicn": Reader(aqicn.live, None),
+    "openweather": Reader(openweather.live, openweather.history, openweather.DOCUMENTS),
+    "openmeteo": Reader(openmeteo.live, openmeteo.history, openmeteo.DOCUMENTS),
+    "aqicn": Reader(aqicn.live),
 }
+RECORD_COLUMNS = ["timestamp", "record_status", *MEASURES]
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
@@ -40,54 +43,80 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDED).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="malformed")
 
 
-def _record(values: Mapping[str, Column]) -> Column:
-    names = ["timestamp", "status", *MEASURES]
-    null = F.lit(None).cast("variant")
-    return F.struct(*[values.get(n, null).alias(n) for n in names])
+def _computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    A filter on anything derived from them cannot move below a generator, so the optimizer never copies these
+    costly expressions into the filter, where each reference would parse the payload again.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _by_source(cases: Sequence[tuple[str, Column | None, Column | None]], empty: Column) -> Column:
+    """CASE over the sources, then over live and historical, so a row evaluates its own provider only."""
+    past = F.col("data_date").isNotNull()
+    result = F.lit(None)
+    for source, live, history in reversed(cases):
+        value = F.when(past, empty if history is None else history).otherwise(empty if live is None else live)
+        result = F.when(F.col("source") == source, value).otherwise(result)
+    return result
 
 
 def to_calls(landed: DataFrame, run: Run, readers: Mapping[str, Reader] = READERS) -> DataFrame:
-    """Landed columns plus ``record`` (null when normalization broke), ``status`` and ``error``; narrow."""
-    now = F.lit(run.text)
-    day_text = F.date_format("data_date", "yyyy-MM-dd")
-    outcome = F.lit(None)
-    broken = F.coalesce(
-        F.when(F.col("source").isNull() | F.col("malformed").isNotNull(), F.lit("unreadable call")),
-        F.when(F.col("_p").isNull(), F.lit("payload is not JSON")),
-    )
-    for source, reader in readers.items():
-        for make, past in ((reader.live, False), (reader.history or reader.live, True)):
-            values, problem = make(F.col("_p"), day_text if past else now)
-            record = F.struct(_record(values).alias("record"), problem.alias("problem"))
-            outcome = F.when((F.col("source") == source) & (F.col("data_date").isNotNull() == past), record).otherwise(outcome)
-    unreadable = F.struct(F.lit(None).cast(_record_type(landed, readers)).alias("record"), broken.alias("problem"))
-    unknown_source = F.struct(F.lit(None).cast(_record_type(landed, readers)).alias("record"), F.lit("unknown source").alias("problem"))
-    columns = landed.columns if "malformed" in landed.columns else [*landed.columns, "malformed"]
+    """Landed columns, the record columns, ``status`` and ``error``. Narrow: three projections over one scan.
+
+    The payload is parsed once, typed parts are read once from it, and the columns refer to those. A call whose
+    status is failed has no record, whatever its record columns hold.
+    """
     full = landed if "malformed" in landed.columns else landed.withColumn("malformed", F.lit(None).cast("string"))
-    parsed = full.withColumn("_p", F.try_parse_json("payload"))
-    read = parsed.withColumn(
-        "_o", F.when(broken.isNotNull(), unreadable).otherwise(F.coalesce(outcome, unknown_source))
+    parsed = _computed_once(full, {"_p": F.try_parse_json("payload")})
+    past = F.col("data_date").isNotNull()
+    typed = {
+        f"_{source}_{name}": F.when((F.col("source") == source) & past, F.try_variant_get("_p", path, type_))
+        for source, reader in readers.items()
+        for name, (path, type_) in reader.documents.items()
+    }
+    read = _computed_once(parsed, typed)
+    now, day = F.lit(run.text), F.date_format("data_date", "yyyy-MM-dd")
+    modes = []
+    for source, reader in readers.items():
+        documents = {name: F.col(f"_{source}_{name}") for name in reader.documents}
+        live = reader.live(F.col("_p"), now)
+        modes.append((source, live, reader.history(F.col("_p"), documents, day) if reader.history else reader.live(F.col("_p"), day)))
+
+    def column(name: str, empty: Column) -> Column:
+        return _by_source([(s, live[0].get(name), past_[0].get(name)) for s, live, past_ in modes], empty)
+
+    unread = F.col("malformed").isNotNull() | F.col("source").isNull()
+    problem = (
+        F.when(unread, F.lit("unreadable call"))
+        .when(~F.col("source").isin(*readers), F.lit("unknown source"))
+        .when(F.col("_p").isNull(), F.lit("payload is not JSON"))
+        .otherwise(_by_source([(s, live[1], past_[1]) for s, live, past_ in modes], F.lit(None).cast("string")))
     )
-    problem, unread = F.col("_o.problem"), F.col("malformed").isNotNull() | F.col("source").isNull()
-    return read.select(
-        *[c for c in columns if c not in ("malformed", "source", "city", "payload")],
+    variant = F.lit(None).cast("variant")
+    known = read.select(
+        *[c for c in landed.columns if c not in ("malformed", "source", "city", "payload")],
         F.when(unread, UNKNOWN).otherwise(F.col("source")).alias("source"),
         F.when(unread, UNKNOWN).otherwise(F.coalesce("city", F.lit(UNKNOWN))).alias("city"),
         F.when(unread, "{}").otherwise(F.col("payload")).alias("raw_payload"),
-        F.when(problem.isNull(), F.col("_o.record")).alias("record"),
-        call_status(problem, F.col("errors")).alias("status"),
-        call_error(problem, F.col("errors")).alias("error"),
+        column("timestamp", F.lit(None).cast("string")).alias("timestamp"),
+        column("status", F.lit(None).cast("string")).alias("record_status"),
+        *[column(m, variant).alias(m) for m in MEASURES],
+        problem.alias("_problem"),
     )
-
-
-def _record_type(landed: DataFrame, readers: Mapping[str, Reader]) -> str:
-    fields = ["timestamp string", "status string", *[f"`{m}` variant" for m in MEASURES]]
-    return f"struct<{', '.join(f.replace(' ', ': ', 1) for f in fields)}>"
+    return known.withColumn("status", call_status(F.col("_problem"), F.col("errors"))).withColumn(
+        "error", call_error(F.col("_problem"), F.col("errors"))
+    ).drop("_problem")
 
 
 def to_records(calls: DataFrame, dim: DataFrame) -> DataFrame:
-    """Source records of the calls that could be normalized, with city attributes attached."""
-    read = calls.filter(F.col("record").isNotNull()).select(
-        "ord", "city", "source", "data_date", "response_time_seconds", "raw_payload", "record.*"
+    """Source records of the calls that could be normalized, with city attributes attached.
+
+    A record has its own status, which is not that of its call.
+    """
+    read = calls.filter(F.col("status") != FAILED).select(
+        "ord", "city", "source", "data_date", "response_time_seconds", "raw_payload",
+        *[c for c in RECORD_COLUMNS if c != "record_status"], F.col("record_status").alias("status"),
     )
     return with_city(read, dim)

@@ -46,12 +46,23 @@ def live(payload: Column, now: Column) -> tuple[dict[str, Column], Column]:
     return values, F.when(J.kind(current) != "OBJECT", F.lit("current weather is not an object"))
 
 
-def history(payload: Column, day: Column) -> tuple[dict[str, Column], Column]:
+def _arrays(fields: dict[str, str]) -> str:
+    return f"struct<{', '.join(f'{f}: array<double>' for f in fields.values())}>"
+
+
+# Documents of a historical payload, read once per call.
+DOCUMENTS = {
+    "weather": ("$.weather.hourly", _arrays(WEATHER)),
+    "air": ("$.air_quality.hourly", _arrays(AIR)),
+}
+
+
+def history(payload: Column, documents: dict[str, Column], day: Column) -> tuple[dict[str, Column], Column]:
     """Daily means over the hours that have a value."""
-    paths = {c: f"$.weather.hourly.{f}" for c, f in WEATHER.items()} | {
-        c: f"$.air_quality.hourly.{f}" for c, f in AIR.items()
+    arrays = {c: (f"$.weather.hourly.{f}", documents["weather"][f]) for c, f in WEATHER.items()} | {
+        c: (f"$.air_quality.hourly.{f}", documents["air"][f]) for c, f in AIR.items()
     }
-    means = {c: N.array_mean(J.numbers_at(payload, p)) for c, p in paths.items()}
+    means = {c: N.array_mean(array) for c, (_, array) in arrays.items()}
     means["aqi"] = N.half_even(means["aqi"]).try_cast("bigint")
     values = {
         "timestamp": day,
@@ -59,6 +70,5 @@ def history(payload: Column, day: Column) -> tuple[dict[str, Column], Column]:
         **{c: m.cast("variant") for c, m in means.items()},
     }
     # A field that is present but no list of numbers cannot be averaged; a missing field is no problem.
-    bad = [J.not_numbers(payload, p) for p in paths.values()]
-    problem = F.when(F.array_contains(F.array(*bad), True), F.lit("hourly values are not numbers"))
-    return values, problem
+    bad = [J.not_numbers(payload, path, array) for path, array in arrays.values()]
+    return values, F.when(J.any_of(bad), F.lit("hourly values are not numbers"))

@@ -52,57 +52,84 @@ def live(payload: Column, now: Column) -> tuple[dict[str, Column], Column]:
     }
     blocks = [J.at(payload, f"$.weather.{b}") for b in _BLOCKS] + [J.at(payload, f"{pollution}.components")]
     main = J.at(payload, f"{pollution}.main")
-    broken = F.array_contains(F.array(*[_present_but_no_object(b) for b in blocks]), True)
-    broken = broken | (J.truthy(main) & _present_but_no_object(main))
+    broken = J.any_of([*[_present_but_no_object(b) for b in blocks], J.truthy(main) & _present_but_no_object(main)])
     return values, F.when(broken, F.lit("a weather or pollution block is not an object"))
 
 
-def _items(payload: Column, path: str) -> Column:
-    """Objects of a list; other elements are skipped, and what is no list has none."""
-    listed = F.coalesce(F.try_variant_get(payload, path, "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(listed, lambda x: F.coalesce(J.kind(x) == "OBJECT", F.lit(False)))
+# Documents of a historical payload, read once per call. Rain stays a VARIANT: most items have none.
+DOCUMENTS = {
+    "weather": (
+        "$.weather.list",
+        "array<struct<main: struct<temp: double, humidity: double, pressure: double>, "
+        "wind: struct<speed: double, deg: double>, clouds: struct<`all`: double>, rain: variant>>",
+    ),
+    "air": (
+        "$.air_quality.list",
+        f"array<struct<main: struct<aqi: double>, components: struct<{', '.join(f'`{f}`: double' for f in AIR.values())}>>>",
+    ),
+}
+
+
+def _strict_items(payload: Column, path: str, blocks: dict[str, list[str]]) -> Column:
+    """True when an item has a block that is no object, or a block has a value that is no number."""
+
+    def broken(item: Column) -> Column:
+        tests = [_present_but_no_object(J.at(item, f"$.{b}")) for b in blocks]
+        tests += [J.not_a_number(J.at(item, f"$.{b}.{f}")) for b, fields in blocks.items() for f in fields]
+        return J.any_of(tests)
 
+    return F.exists(F.try_variant_get(payload, path, "array<variant>"), broken)
 
-def _mean(items: Column, path: str) -> Column:
-    return N.array_mean(F.transform(items, lambda x: J.number_at(x, path)))
 
+def _has_gap(items: Column, blocks: dict[str, list[str]]) -> Column:
+    """True when an item lacks one of the values; only then can something be wrong with it."""
+    return F.exists(items, lambda x: J.any_of([x[b][f].isNull() for b, fields in blocks.items() for f in fields]))
 
-def history(payload: Column, day: Column) -> tuple[dict[str, Column], Column]:
+
+def _mean(items: Column, block: str, field: str) -> Column:
+    return N.array_mean(items[block][field])
+
+
+def history(payload: Column, documents: dict[str, Column], day: Column) -> tuple[dict[str, Column], Column]:
     """Daily means over the items. The time stamp is that of the first weather item, else the day."""
-    weather, air = _items(payload, "$.weather.list"), _items(payload, "$.air_quality.list")
+    weather, air = documents["weather"], documents["air"]
+    first_dt = J.at(payload, "$.weather.list[0].dt")
     epoch = F.try_variant_get(payload, "$.weather.list[0].dt", "bigint")
     stamp = F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    hourly_rain = F.transform(
-        weather, lambda x: N.falsy_or(J.number_at(x, '$.rain["1h"]'), J.number_at(x, '$.rain["3h"]'))
-    )
+    rains = F.filter(weather["rain"], lambda r: r.isNotNull())
+    hourly_rain = F.transform(rains, lambda r: N.falsy_or(J.number_at(r, '$["1h"]'), J.number_at(r, '$["3h"]')))
     means = {
-        **{c: _mean(weather, f"$.{p}") for c, p in WEATHER.items()},
+        **{c: _mean(weather, *p.split(".")) for c, p in WEATHER.items()},
         "rain": N.array_mean(hourly_rain),
-        "aqi": _mean(air, "$.main.aqi"),
-        **{c: _mean(air, f"$.components.{f}") for c, f in AIR.items()},
+        "aqi": _mean(air, "main", "aqi"),
+        **{c: _mean(air, "components", f) for c, f in AIR.items()},
     }
     values = {
         "timestamp": F.coalesce(stamp, day),
         "status": F.lit("success"),
         **{c: m.cast("variant") for c, m in means.items()},
     }
-    broken_item = F.exists(
-        weather, lambda x: F.array_contains(F.array(*[_present_but_no_object(J.at(x, f"$.{b}")) for b in _BLOCKS]), True)
-    ) | F.exists(air, lambda x: _present_but_no_object(J.at(x, "$.components")))
-    paths = [(weather, f"$.{p}") for p in WEATHER.values()] + [(air, f"$.components.{f}") for f in AIR.values()]
-    paths += [(air, "$.main.aqi")]
-    not_numeric = F.array_contains(
-        F.array(*[F.exists(items, lambda x, p=p: J.not_a_number(J.at(x, p))) for items, p in paths]), True
+    weather_blocks: dict[str, list[str]] = {}
+    for path in WEATHER.values():
+        block, field = path.split(".")
+        weather_blocks.setdefault(block, []).append(field)
+    air_blocks = {"components": list(AIR.values()), "main": ["aqi"]}
+    bad_rain = F.exists(
+        rains,
+        lambda r: _present_but_no_object(r) | J.not_a_number(J.at(r, '$["1h"]')) | J.not_a_number(J.at(r, '$["3h"]')),
     )
+    broken = J.any_of([
+        _has_gap(weather, weather_blocks) & _strict_items(payload, "$.weather.list", weather_blocks),
+        bad_rain,
+        _has_gap(air, air_blocks) & _strict_items(payload, "$.air_quality.list", air_blocks),
+        first_dt.isNotNull() & ~F.is_variant_null(first_dt) & epoch.isNull(),
+    ])
     # A missing weather list is tolerated; a missing pollution list is not (unless the document is a bare list or value).
-    listed = J.at(payload, "$.air_quality.list")
-    document = J.at(payload, "$.air_quality")
+    listed, document = J.at(payload, "$.air_quality.list"), J.at(payload, "$.air_quality")
     no_list = F.when(
         listed.isNull(), ~J.truthy(document) | (J.kind(document) == "OBJECT")
     ).otherwise(J.kind(listed).isin("VOID", *J.NUMERIC_KINDS))
-    problem = (
-        F.when(F.coalesce(no_list, F.lit(True)), F.lit("pollution list is missing"))
-        .when(broken_item, F.lit("a weather or pollution block is not an object"))
-        .when(not_numeric, F.lit("values are not numbers"))
+    problem = F.when(air.isNull() & F.coalesce(no_list, F.lit(True)), F.lit("pollution list is missing")).when(
+        broken, F.lit("a weather or pollution block is not what it should be")
     )
     return values, problem
