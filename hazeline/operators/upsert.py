@@ -24,11 +24,12 @@ def merge_by_key(target: DataFrame, incoming: DataFrame, keys: Sequence[str], in
 
 
 def merge_latest(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str = "retrieved_at"
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str = "retrieved_at", ord: str | None = None
 ) -> DataFrame:
-    """The highest version of every key over both frames; on a tie the incoming row wins."""
+    """The highest version of every key over both frames; on a tie the incoming row wins, then the later arrival."""
     both = existing.withColumn("_generation", F.lit(0)).unionByName(
         incoming.withColumn("_generation", F.lit(1)), allowMissingColumns=True
     )
     order = [F.col(version).desc_nulls_last(), F.col("_generation").desc()]
+    order += [F.col(ord).desc_nulls_last()] if ord else []
     return one_per_key(both, keys, order).drop("_generation")

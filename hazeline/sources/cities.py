@@ -29,28 +29,31 @@ def cities(spark: SparkSession, rows: Sequence[tuple] = DEFAULT_CITIES) -> DataF
     return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], CITY)
 
 
-def location_ids(settings: DataFrame, mapping: str = "mapping", overrides: DataFrame | None = None) -> DataFrame:
+def location_ids(
+    settings: DataFrame, mapping: str = "mapping", order: str | None = None, overrides: DataFrame | None = None
+) -> DataFrame:
     """(key, location_id) from JSON objects of city to id.
 
     Null ids, blank names and blank ids are dropped, and text that is no JSON object gives nothing. Each pair is kept
-    under its name and under its setting key; of equal keys the last one wins. ``overrides`` has rows
-    (name, location_id) that come after the JSON settings.
+    under its name and under its setting key; of equal keys the last one wins, rows of ``settings`` being taken by
+    ``order``. ``overrides`` has rows (name, location_id) that come after the JSON settings.
     """
     parsed = F.from_json(F.col(mapping), "map<string,string>")
-    pairs = settings.select(F.posexplode(F.map_entries(parsed)).alias("position", "pair")).select(
-        F.lit(0).alias("stage"), "position", X.strip(F.col("pair.key")).alias("name"), X.strip(F.col("pair.value")).alias("location_id")
+    row = F.col(order) if order else F.lit(0)
+    pairs = settings.select(row.cast("bigint").alias("row"), F.posexplode(F.map_entries(parsed)).alias("position", "pair")).select(
+        F.lit(0).alias("stage"), "row", "position", X.strip(F.col("pair.key")).alias("name"), X.strip(F.col("pair.value")).alias("location_id")
     )
     if overrides is not None:
         pairs = pairs.unionByName(overrides.select(
-            F.lit(1).alias("stage"), F.lit(0).alias("position"),
+            F.lit(1).alias("stage"), F.lit(0).cast("bigint").alias("row"), F.lit(0).alias("position"),
             X.strip(F.col("name")).alias("name"), X.strip(F.col("location_id")).alias("location_id"),
         ))
     usable = pairs.filter((F.col("name") != "") & (F.col("location_id") != ""))
     keyed = usable.select(
-        "stage", "position", "location_id",
+        "stage", "row", "position", "location_id",
         F.posexplode(F.array("name", X.setting_key(F.col("name")))).alias("form", "key"),
     )
-    last = [F.col("stage").desc(), F.col("position").desc(), F.col("form").desc()]
+    last = [F.col(c).desc() for c in ("stage", "row", "position", "form")]
     return one_per_key(keyed, ["key"], last).select("key", "location_id")
 
 
