@@ -19,7 +19,7 @@ from hazeline.plans.stand_ins import RUN, calls, city_dim, dated, landed, measur
 from hazeline.session import shared_folder
 from hazeline.sinks import snapshots
 from hazeline.sources import cities, spine
-from hazeline.sources.landed import to_calls, to_records
+from hazeline.sources.landed import READERS, to_calls, to_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,7 +240,8 @@ def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _records(spark: SparkSession, sf_dir: str, source: str, past: bool) -> DataFrame:
     """Records of one provider with plain numbers in place of VARIANT."""
-    rows = to_records(to_calls(landed(spark, sf_dir, source, past), RUN), city_dim(spark, sf_dir))
+    read = to_calls(landed(spark, sf_dir, source, past), RUN, {source: READERS[source]})
+    rows = to_records(read, city_dim(spark, sf_dir))
     return rows.select(
         "ord", "city", "country", "latitude", "timestamp", "status", _day_text("data_date"),
         *[payload.number_at(F.col(m), "$").alias(m) for m in MEASURES],
@@ -278,8 +279,12 @@ def landed_to_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = landed(spark, sf_dir, "openmeteo", True).withColumn("ord", F.col("ord") * 2 + 1).unionByName(
         landed(spark, sf_dir, "openweather", True).withColumn("ord", F.col("ord") * 2)
     )
-    records = to_records(to_calls(both, RUN), city_dim(spark, sf_dir))
-    silver = validate.accepted(checked_records(records, RUN))
+    readers = {source: READERS[source] for source in ("openweather", "openmeteo")}
+    records = to_records(to_calls(both, RUN, readers), city_dim(spark, sf_dir))
+    # As in a run, the silver layer is written once and fusion reads it back.
+    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/landed_to_gold"
+    snapshots.write_snapshot(validate.accepted(checked_records(records, RUN)), base, "silver", RUN.run_id)
+    silver = snapshots.read_snapshot(spark, base, "silver", RUN.run_id)
     gold = fuse.fuse(silver.select("ord", *SILVER_COLUMNS, validate.RECORD_DATE), include_payload=False)
     return gold.select(
         "city", _day_text("data_date"), "source", "temperature", "humidity", "aqi", "pm25", "no", "api_version",

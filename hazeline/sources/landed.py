@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.contracts import LANDED, MEASURES
+from hazeline.functions import numbers as N
 from hazeline.operators.bronze import FAILED, UNKNOWN, call_error, call_status
 from hazeline.operators.standardize import Run
 from hazeline.sources import aqicn, openmeteo, openweather
@@ -23,16 +24,20 @@ from hazeline.sources.cities import with_city
 @dataclass(frozen=True)
 class Reader:
     """How one provider's payload becomes record columns (``timestamp`` text, ``status``, measures as VARIANT) and a
-    problem text, for live and historical calls. ``documents`` are typed parts of a historical payload by path."""
+    problem text, for live and historical calls.
+
+    ``documents`` are typed parts of a historical payload by path, ``series`` the arrays in them that are averaged.
+    """
 
     live: Callable[[Column, Column], tuple[dict[str, Column], Column]]
-    history: Callable[[Column, dict[str, Column], Column], tuple[dict[str, Column], Column]] | None = None
+    history: Callable[..., tuple[dict[str, Column], Column]] | None = None
     documents: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+    series: Callable[[dict[str, Column]], dict[str, Column]] = lambda documents: {}
 
 
 READERS: dict[str, Reader] = {
-    "openweather": Reader(openweather.live, openweather.history, openweather.DOCUMENTS),
-    "openmeteo": Reader(openmeteo.live, openmeteo.history, openmeteo.DOCUMENTS),
+    "openweather": Reader(openweather.live, openweather.history, openweather.DOCUMENTS, openweather.series),
+    "openmeteo": Reader(openmeteo.live, openmeteo.history, openmeteo.DOCUMENTS, openmeteo.series),
     "aqicn": Reader(aqicn.live),
 }
 RECORD_COLUMNS = ["timestamp", "record_status", *MEASURES]
@@ -52,6 +57,10 @@ def _computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def _documents(source: str, reader: Reader) -> dict[str, Column]:
+    return {name: F.col(f"_{source}_{name}") for name in reader.documents}
+
+
 def _by_source(cases: Sequence[tuple[str, Column | None, Column | None]], empty: Column) -> Column:
     """CASE over the sources, then over live and historical, so a row evaluates its own provider only."""
     past = F.col("data_date").isNotNull()
@@ -63,26 +72,36 @@ def _by_source(cases: Sequence[tuple[str, Column | None, Column | None]], empty:
 
 
 def to_calls(landed: DataFrame, run: Run, readers: Mapping[str, Reader] = READERS) -> DataFrame:
-    """Landed columns, the record columns, ``status`` and ``error``. Narrow: three projections over one scan.
+    """Landed columns, the record columns, ``status`` and ``error``. Narrow: projections over one scan.
 
-    The payload is parsed once, typed parts are read once from it, and the columns refer to those. A call whose
+    The payload is parsed once, typed parts and their means are read once from it, and the columns refer to those. A
+    narrower set of ``readers`` gives a smaller plan where the sources are known. A call whose
     status is failed has no record, whatever its record columns hold.
     """
     full = landed if "malformed" in landed.columns else landed.withColumn("malformed", F.lit(None).cast("string"))
     parsed = _computed_once(full, {"_p": F.try_parse_json("payload")})
     past = F.col("data_date").isNotNull()
-    typed = {
-        f"_{source}_{name}": F.when((F.col("source") == source) & past, F.try_variant_get("_p", path, type_))
-        for source, reader in readers.items()
-        for name, (path, type_) in reader.documents.items()
-    }
-    read = _computed_once(parsed, typed)
+    typed, means = {}, {}
+    for source, reader in readers.items():
+        mine = (F.col("source") == source) & past
+        for name, (path, type_) in reader.documents.items():
+            typed[f"_{source}_{name}"] = F.when(mine, F.try_variant_get("_p", path, type_))
+        arrays = reader.series(_documents(source, reader))
+        if arrays:
+            means[f"_{source}_means"] = F.when(mine, F.transform(F.array(*arrays.values()), lambda a: N.array_mean(a)))
+    read = parsed
+    for columns in (typed, means):
+        read = _computed_once(read, columns) if columns else read
     now, day = F.lit(run.text), F.date_format("data_date", "yyyy-MM-dd")
     modes = []
     for source, reader in readers.items():
-        documents = {name: F.col(f"_{source}_{name}") for name in reader.documents}
         live = reader.live(F.col("_p"), now)
-        modes.append((source, live, reader.history(F.col("_p"), documents, day) if reader.history else reader.live(F.col("_p"), day)))
+        if reader.history is None:
+            modes.append((source, live, reader.live(F.col("_p"), day)))
+            continue
+        documents = _documents(source, reader)
+        averages = {c: F.col(f"_{source}_means")[i] for i, c in enumerate(reader.series(documents))}
+        modes.append((source, live, reader.history(F.col("_p"), documents, averages, day)))
 
     def column(name: str, empty: Column) -> Column:
         return _by_source([(s, live[0].get(name), past_[0].get(name)) for s, live, past_ in modes], empty)

@@ -57,18 +57,24 @@ DOCUMENTS = {
 }
 
 
-def history(payload: Column, documents: dict[str, Column], day: Column) -> tuple[dict[str, Column], Column]:
+def series(documents: dict[str, Column]) -> dict[str, Column]:
+    """Hourly values by record column."""
+    return {c: documents["weather"][f] for c, f in WEATHER.items()} | {c: documents["air"][f] for c, f in AIR.items()}
+
+
+def history(
+    payload: Column, documents: dict[str, Column], means: dict[str, Column], day: Column
+) -> tuple[dict[str, Column], Column]:
     """Daily means over the hours that have a value."""
-    arrays = {c: (f"$.weather.hourly.{f}", documents["weather"][f]) for c, f in WEATHER.items()} | {
-        c: (f"$.air_quality.hourly.{f}", documents["air"][f]) for c, f in AIR.items()
+    paths = {c: f"$.weather.hourly.{f}" for c, f in WEATHER.items()} | {
+        c: f"$.air_quality.hourly.{f}" for c, f in AIR.items()
     }
-    means = {c: N.array_mean(array) for c, (_, array) in arrays.items()}
-    means["aqi"] = N.half_even(means["aqi"]).try_cast("bigint")
+    whole = means | {"aqi": N.half_even(means["aqi"]).try_cast("bigint")}
     values = {
         "timestamp": day,
         "status": F.lit("success"),
-        **{c: m.cast("variant") for c, m in means.items()},
+        **{c: m.cast("variant") for c, m in whole.items()},
     }
     # A field that is present but no list of numbers cannot be averaged; a missing field is no problem.
-    bad = [J.not_numbers(payload, path, array) for path, array in arrays.values()]
+    bad = [J.not_numbers(payload, paths[c], array) for c, array in series(documents).items()]
     return values, F.when(J.any_of(bad), F.lit("hourly values are not numbers"))

@@ -86,24 +86,31 @@ def _has_gap(items: Column, blocks: dict[str, list[str]]) -> Column:
     return F.exists(items, lambda x: J.any_of([x[b][f].isNull() for b, fields in blocks.items() for f in fields]))
 
 
-def _mean(items: Column, block: str, field: str) -> Column:
-    return N.array_mean(items[block][field])
+def series(documents: dict[str, Column]) -> dict[str, Column]:
+    """Values of the day's items by record column."""
+    weather, air = documents["weather"], documents["air"]
+    inner = {c: p.split(".") for c, p in WEATHER.items()}
+    rain = F.transform(_rains(weather), lambda r: N.falsy_or(J.number_at(r, '$["1h"]'), J.number_at(r, '$["3h"]')))
+    return {
+        **{c: weather[block][field] for c, (block, field) in inner.items()},
+        "rain": rain,
+        "aqi": air["main"]["aqi"],
+        **{c: air["components"][f] for c, f in AIR.items()},
+    }
+
 
+def _rains(weather: Column) -> Column:
+    return F.filter(weather["rain"], lambda r: r.isNotNull())
 
-def history(payload: Column, documents: dict[str, Column], day: Column) -> tuple[dict[str, Column], Column]:
+
+def history(
+    payload: Column, documents: dict[str, Column], means: dict[str, Column], day: Column
+) -> tuple[dict[str, Column], Column]:
     """Daily means over the items. The time stamp is that of the first weather item, else the day."""
     weather, air = documents["weather"], documents["air"]
     first_dt = J.at(payload, "$.weather.list[0].dt")
     epoch = F.try_variant_get(payload, "$.weather.list[0].dt", "bigint")
     stamp = F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    rains = F.filter(weather["rain"], lambda r: r.isNotNull())
-    hourly_rain = F.transform(rains, lambda r: N.falsy_or(J.number_at(r, '$["1h"]'), J.number_at(r, '$["3h"]')))
-    means = {
-        **{c: _mean(weather, *p.split(".")) for c, p in WEATHER.items()},
-        "rain": N.array_mean(hourly_rain),
-        "aqi": _mean(air, "main", "aqi"),
-        **{c: _mean(air, "components", f) for c, f in AIR.items()},
-    }
     values = {
         "timestamp": F.coalesce(stamp, day),
         "status": F.lit("success"),
@@ -115,7 +122,7 @@ def history(payload: Column, documents: dict[str, Column], day: Column) -> tuple
         weather_blocks.setdefault(block, []).append(field)
     air_blocks = {"components": list(AIR.values()), "main": ["aqi"]}
     bad_rain = F.exists(
-        rains,
+        _rains(weather),
         lambda r: _present_but_no_object(r) | J.not_a_number(J.at(r, '$["1h"]')) | J.not_a_number(J.at(r, '$["3h"]')),
     )
     broken = J.any_of([
