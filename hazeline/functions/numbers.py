@@ -109,19 +109,27 @@ def round_exact(value: Column, places: int = 4) -> Column:
 def array_mean(values: Column, places: int = 4) -> Column:
     """Mean of the non-null elements rounded to ``places``; null when there are none. No shuffle.
 
-    Elements are summed in two parts, so the mean is the double nearest to the exact one whatever the order.
+    Near a rounding tie the elements are summed in two parts, so the mean is the double nearest to the exact one.
     """
 
+    scale = float(10**places)
+
+    def exact(kept: Column) -> Column:
+        coarse = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + _on_grid(x))
+        fine = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + _off_grid(x))
+        sums = F.struct(coarse.alias("coarse"), fine.alias("fine"))
+        mean = _with(sums, lambda s: _quotient(s["coarse"], s["fine"], F.size(kept)))
+        return _with(mean, lambda m: round_exact(m, places))
+
     def mean_of(kept: Column) -> Column:
-        coarse = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + ((x + _GRID) - _GRID))
-        fine = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + (x - ((x + _GRID) - _GRID)))
-        exact = _with(
-            F.struct(coarse.alias("coarse"), fine.alias("fine")),
-            lambda s: _with(_quotient(s["coarse"], s["fine"], F.size(kept)), lambda m: round_exact(m, places)),
-        )
-        plain = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x) / F.size(kept)
-        small = (F.array_max(kept) < _GRID_RANGE) & (F.array_min(kept) > -_GRID_RANGE)
-        return F.when(F.size(kept) > 0, F.when(small, exact).otherwise(plain))
+        def rounded(s: Column) -> Column:
+            part = s - F.floor(s)
+            # Far from a tie a plain sum rounds to the same digits; the rest is one row in hundreds.
+            plain = (F.abs(s) < 1e9) & (F.abs(part - 0.5) > 1e-3)
+            return F.when(plain, (F.floor(s) + F.when(part > 0.5, 1).otherwise(0)) / F.lit(scale)).otherwise(exact(kept))
+
+        total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(F.size(kept) > 0, _with(total / F.size(kept) * scale, rounded))
 
     return _with(F.array_compact(values), mean_of)
 
