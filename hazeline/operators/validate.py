@@ -13,6 +13,7 @@ from hazeline.functions import numbers as N
 from hazeline.functions import payload as J
 from hazeline.functions import text as X
 from hazeline.functions import times as D
+from hazeline.functions.once import computed_once
 
 ERRORS = "errors"
 RECORD_DATE = "record_date"
@@ -107,19 +108,19 @@ def _rules(field: Field, value: Column, uncoerced: Column) -> list[tuple[Column,
 def check(df: DataFrame, fields: Sequence[Field] = SILVER_FIELDS, keep: Sequence[str] = ()) -> DataFrame:
     """Contract columns in contract order (absent ones null), ``keep``, and ``errors``.
 
-    Columns outside the contract are dropped. A row is valid when ``errors`` is empty. Coercion and rules are two
-    projections so that no coercion is evaluated twice.
+    Columns outside the contract are dropped. A row is valid when ``errors`` is empty. The rules read coerced columns
+    that are computed once, also when rows are filtered by ``errors``.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    coerced, flags = [], []
+    coerced, flags = {}, {}
     for field in fields:
         if field.name in types:
             value, bad = coerce(field, types[field.name])
         else:
             value, bad = F.lit(None).cast(field_type(field)), F.lit(False)
-        coerced.append(value.alias(field.name))
-        flags.append(F.coalesce(bad, F.lit(False)).alias(f"_bad_{field.name}"))
-    typed = df.select(*coerced, *flags, *keep)
+        coerced[field.name] = value
+        flags[f"_bad_{field.name}"] = F.coalesce(bad, F.lit(False))
+    typed = computed_once(df, coerced | flags, keep)
     rules = [r for f in fields for r in _rules(f, F.col(f"`{f.name}`"), F.col(f"_bad_{f.name}"))]
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in rules]))
     narrowed = [F.col(f"`{f.name}`").try_cast(field_type(f)).alias(f.name) if f.name == "response_time_ms"

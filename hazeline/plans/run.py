@@ -60,6 +60,13 @@ def quarantine_of(checked: DataFrame) -> DataFrame:
     return checked.filter(~F.col(ACCEPTED))
 
 
+def _written(planned: DataFrame, base: str, layer: str, run: Run) -> DataFrame:
+    """The layer as stored. A layer without rows may leave no files; then an empty frame of the planned columns."""
+    spark = planned.sparkSession
+    stored = snapshots.read_snapshot(spark, base, layer, run.run_id)
+    return spark.createDataFrame([], planned.schema) if stored is None else stored
+
+
 def _execute(
     spark: SparkSession, landed: DataFrame, cities: DataFrame, base: str, run: Run, cities_processed: int,
     drift_against: str | None, thresholds: Mapping[str, float] | None, compare: bool,
@@ -70,16 +77,12 @@ def _execute(
     checked = checked_records(to_records(calls, cities), run).withColumn(ACCEPTED, F.size(ERRORS) == 0)
     snapshots.write_snapshot(checked, base, "silver", run.run_id, [ACCEPTED])
 
-    # A layer without rows leaves no files; its frame is empty then and costs nothing to compute again.
-    raw = snapshots.read_snapshot(spark, base, "bronze", run.run_id)
-    raw = bronze(calls, run) if raw is None else raw
-    written = snapshots.read_snapshot(spark, base, "silver", run.run_id)
-    checked = checked if written is None else written.withColumn(ACCEPTED, F.col(ACCEPTED).cast("boolean"))
+    raw = _written(bronze(calls, run), base, "bronze", run)
+    checked = _written(checked, base, "silver", run).withColumn(ACCEPTED, F.col(ACCEPTED).cast("boolean"))
     silver = silver_of(checked)
     fused = fuse(silver)
     snapshots.write_snapshot(fused, base, "gold", run.run_id)
-    gold = snapshots.read_snapshot(spark, base, "gold", run.run_id)
-    gold = fused if gold is None else gold
+    gold = _written(fused, base, "gold", run)
     if not gold.filter(F.col("lineage_slices") > 1).isEmpty():
         snapshots.write_snapshot(lineage_rows(silver, SILVER_COLUMNS), base, "gold_lineage", run.run_id)
 

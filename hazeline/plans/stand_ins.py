@@ -123,9 +123,15 @@ def _payload(source: str, past: bool) -> Column:
     return F.when(k % 7 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"aqi": {"status": "ok", "data": '), data, F.lit("}}")))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Parsing is heavy per row, so an input of fewer splits than cores is dealt out; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def landed(spark: SparkSession, sf_dir: str, source: str, past: bool) -> DataFrame:
     """Every event as a landed call of one provider."""
-    return table(spark, sf_dir, "events").select(
+    return _spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("ord"),
         F.lit(source).alias("source"),
         F.array(F.lit(f"https://example.org/{source}")).alias("endpoint"),

@@ -12,6 +12,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording a Python call site per expression costs seconds on wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hazeline.contracts import LANDED, MEASURES
 from hazeline.functions import numbers as N
+from hazeline.functions.once import computed_once
 from hazeline.operators.bronze import FAILED, UNKNOWN, call_error, call_status
 from hazeline.operators.standardize import Run
 from hazeline.sources import aqicn, openmeteo, openweather
@@ -48,15 +49,6 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDED).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="malformed")
 
 
-def _computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """Add columns through a one-row generator.
-
-    A filter on anything derived from them cannot move below a generator, so the optimizer never copies these
-    costly expressions into the filter, where each reference would parse the payload again.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _documents(source: str, reader: Reader) -> dict[str, Column]:
     return {name: F.col(f"_{source}_{name}") for name in reader.documents}
 
@@ -79,7 +71,7 @@ def to_calls(landed: DataFrame, run: Run, readers: Mapping[str, Reader] = READER
     status is failed has no record, whatever its record columns hold.
     """
     full = landed if "malformed" in landed.columns else landed.withColumn("malformed", F.lit(None).cast("string"))
-    parsed = _computed_once(full, {"_p": F.try_parse_json("payload")})
+    parsed = computed_once(full, {"_p": F.try_parse_json("payload")})
     past = F.col("data_date").isNotNull()
     typed, means = {}, {}
     for source, reader in readers.items():
@@ -91,7 +83,7 @@ def to_calls(landed: DataFrame, run: Run, readers: Mapping[str, Reader] = READER
             means[f"_{source}_means"] = F.when(mine, F.transform(F.array(*arrays.values()), lambda a: N.array_mean(a)))
     read = parsed
     for columns in (typed, means):
-        read = _computed_once(read, columns) if columns else read
+        read = computed_once(read, columns) if columns else read
     now, day = F.lit(run.text), F.date_format("data_date", "yyyy-MM-dd")
     modes = []
     for source, reader in readers.items():
