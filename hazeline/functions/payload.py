@@ -44,8 +44,7 @@ def truthy(value: Column) -> Column:
 def document_text(raw: Column) -> Column:
     """Payload text that parses as JSON; null for blank, N/A, malformed text and JSON ``null``."""
     stripped = X.null_token(raw)
-    parsed = F.try_parse_json(stripped)
-    return F.when(parsed.isNotNull() & ~F.is_variant_null(parsed), stripped)
+    return F.when((stripped != "null") & F.try_parse_json(stripped).isNotNull(), stripped)
 
 
 def is_document(json_text: Column) -> Column:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from hazeline.contracts import NULL_TOKEN
 
-# (?U) makes \s follow Unicode; the four separators below it are whitespace too, but not in \s.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that counts as whitespace.
+_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    """Remove whitespace of every kind at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, _EDGES, "")
+    """Remove whitespace of every kind at both ends (plain ``trim`` removes spaces only)."""
+    return F.btrim(text, F.lit(_WHITESPACE))
 
 
 def null_token(text: Column) -> Column:

@@ -82,9 +82,9 @@ def coerce(field: Field, data_type: T.DataType) -> tuple[Column, Column]:
     if field.kind == "endpoints":
         return _endpoints(raw, data_type), F.lit(False)
     if field.kind == "payload":
-        document = J.document_text(raw)
-        scalar = document.isNotNull() & ~J.is_document(document)
-        return F.when(J.is_document(document), document), scalar
+        # Text is parsed once: as a document when it opens like one, else to see whether it is a scalar.
+        opens = J.is_document(X.null_token(raw))
+        return F.when(opens, J.document_text(raw)), F.when(~opens, J.document_text(raw).isNotNull())
     value = {"number": _number, "integer": _whole, "instant": _instant, "day": _day}[field.kind](raw, data_type)
     return value, present & value.isNull()
 

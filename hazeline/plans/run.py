@@ -23,7 +23,7 @@ from hazeline.operators.metrics import run_counters
 from hazeline.operators.standardize import Run, standardize
 from hazeline.operators.survivors import first_by_arrival
 from hazeline.operators.validate import ERRORS, RECORD_DATE, check, with_record_date
-from hazeline.session import use_utc
+from hazeline.session import prepare
 from hazeline.sinks import reports, snapshots, tables
 from hazeline.sources.landed import read_landed, to_calls, to_records
 from hazeline.sources.spine import check_window
@@ -120,7 +120,7 @@ def run_live(
     drift_against: str | None = None, thresholds: Mapping[str, float] | None = None,
 ) -> Published:
     """One live run over the calls without a day. Drift is compared when an earlier run is named."""
-    use_utc(spark)
+    prepare(spark)
     landed = read_landed(spark, landing).filter(F.col("data_date").isNull())
     return _execute(spark, landed, cities, base, run or Run.now(), cities.count(), drift_against, thresholds, True)
 
@@ -130,7 +130,7 @@ def run_backfill(
 ) -> Published:
     """One job over all days of the window and the history-capable sources; no drift comparison."""
     check_window(start, end)
-    use_utc(spark)
+    prepare(spark)
     capable = [name for name, past in SOURCES if past]
     wanted = F.col("data_date").between(start, end) & F.col("source").isin(capable)
     # Lines that could not be read have no day; they stay in, so that bronze drops no call.

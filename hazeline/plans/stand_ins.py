@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.operators.standardize import Run
-from hazeline.session import use_utc
+from hazeline.session import prepare
 
 RUN = Run("20240131_000000_00000000", datetime(2024, 1, 31, 12, 0, tzinfo=timezone.utc))
 
@@ -34,12 +34,19 @@ OBS_COLUMNS = """
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations over the whole event table."""
+def _spread(df: DataFrame) -> DataFrame:
+    """Parsing and validation are heavy per row, so an input of fewer splits than cores is dealt out; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def obs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Observations over the whole event table; ``heavy`` when each row takes much work."""
     events = table(spark, sf_dir, "events")
+    events = _spread(events) if heavy else events
     return events.selectExpr(*_split(OBS_COLUMNS)).withColumn(
         "pm25", F.col("pm25").cast("double")
     ).withColumn("aqi", F.col("aqi").cast("double"))
@@ -56,7 +63,7 @@ def dated(df: DataFrame) -> DataFrame:
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations shaped as source records: city attributes, text and number measures."""
-    return obs(spark, sf_dir).select(
+    return obs(spark, sf_dir, heavy=True).select(
         "ord", "city", "source", "status", "data_date", F.col("ts").alias("timestamp"),
         F.when(F.col("nation_id") == 3, F.lit(" n/a ")).otherwise(F.concat(F.lit("C"), F.col("nation_id").cast("string"))).alias("country"),
         (F.col("nation_id") * 4.0).alias("latitude"), (F.col("nation_id") * 7.0).alias("longitude"),
@@ -123,12 +130,6 @@ def _payload(source: str, past: bool) -> Column:
     return F.when(k % 7 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"aqi": {"status": "ok", "data": '), data, F.lit("}}")))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Parsing is heavy per row, so an input of fewer splits than cores is dealt out; a larger one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def landed(spark: SparkSession, sf_dir: str, source: str, past: bool) -> DataFrame:
     """Every event as a landed call of one provider."""
     return _spread(table(spark, sf_dir, "events")).select(

@@ -30,9 +30,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "ha
     )
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Every rule about days and instants assumes the UTC session zone."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings the rules rely on: days and instants are UTC, and methods too long for the JIT are split."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

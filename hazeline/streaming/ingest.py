@@ -23,7 +23,7 @@ from hazeline.operators.sizing import within
 from hazeline.operators.standardize import Run, standardize
 from hazeline.operators.survivors import first_by_arrival
 from hazeline.operators.validate import ERRORS, RECORD_DATE, check, with_record_date
-from hazeline.session import use_utc
+from hazeline.session import prepare
 from hazeline.sinks import tables
 from hazeline.sources.landed import to_calls, to_records
 
@@ -87,7 +87,7 @@ def ingest(
     files_per_batch: int | None = None, name: str = "stream",
 ) -> StreamingQuery:
     """Process everything that has landed since the last call, then stop."""
-    use_utc(spark)
+    prepare(spark)
     return (
         landed_stream(spark, landing, files_per_batch)
         .writeStream.foreachBatch(lambda batch, batch_id: apply_batch(batch, batch_id, cities, base, name))
