@@ -8,7 +8,7 @@ from hazeline.sources.cities import DEFAULT_CITIES, cities, location_ids, with_c
 from hazeline.sources.spine import gaps, history_spine, live_spine, planned_requests
 from tests.landing import CITIES
 
-DAY1, DAY3 = F.lit(date(2024, 1, 1)), F.lit(date(2024, 1, 3))
+DAY1, DAY3 = date(2024, 1, 1), date(2024, 1, 3)
 
 
 def test_default_cities(spark):
@@ -41,15 +41,15 @@ def test_live_spine_is_city_major(spark):
 
 
 def test_history_spine(spark):
-    rows = history_spine(cities(spark, CITIES), DAY1, DAY3, 2).orderBy("ord").collect()
+    rows = history_spine(cities(spark, CITIES), F.lit(DAY1), F.lit(DAY3), 2).orderBy("ord").collect()
     assert len(rows) == 12 and {r.source for r in rows} == {"openweather", "openmeteo"}
     assert [(r.data_date.day, r.city, r.source) for r in rows[:5]] == [
         (1, "Alder", "openweather"), (1, "Alder", "openmeteo"), (1, "Birch", "openweather"), (1, "Birch", "openmeteo"), (2, "Alder", "openweather")]
-    assert history_spine(cities(spark, CITIES), DAY1, DAY3, 2, [("aqicn", False)]).count() == 0
+    assert history_spine(cities(spark, CITIES), F.lit(DAY1), F.lit(DAY3), 2, [("aqicn", False)]).count() == 0
 
 
 def test_gaps(spark):
-    spine = history_spine(cities(spark, CITIES), DAY1, DAY1, 2)
+    spine = history_spine(cities(spark, CITIES), F.lit(DAY1), F.lit(DAY1), 2)
     landed = spine.filter("source = 'openmeteo' AND city = 'Alder'")
     assert sorted((r.city, r.source) for r in gaps(spine, landed.union(landed)).collect()) == [
         ("Alder", "openweather"), ("Birch", "openmeteo"), ("Birch", "openweather")]
@@ -57,7 +57,7 @@ def test_gaps(spark):
 
 def requests(spark, past, **flags):
     dim = with_location_id(cities(spark, CITIES), spark.createDataFrame([("Alder", "77")], "key string, location_id string"))
-    spine = history_spine(dim, DAY1, DAY1, 2) if past else live_spine(dim)
+    spine = history_spine(dim, F.lit(DAY1), F.lit(DAY1), 2) if past else live_spine(dim)
     rows = planned_requests(with_city(spine, dim, ["latitude", "longitude", "location_id"]), **flags).collect()
     return {(r.city, r.source): r.requests for r in rows}
 
