@@ -81,14 +81,16 @@ def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     # At most ZONES + 2 rows per column.
     zones = zoned.groupBy("feature", "zone", "_n").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d"))
     running = Window.partitionBy("feature").orderBy("zone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = zones.withColumn("_before", F.sum("c").over(running) - F.col("c"))
+    placed = zones.withColumn("_before", F.sum("c").over(running) - F.col("c")).withColumn(
+        "unique_values", F.sum("d").over(Window.partitionBy("feature"))
+    )
     first_rank, last_rank = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
     middle = placed.filter((F.col("_before") <= last_rank) & (F.col("_before") + F.col("c") > first_rank))
     inner = Window.partitionBy("feature", "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
         zoned.select("feature", "zone", "value", "c", "_n")
         # At most two zones per column hold the middle ranks.
-        .join(F.broadcast(middle.select("feature", "zone", "_before")), ["feature", "zone"])
+        .join(F.broadcast(middle.select("feature", "zone", "_before", "unique_values")), ["feature", "zone"])
         .withColumn("_upto", F.col("_before") + F.sum("c").over(inner))
         .withColumn("_from", F.col("_upto") - F.col("c"))
     )
@@ -96,14 +98,15 @@ def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("value")))
 
-    medians = ranked.groupBy("feature").agg(((at(first_rank) + at(last_rank)) / 2).alias("median"))
-    uniques = zones.groupBy("feature").agg(F.sum("d").alias("unique_values"))
+    medians = ranked.groupBy("feature").agg(
+        ((at(first_rank) + at(last_rank)) / 2).alias("median"), F.max("unique_values").alias("unique_values")
+    )
     missing = F.col("record_count") - F.col("n")
     figures = {
         "missing_count": missing,
         "missing_percentage": F.when(F.col("record_count") > 0, missing / F.col("record_count") * 100),
         "unique_values": F.coalesce("unique_values", F.lit(0)),
     }
-    # Three one-row-per-column frames.
-    joined = basics.join(F.broadcast(medians), "feature", "left").join(F.broadcast(uniques), "feature", "left")
+    # Both frames have one row per column.
+    joined = basics.join(F.broadcast(medians), "feature", "left")
     return joined.select("feature", *[figures.get(s, F.col(s)).alias(s) for s in STATISTICS])
