@@ -6,20 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import neardup
+from hazeline.llm import mixing, neardup, packing, perplexity, secrets
 from hazeline.llm.tables import table, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the base rules and their language's perplexity band."""
+    return perplexity.filtered(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
     return neardup.deduplicated(docs, shingle=5, percent=80)
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked in their texts."""
+    return secrets.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixture(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.packed(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
     ("minhash_near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit),
 ]
 
-#: Grammar inference and packing have no SQL form; tests hold run() against a brute-force version.
+#: Perplexity, grammar inference and packing have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import neardup
+from hazeline.llm import htmlextract, mixing, neardup, packing, perplexity, secrets, sharding
 from hazeline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,42 @@ def registered(query):
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@registered
+def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op9_systematic_mix"] = mixing.ORACLE
+
+
+SHARD_BYTES = 64 << 20
+
+
+@registered
+def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(table(spark, sf_dir, "documents"), ["doc_id"], SHARD_BYTES)
+
+
+ORACLES["op1_extendible_shards"] = sharding.ORACLE.format(limit=SHARD_BYTES)
+
+
+@registered
+def op3_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op8_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir, "documents")).drop("lang")
+
+
+@registered
+def op2_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op10_template_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extracted(table(spark, sf_dir, "pages"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazeline.session import shared_folder
@@ -28,3 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def n_words(text) -> F.Column:
     """Number of words of the text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place (from 0) in the order of the whole frame: places within range partitions, after the rows of those before."""
+    parts = written(df.repartitionByRange(*order).withColumn("rank_part", F.spark_partition_id()), name)
+    along = Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = parts.groupBy("rank_part").agg(F.count("*").alias("rank_n"))
+    starts = starts.select("rank_part", F.coalesce(F.sum("rank_n").over(along), F.lit(0)).alias("rank_start"))
+    own = F.row_number().over(Window.partitionBy("rank_part").orderBy(*order))
+    return parts.withColumn("rank_own", own).join(starts, "rank_part").withColumn(name, F.col("rank_start") + F.col("rank_own") - 1).select(*df.columns, name)
