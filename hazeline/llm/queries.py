@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import htmlextract, mixing, neardup, packing, perplexity, secrets, sharding
+from hazeline.llm import crf, htmlextract, mixing, neardup, packing, perplexity, secrets, sharding
 from hazeline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op2_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_template_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.extracted(table(spark, sf_dir, "pages"))
+
+
+@registered
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

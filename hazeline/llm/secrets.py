@@ -38,21 +38,30 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _LETTERS_OF_HEX = frozenset("0123456789abcdef")
 
+_NAMES = ("passw", "secret", "token", "api")
+
 Span = tuple[int, int, str, int]
 
 
+def _runs(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _CANDIDATE.finditer(text)]
+
+
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind, start of the value) by start, then kind as listed."""
-    found = [(m.start(), m.end(), "assign", m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-    found += [(m.start(), m.end(), "access", m.start()) for m in _ACCESS.finditer(text)]
-    found += [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text)]
+    found = []
+    small = text.lower()
+    if any(word in small for word in _NAMES):  # else the pattern can't match
+        found += [(m.start(), m.end(), "assign", m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    for a, b in _runs(text):  # the other two match within these only
+        found += [(m.start(), m.end(), "access", m.start()) for m in _ACCESS.finditer(text, a, b)]
+        found += [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text, a, b)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def candidates(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
     """Runs that may be credentials and touch no span."""
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
+    for a, b in _runs(text):
         if not any(s[0] < b and a < s[1] for s in spans):
             yield a, b
 
