@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import crf, htmlextract, mixing, neardup, packing, perplexity, secrets, sharding
+from hazeline.llm import crf, hamming, htmlextract, mixing, neardup, packing, perplexity, secrets, sharding, urlfilter
 from hazeline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,21 @@ def op10_template_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered
+def op5_multi_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 10)
+
+
+ORACLES["op5_multi_index_top_k"] = hamming.ORACLE
+
+
+@registered
+def op6_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = urlfilter.evaluated(urlfilter.dated_captures(pages), urlfilter.dated_entries(pages))
+    return found.withColumn("fetched_on", F.col("fetched_on").cast("string"))
+
+
+ORACLES["op6_temporal_url_lists"] = urlfilter.ORACLE
