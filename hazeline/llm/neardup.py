@@ -4,8 +4,10 @@ Each permutation of the shingles gives two signature values, its minimum and its
 needed as values. Six values make a band, 48 bands a signature (24 of minima, 24 of maxima): two sets at similarity 0.8 share no
 band with probability (1 - 0.8**6)**48 < 5e-7. Links are confirmed on the full sets.
 
-Texts with equal sets are one node. In each bucket every node is first tried against the bucket's least node; what is
-still apart after that is tried across components, so that no bucket is turned into all its pairs.
+Texts with equal sets are one node. Each bucket has one hub, its node with the most bucket fellows, and every node of the bucket is first tried against
+the hub: a group of copies becomes one component by as many pairs as it has members. A hub's fellows that are still apart then
+meet in blocks of bounded size, where an inverted index gives the exact intersections of what is outside the hub's largest component
+with all others; only links come out, one for each outsider and component.
 
 Nulls and texts without words have no set and stand alone. Repeated rows, repeated ids and null ids are allowed: rows with
 equal sets share a node, and a component is named by its least id (null if it has none). Other columns are not read.
@@ -125,7 +127,7 @@ def _equal_bits(a: str, b: str) -> F.Column:
 def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose sketches don't rule it out."""
     fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return pairs.filter(fit & (_equal_bits("sketch_a", "sketch_b") >= LEAST_EQUAL_BITS)).select("a", "b").distinct()
+    return pairs.filter(fit & (_equal_bits("sketch_a", "sketch_b") >= LEAST_EQUAL_BITS)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,6 +136,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= (F.size("items_a") + F.size("items_b") - F.col("common")) * percent).select("a", "b")
 
 
+#: Shingles of a block in the second step; as many again are held against it.
+BLOCK_SHINGLES = 1 << 20
+
+
+def _across(percent: int):
+    """Links of the probes of one block with its bases, one for each probe and component."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        probe = rows.column("probe").to_numpy()
+        fps, roots = rows.column("fp").to_pylist(), rows.column("root").to_pylist()
+        items = rows.column("items").combine_chunks()
+        flat, cuts = items.values.to_numpy(), items.offsets.to_numpy()
+        bases = np.flatnonzero(~probe)
+        sizes = np.diff(cuts)
+        owners = np.repeat(np.arange(len(bases)), sizes[bases])
+        tokens = np.concatenate([flat[cuts[k] : cuts[k + 1]] for k in bases]) if len(bases) else flat[:0]
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners, of_bases = tokens[order], owners[order], sizes[bases]
+        found: list[tuple[bytes, bytes]] = []
+        for k in np.flatnonzero(probe).tolist():
+            own = flat[cuts[k] : cuts[k + 1]]
+            lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            counts = np.zeros(len(bases), np.int64)
+            for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                if a < b:
+                    counts[owners[a:b]] += 1  # a base has a shingle once
+            linked, seen = np.flatnonzero(counts * 100 >= (of_bases + len(own) - counts) * percent), {roots[k]}
+            for x in linked.tolist():
+                base = int(bases[x])
+                if roots[base] not in seen:
+                    seen.add(roots[base])
+                    found.append((fps[k], fps[base]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return run
+
+
+def _links_across(stars: DataFrame, parts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among each hub's fellows."""
+    fellows = stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct()).join(parts, F.col("b") == F.col("node"), "left")
+    fellows = written(fellows.select("a", "b", F.coalesce("root", "b").alias("root")).join(nodes.select(F.col("fp").alias("b"), "n"), "b"), "fellows")
+    split = fellows.groupBy("a", "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    split = split.groupBy("a").agg(F.sum("m").alias("m"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "root")).alias("most"))
+    # Two fellows have been tried already.
+    hubs = split.filter("roots > 1 AND m > 2").select(
+        "a", F.col("most.root").alias("main"), F.expr(f"n div {BLOCK_SHINGLES} + 1").alias("blocks"), F.expr(f"(n - most.n) div {BLOCK_SHINGLES} + 1").alias("probe_blocks"),
+    )
+    inside = fellows.join(hubs, "a").withColumn("mark", F.xxhash64("b"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("probe_blocks") - 1)
+    bases = inside.select("a", "b", "root", F.pmod("mark", "blocks").alias("block"), F.explode(every).alias("probe_block"), F.lit(False).alias("probe"))
+    outside = inside.filter("root <> main")
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    probes = outside.select("a", "b", "root", F.explode(every).alias("block"), F.pmod("mark", "probe_blocks").alias("probe_block"), F.lit(True).alias("probe"))
+    rows = bases.unionByName(probes).join(sets, F.col("b") == F.col("fp")).select("a", "block", "probe_block", "probe", "fp", "root", "items")
+    return rows.groupBy("a", "block", "probe_block").applyInArrow(_across(percent), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, n_shingles, fp, root, component_id) of each row of docs (doc_id, text). Similarities under 80 percent need other bands."""
     if percent < 80:
@@ -144,27 +203,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = written(nodes, "nodes")
     entries = nodes.select(F.explode("bands").alias("bucket"), "fp")
     # Buckets of one node link nothing.
-    shared = entries.groupBy("bucket").agg(F.min("fp").alias("least"), F.count("*").alias("m")).filter("m > 1")
-    members = written(entries.join(shared, "bucket").select("bucket", "fp", "least"), "members")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+    members = written(entries.join(shared, "bucket").select("bucket", "fp", "m"), "members")
+    weights = members.groupBy("fp").agg(F.sum("m").alias("weight"))
+    weighted = members.join(weights, "fp").select("bucket", "fp", "weight")
+    hubs = weighted.groupBy("bucket").agg(F.max(F.struct("weight", "fp")).alias("hub")).select("bucket", F.col("hub.fp").alias("a"))
+    stars = written(members.join(hubs, "bucket").select("a", F.col("fp").alias("b")).filter("a <> b").distinct(), "stars")
+    wanted = nodes.join(weights.select("fp"), "fp").select("fp", "doc_id", "text_hash")
+    sets = written(_full_sets(docs, wanted, shingle), "sets")
     known = nodes.select("fp", "n", "sketch")
     a, b = (known.select(*(F.col(c).alias(d) for c, d in (("fp", x), ("n", f"n_{x}"), ("sketch", f"sketch_{x}")))) for x in "ab")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        return _plausible(pairs.distinct().join(a, "a").join(b, "b"), percent)
-
-    stars = members.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    wanted = nodes.join(members.select("fp").distinct(), "fp").select("fp", "doc_id", "text_hash")
-    sets = written(_full_sets(docs, wanted, shingle), "sets")
-    links = written(_confirmed(plausible(stars), sets, percent), "links")
-    parts = components(links)
-    # What shares a bucket across components is tried too; nodes without a link are components of their own.
-    placed = members.join(parts, members.fp == parts.node, "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    placed = placed.join(open_, "bucket").join(known, "fp")
-    x = placed.select("bucket", *(F.col(c).alias(d) for c, d in (("fp", "a"), ("root", "root_a"), ("n", "n_a"), ("sketch", "sketch_a"))))
-    y = placed.select("bucket", *(F.col(c).alias(d) for c, d in (("fp", "b"), ("root", "root_b"), ("n", "n_b"), ("sketch", "sketch_b"))))
-    across = _plausible(x.join(y, "bucket").filter("root_a < root_b"), percent)
-    more = _confirmed(across, sets, percent)
+    links = written(_confirmed(_plausible(stars.join(a, "a").join(b, "b"), percent), sets, percent), "links")
+    more = _links_across(stars, components(links), nodes, sets, percent)
     parts = written(components(links.unionByName(more)), "parts")
     rooted = rows.drop("bands", "sketch").join(parts, rows.fp == parts.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     names = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("named"))
