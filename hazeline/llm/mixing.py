@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.tables import n_words, ranked, written
+from hazeline.llm.tables import n_words, ranked, rest_of, written
 
 UNIT = 1 << 32
 _WIDE = "decimal(38,0)"
@@ -92,13 +92,13 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, se
 
 def mixture(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that agree in id, text and source give their copies together."""
-    counts = mixed(docs, weights, most, seed).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("key_copies")).filter("key_copies > 0")
-    counts = counts.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), F.col("source").alias("key_source"), "key_copies")
-    hashed = docs.withColumn("key_text", F.xxhash64("text"))
-    chosen = hashed.join(counts, hashed.doc_id.eqNullSafe(counts.key_id) & (hashed.key_text == counts.key_hash) & hashed.source.eqNullSafe(counts.key_source))
-    first = F.row_number().over(Window.partitionBy("key_id", "key_hash", "key_source").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text", "source"))))
-    chosen = chosen.withColumn("key_rank", first).filter("key_rank = 1")
-    return chosen.withColumn("key_copy", F.explode(F.sequence(F.lit(1), F.col("key_copies").cast("int")))).select(*docs.columns)
+    counts = mixed(docs, weights, most, seed).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("__key_copies")).filter("__key_copies > 0")
+    counts = counts.select(F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__key_hash"), F.col("source").alias("__key_source"), "__key_copies")
+    hashed = docs.withColumn("__key_text", F.xxhash64("text"))
+    chosen = hashed.join(counts, hashed.doc_id.eqNullSafe(counts["__key_id"]) & (hashed["__key_text"] == counts["__key_hash"]) & hashed.source.eqNullSafe(counts["__key_source"]))
+    first = F.row_number().over(Window.partitionBy("__key_id", "__key_hash", "__key_source").orderBy(rest_of(docs)))
+    chosen = chosen.withColumn("__key_rank", first).filter("__key_rank = 1")
+    return chosen.withColumn("__key_copy", F.explode(F.sequence(F.lit(1), F.col("__key_copies").cast("int")))).select(*docs.columns)
 
 
 ORACLE = """

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hazeline.llm.arrays import mix, signed, slices, utf8, windows, word_hashes
 from hazeline.llm.components import components
-from hazeline.llm.tables import written
+from hazeline.llm.tables import rest_of, written
 
 BANDS, ROWS = 48, 6
 _PERMUTATIONS = BANDS * ROWS // 2
@@ -225,12 +225,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the least id (then text hash), once. Texts without words all stay."""
     found = near_duplicates(docs, shingle, percent)
-    alone = found.filter("root IS NULL").select("doc_id", "text_hash", F.lit(False).alias("once"))
+    alone = found.filter("root IS NULL").select("doc_id", "text_hash", F.lit(False).alias("__key_once"))
     one = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
-    one = one.select("best.doc_id", "best.text_hash", F.lit(True).alias("once"))
-    keys = one.unionByName(alone).distinct().select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "once")
-    hashed = docs.withColumn("key_text", F.xxhash64("text"))
-    kept = hashed.join(keys, hashed.doc_id.cast("bigint").eqNullSafe(keys.key_id) & (hashed.key_text == keys.key_hash))
+    one = one.select("best.doc_id", "best.text_hash", F.lit(True).alias("__key_once"))
+    keys = one.unionByName(alone).distinct().select(F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__key_hash"), "__key_once")
+    hashed = docs.withColumn("__key_text", F.xxhash64("text"))
+    kept = hashed.join(keys, hashed.doc_id.cast("bigint").eqNullSafe(keys["__key_id"]) & (hashed["__key_text"] == keys["__key_hash"]))
     # A row that repeats another in id and text is a copy of it.
-    rank = F.row_number().over(Window.partitionBy("key_id", "key_hash").orderBy(*(F.col(c) for c in docs.columns if c != "text")))
-    return kept.withColumn("key_rank", rank).filter("NOT once OR key_rank = 1").select(*docs.columns)
+    rank = F.row_number().over(Window.partitionBy("__key_id", "__key_hash").orderBy(rest_of(docs)))
+    return kept.withColumn("__key_rank", rank).filter("NOT __key_once OR __key_rank = 1").select(*docs.columns)

@@ -38,3 +38,9 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     starts = starts.select("rank_part", F.coalesce(F.sum("rank_n").over(along), F.lit(0)).alias("rank_start"))
     own = F.row_number().over(Window.partitionBy("rank_part").orderBy(*order))
     return parts.withColumn("rank_own", own).join(starts, "rank_part").withColumn(name, F.col("rank_start") + F.col("rank_own") - 1).select(*df.columns, name)
+
+
+def rest_of(docs: DataFrame) -> Column:
+    """All columns but id and text as one text, to order rows that agree in those."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest))) if rest else F.lit("")

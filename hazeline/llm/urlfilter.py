@@ -54,6 +54,7 @@ def _span(day: Column) -> Column:
 
 def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched_on) with n_active, lists and blocked."""
+    captures = captures.select("page_id", "url", "fetched_on")
     days = captures.agg(F.min("fetched_on").alias("first"), F.max("fetched_on").alias("last")).first()
     active = intervals(entries)
     if days.first is None:
