@@ -110,7 +110,7 @@ def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callab
     sizes = docs.select("doc_id", size.cast("bigint").alias("size"), F.xxhash64("doc_id", "text").alias("hash"))
     count = F.when(F.col("size") > 0, F.expr(f"(size - 1) div {most}"))
     pieces = sizes.select("doc_id", "hash", "size", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), count)).alias("piece"))
-    length = F.coalesce(F.least(F.lit(most).cast("bigint"), F.col("size") - F.col("piece") * most), F.lit(0))
+    length = F.when(F.col("piece").isNull(), 0).otherwise(F.least(F.lit(most).cast("bigint"), F.col("size") - F.col("piece") * most))
     # Buckets by hash and place spread equal rows.
     bucket = F.pmod(F.xxhash64("hash", "piece", F.monotonically_increasing_id()), F.lit(_BUCKETS))
     pieces = written(pieces.select("doc_id", "hash", "piece", length.cast("bigint").alias("n_tokens"), bucket.alias("bucket")), "pieces")
