@@ -10,6 +10,27 @@ from hazeline.functions import text as X
 NUMERIC_KINDS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
 
 
+_BARE = r'([\[:,]\s*)(-?Infinity|NaN)(?=\s*[,\]}])'
+
+
+def parsed(text: Column) -> Column:
+    """The text as VARIANT, null when it isn't JSON. Of equal keys the last counts. Bare NaN and Infinity, which JSON lacks, become text:
+    no number field accepts them, so they reject their row and not the call."""
+    quoted = F.regexp_replace(text, F.lit(_BARE), F.lit('$1"$2"'))
+    retry = F.when(text.rlike("NaN|Infinity"), F.try_parse_json(quoted))
+    return F.coalesce(F.try_parse_json(text), retry)
+
+
+def first_of(value: Column) -> tuple[Column, Column]:
+    """(first element, whether there can be none): an array's first element, a text's first character, null for what is missing or
+    falsy. Any other value has no first element."""
+    shape = kind(value)
+    first = F.when(shape == "ARRAY", F.try_variant_get(value, "$[0]", "variant")).when(
+        shape == "STRING", F.left(F.try_variant_get(value, "$", "string"), F.lit(1)).cast("variant")
+    )
+    return F.when(truthy(value), first), truthy(value) & ~shape.isin("ARRAY", "STRING")
+
+
 def at(payload: Column, path: str) -> Column:
     """Sub-value as VARIANT: SQL null when the path is missing, a variant null when JSON says ``null``."""
     return F.try_variant_get(payload, path, "variant")
@@ -44,7 +65,7 @@ def truthy(value: Column) -> Column:
 def document_text(raw: Column) -> Column:
     """Payload text that parses as JSON; null for blank, N/A, malformed text and JSON ``null``."""
     stripped = X.null_token(raw)
-    return F.when((stripped != "null") & F.try_parse_json(stripped).isNotNull(), stripped)
+    return F.when((stripped != "null") & parsed(stripped).isNotNull(), stripped)
 
 
 def is_document(json_text: Column) -> Column:

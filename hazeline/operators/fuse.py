@@ -1,10 +1,13 @@
-"""Fusion to one row per (city, day): the first record by arrival wins whole, the others live on in lineage."""
+"""Fusion to one row per (city, day): the first record by arrival wins whole, all records of the group are its lineage.
+
+Gold holds the winner and the number of records. Lineage is a long table, one row per source record, at every size.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.operators.sizing import slice_large_groups
@@ -12,8 +15,6 @@ from hazeline.operators.survivors import first_by_arrival
 
 MERGED = "merged"
 FUSION_KEY = ["city", "record_date"]
-# Most source records one lineage row may hold.
-LINEAGE_ROWS = 1_000
 
 
 def fuse_winners(df: DataFrame, keys: Sequence[str] = FUSION_KEY, ord: str = "ord") -> DataFrame:
@@ -21,72 +22,47 @@ def fuse_winners(df: DataFrame, keys: Sequence[str] = FUSION_KEY, ord: str = "or
     return first_by_arrival(df, keys, ord)
 
 
-def gather(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = FUSION_KEY, ord: str = "ord", limit: int = LINEAGE_ROWS
-) -> tuple[DataFrame, bool]:
-    """Rows of each group as ``items``, an array in arrival order.
+def lineage_rows(silver: DataFrame, record_columns: Sequence[str], ord: str = "ord") -> DataFrame:
+    """The whole lineage, without an exchange: fusion key, arrival order, source, endpoint and the source record."""
+    return silver.select(
+        F.lit(MERGED).alias("source_api"),
+        "city",
+        F.col("record_date").alias("data_date"),
+        F.col(ord).alias("ord"),
+        "source",
+        "endpoint",
+        F.struct(*[F.col(f"`{c}`") for c in record_columns]).alias("source_record"),
+    )
+
 
-    A group within the limit is one row with ``slice`` 0; a larger one is several rows whose slices sort in
-    arrival order, so no task ever builds a list longer than ``limit``.
-    """
-    sliced, cut = slice_large_groups(df, keys, ord, limit)
+def lineage_lists(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = FUSION_KEY, ord: str = "ord") -> DataFrame:
+    """For reading: the keys and one array per column, in arrival order. Every record is in; choose the keys and narrow columns."""
     item = F.struct(F.col(ord).alias("_ord"), *[F.col(f"`{c}`") for c in columns])
-    rows = sliced.groupBy(*keys, F.col("_slice").alias("slice")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return rows, cut
-
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return lists.select(*keys, *[F.col("_items")[c].alias(c) for c in columns])
 
-def _lineage(key_city: str, key_day: str, record_columns: Sequence[str]):
-    record = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in record_columns]))
-    return F.struct(
-        F.lit(MERGED).alias("source_api"),
-        F.col(key_city).alias("city"),
-        F.date_format(key_day, "yyyy-MM-dd").alias("data_date"),
-        F.col("items.source").alias("source_apis"),
-        F.col("items.endpoint").alias("source_endpoints"),
-        record.alias("source_records"),
-    )
 
+def gather(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = FUSION_KEY, ord: str = "ord", limit: int = 1_000) -> DataFrame:
+    """For reading in pages: rows of each group as ``items`` in arrival order, at most ``limit`` to a row. No record is left out.
 
-def lineage_rows(
-    silver: DataFrame, record_columns: Sequence[str], ord: str = "ord", limit: int = LINEAGE_ROWS
-) -> DataFrame:
-    """The whole lineage: (city, data_date, slice, lineage), each row at most ``limit`` records."""
-    rows, _ = gather(silver, record_columns, FUSION_KEY, ord, limit)
-    return rows.select(
-        "city", F.col("record_date").alias("data_date"), "slice", _lineage("city", "record_date", record_columns).alias("lineage")
-    )
+    A group within the limit is one row with ``slice`` 0; a larger one is several rows whose slices sort in arrival order.
+    """
+    sliced = slice_large_groups(df, keys, ord, limit)
+    item = F.struct(F.col(ord).alias("_ord"), *[F.col(f"`{c}`") for c in columns])
+    return sliced.groupBy(*keys, F.col("_slice").alias("slice")).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
-def fuse(
-    silver: DataFrame, ord: str = "ord", include_payload: bool = True, limit: int = LINEAGE_ROWS
-) -> DataFrame:
-    """Gold rows: the winner's columns, ``merged`` markers, the fusion day, and lineage.
+def fuse(silver: DataFrame, ord: str = "ord", include_payload: bool = True) -> DataFrame:
+    """Gold rows: the winner's columns, ``merged`` markers, the fusion day and ``lineage_records``, the size of the group.
 
-    ``silver`` needs ``city``, ``record_date``, ``source``, ``endpoint``, ``status`` and the arrival order. One wide
-    exchange in the usual case. A group over ``limit`` records keeps its first slice inline; ``lineage_rows`` tells
-    the number of slices of every group and :func:`lineage_rows` gives all of them.
+    ``silver`` needs ``city``, ``record_date``, ``source``, ``endpoint``, ``status`` and the arrival order. Only winners cross
+    the exchange whole; counts are combined before theirs, on the same keys.
     """
-    columns = [c for c in silver.columns if c not in (ord, "record_date")]
-    kept_records = [c for c in columns if include_payload or c != "raw_payload"]
-    rows, cut = gather(silver, columns, FUSION_KEY, ord, limit)
-    if cut:
-        # The first slice holds the winner. Slice counts are combined before their own small exchange.
-        counts = rows.groupBy(*FUSION_KEY).agg(F.count(F.lit(1)).cast("int").alias("lineage_slices"))
-        window = Window.partitionBy(*FUSION_KEY).orderBy("slice")
-        first = rows.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
-        rows = first.join(counts, FUSION_KEY, "left")
-    else:
-        rows = rows.withColumn("lineage_slices", F.lit(1))
-    fixed = {
-        "source": F.lit(MERGED),
-        "endpoint": F.array(F.lit(MERGED)),
-        "status": F.lit(MERGED),
-        "data_date": F.col("record_date"),
-        "lineage": _lineage("city", "record_date", kept_records),
-    }
-    winner = F.element_at("items", 1)
-    names = columns + [c for c in ("data_date", "lineage") if c not in columns]
-    keys_out = {"city": F.col("city")}
-    return rows.select(
-        *[fixed.get(c, keys_out.get(c, winner[c])).alias(c) for c in names], "lineage_slices"
-    )
+    columns = [c for c in silver.columns if c not in (ord, "record_date", "lineage") and (include_payload or c != "raw_payload")]
+    winners = fuse_winners(silver.select(ord, "record_date", *columns), FUSION_KEY, ord)
+    counts = silver.groupBy(*FUSION_KEY).agg(F.count(F.lit(1)).alias("lineage_records"))
+    marks = counts.select(F.col("city").alias("_city"), F.col("record_date").alias("_day"), "lineage_records")
+    both = winners.join(marks, F.col("city").eqNullSafe(F.col("_city")) & F.col("record_date").eqNullSafe(F.col("_day")))
+    fixed = {"source": F.lit(MERGED), "endpoint": F.array(F.lit(MERGED)), "status": F.lit(MERGED), "data_date": F.col("record_date")}
+    names = columns + [c for c in ("data_date",) if c not in columns]
+    return both.select(*[fixed.get(c, F.col(f"`{c}`")).alias(c) for c in names], "lineage_records")

@@ -1,4 +1,4 @@
-"""Size checks: what may be broadcast, and which groups are too large for one task."""
+"""Groups that are too large for one row of a list."""
 
 from __future__ import annotations
 
@@ -7,50 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-SALTS = 64
 
-
-def within(df: DataFrame, rows: int) -> int | None:
-    """Row count when it is at most ``rows``, else None. The limit keeps the check itself small."""
-    n = df.limit(rows + 1).count()
-    return n if n <= rows else None
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after a count; a larger side stays unhinted and Spark picks a shuffled join."""
-    return F.broadcast(df) if within(df, rows) is not None else df
-
-
-def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys of the groups with more than ``limit`` rows (counts are combined before the shuffle)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
-
-
-def slice_large_groups(
-    df: DataFrame, keys: Sequence[str], order: str, limit: int, small_rows: int = BROADCAST_ROWS
-) -> tuple[DataFrame, bool]:
+def slice_large_groups(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:
     """Add ``_slice`` so that each (keys, _slice) holds at most ``limit`` rows, slices in ``order``.
 
-    Groups within the limit keep slice 0. A larger group is cut by its order value; since that is unique,
-    a range of ``limit`` values cannot hold more rows. Returns the frame and whether anything was cut.
+    Groups within the limit keep slice 0. A larger group is cut by its order value; since that is unique, a range of
+    ``limit`` values cannot hold more rows. Counts are combined before the shuffle; Spark chooses the join by their size.
     """
-    large = large_groups(df, keys, limit)
-    found = within(large, small_rows)
-    if found == 0:
-        return df.withColumn("_slice", F.lit(0).cast("bigint")), False
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    marks = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_large"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     # Floor division that stays in BIGINT.
     cut = F.expr(f"(`{order}` - pmod(`{order}`, {limit}L)) div {limit}L")
-    if found is not None:
-        marks = F.broadcast(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_large")))
-        left, extra = df, []
-    else:
-        # Too many large groups to broadcast: spread both sides over salts so no key meets in one task.
-        spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_r")
-        marks = large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_large"), spread)
-        left, extra = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")), ["_salt"]
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    if extra:
-        on.append(F.col("_salt") == F.col("_salt_r"))
-    marked = left.join(marks, on, "left").withColumn("_slice", F.when(F.col("_large"), cut).otherwise(F.lit(0).cast("bigint")))
-    return marked.select(*df.columns, "_slice"), True
+    marked = df.join(marks, on, "left").withColumn("_slice", F.when(F.col("_large"), cut).otherwise(F.lit(0).cast("bigint")))
+    return marked.select(*df.columns, "_slice")

@@ -138,6 +138,9 @@ ORACLES: dict[str, str] = {
         string_agg(coalesce(strftime(data_date, '%Y%m%d'), '-'), ',' ORDER BY ord) AS days,
         'merged' AS source_api, strftime(record_date, '%Y-%m-%d') AS lineage_date
       FROM dated GROUP BY city, record_date""",
+    "lineage_records": f"""WITH {DATED}
+      SELECT 'merged' AS source_api, city, strftime(record_date, '%Y-%m-%d') AS data_date, ord, source, source AS endpoint, temperature, status,
+        response_time_seconds FROM dated""",
     "lineage_slices": f"""WITH {OBS}, sized AS (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM obs),
         cut AS (SELECT *, CASE WHEN n > 500 THEN ord // 500 ELSE 0 END AS slice FROM sized)
       SELECT source, cast(slice AS bigint) AS slice, cast(count(*) AS int) AS n, arg_min(city, ord) AS first_city,
@@ -198,11 +201,11 @@ ORACLES: dict[str, str] = {
         CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(props, '$.k') END AS kind,
         json_extract(props, '$.missing') IS NULL AS missing FROM events""",
     "payload_json": f"""WITH {OBS}, t AS (SELECT ord, trim(CASE WHEN ord % 37 = 0 THEN ' N/a ' WHEN ord % 41 = 0 THEN ' [1, 2] '
-          WHEN ord % 43 = 0 THEN 'null' ELSE raw_payload END) AS raw FROM obs),
-        d AS (SELECT ord, CASE WHEN upper(raw) NOT IN ('', 'N/A') AND json_valid(raw) AND raw <> 'null' THEN raw END AS document FROM t)
-      SELECT ord, document, document IS NOT NULL AND json_type(document) NOT IN ('OBJECT', 'ARRAY') AS rejected FROM d""",
+          WHEN ord % 43 = 0 THEN 'null' WHEN ord % 47 = 0 THEN '{{"a": 1, "a": [2]}}' WHEN ord % 53 = 0 THEN '{{"a": NaN, "b": [-Infinity]}}' ELSE raw_payload END) AS raw FROM obs),
+        d AS (SELECT ord, CASE WHEN upper(raw) NOT IN ('', 'N/A') AND (contains(raw, 'NaN') OR json_valid(raw)) AND raw <> 'null' THEN raw END AS document FROM t)
+      SELECT ord, document, document IS NOT NULL AND left(document, 1) NOT IN ('{{', '[') AS rejected FROM d""",
     "openweather_live": _records(
-        "true", NOW, "'success'", False, temperature="v - 20", humidity="least(v, 100.0)", pressure="1000", wind_speed="v",
+        "k % 97 <> 5", NOW, "'success'", False, temperature="v - 20", humidity="least(v, 100.0)", pressure="1000", wind_speed="v",
         wind_direction="k % 361", cloud_cover="k % 101", rain=OW_RAIN, aqi="k % 6", pm25="v", pm10="v * 2", co="v * 10",
         no="CASE WHEN k % 4 <> 0 THEN v END"),
     "openweather_history": _records(
@@ -210,9 +213,9 @@ ORACLES: dict[str, str] = {
         humidity="least(v, 100.0)", pressure="1000", wind_speed="v", wind_direction="k % 361", cloud_cover="k % 101", rain=f"round({OW_RAIN}, 4)",
         aqi="(k % 6 + 3) / 2", pm25="v", pm10="round(v * 2, 4)", co="round((v * 10 + 5) / 2, 4)", no="CASE WHEN k % 4 <> 0 THEN v END"),
     "openmeteo_live": _records(
-        "true", "CASE WHEN k % 3 = 0 THEN strftime(ts, '%Y-%m-%dT00:00') ELSE strftime(ts, '%Y-%m-%dT%H:%M') END", "'success'", False,
+        "k % 97 NOT IN (5, 6, 7)", "CASE WHEN k % 3 = 0 THEN strftime(ts, '%Y-%m-%dT00:00') ELSE strftime(ts, '%Y-%m-%dT%H:%M') END", "'success'", False,
         temperature="v - 20", humidity="least(v, 100.0)", pressure="1000", wind_speed="v", wind_direction="k % 361",
-        cloud_cover="k % 101", rain="0", aqi="k % 6", pm25="v", pm10="v + 2"),
+        cloud_cover="k % 101", rain="0", aqi="CASE WHEN k % 97 = 8 THEN 2 WHEN k % 97 <> 9 THEN k % 6 END", pm25="v", pm10="v + 2"),
     "openmeteo_history": _records(
         "true", DAY, "'success'", True, temperature="round((v + (v + 0.5)) / 2, 4)", humidity="round((v + (v + 0.5)) / 2, 4)",
         pressure="round((v + (v + 0.5)) / 2, 4)", rain="round((v + (v + 0.5)) / 2, 4)", pm25="round((v + (v + 0.5)) / 2, 4)",
@@ -269,6 +272,18 @@ ORACLES: dict[str, str] = {
         CASE WHEN ord % 9 <> 0 THEN {RUN_MS} ELSE 0 END AS response_time_ms, '{RETRIEVED}' AS retrieved_at FROM obs""",
     "lineage": f"""WITH {OBS} SELECT ord, source AS source_api, concat(source, ',', city) AS endpoint, city, '{RUN_ID}' AS run_id,
         '{RETRIEVED}' AS retrieved_at, {RUN_MS} AS response_time_ms, response_time_seconds, '2.2.0' AS pipeline_version, {VERSIONS} AS api_version FROM obs""",
+    "raw_table": f"""WITH {CALLS}, c AS (SELECT '{RUN_ID}' AS run_id, * FROM calls UNION ALL SELECT '20240201_000000_00000001', * FROM calls WHERE source = 'aqicn')
+      SELECT run_id, source, status, count(*) AS rows, count(*) AS keys FROM (SELECT DISTINCT run_id, source, city, status, error, data_date, raw_payload,
+        response_time_seconds FROM c) GROUP BY ALL""",
+    "feature_table": """WITH o AS (SELECT o_custkey AS city, CASE WHEN o_custkey % 7 <> 0 THEN concat('2024-01-', lpad(cast(o_custkey % 20 + 1 AS varchar), 2, '0')) END AS data_date,
+        o_orderkey AS retrieved_at, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'F' OR o_custkey % 3 <> 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY retrieved_at DESC) AS rn FROM o)
+      SELECT city, data_date, retrieved_at, status FROM r WHERE rn = 1""",
+    "run_reports": f"""WITH {CALLS}, {DATED[len(OBS) + 2:]}, g AS (SELECT *, row_number() OVER (PARTITION BY city, record_date ORDER BY ord) AS rn FROM dated),
+        m AS (SELECT count(*) FILTER (humidity IS NULL) AS h, count(*) AS r FROM g WHERE rn = 1)
+      SELECT 'failed_requests' AS part, 'failures' AS name, cast(NULL AS bigint) AS success, count(*) FILTER (status <> 'success') AS failed FROM calls
+      UNION ALL SELECT 'api_summary', CASE WHEN ord % 10 = 0 THEN 'unknown' ELSE source END, count(*) FILTER (status = 'success'), count(*) FILTER (status <> 'success') FROM calls GROUP BY 2
+      UNION ALL SELECT * FROM (SELECT 'missing_values', 'humidity', cast(NULL AS bigint), h FROM m UNION ALL SELECT 'missing_values', 'rain', NULL, r FROM m) x(a, b, c, d) WHERE d > 0""",
     "missing_values": f"""WITH {DATED}, g AS (SELECT *, row_number() OVER (PARTITION BY city, record_date ORDER BY ord) AS rn FROM dated),
         m AS (SELECT count(*) FILTER (humidity IS NULL) AS h, count(*) FILTER (pm25 = -9999) AS p, count(*) AS r FROM g WHERE rn = 1)
       SELECT * FROM (SELECT 'humidity' AS field, h AS missing FROM m UNION ALL SELECT 'pm25', p FROM m UNION ALL SELECT 'rain', r FROM m) WHERE missing > 0""",

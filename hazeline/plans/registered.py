@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from hazeline.operators.statistics import column_statistics
 from hazeline.plans.run import checked_records
 from hazeline.plans.stand_ins import RUN, calls, city_dim, dated, landed, measured, obs, table
 from hazeline.session import shared_folder
-from hazeline.sinks import snapshots
+from hazeline.operators.standardize import Run
+from hazeline.sinks import reports, snapshots, tables
 from hazeline.sources import cities, spine
 from hazeline.sources.landed import READERS, to_calls, to_records
 
@@ -63,23 +65,33 @@ def dedup_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def gold_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full fusion with lineage arrays in arrival order."""
-    silver = dated(obs(spark, sf_dir)).withColumn("endpoint", F.array(F.col("source"))).drop("ts", "value")
-    gold = fuse.fuse(silver)
-    return gold.select(
+    """Full fusion, with the whole lineage of every group as lists of its narrow columns in arrival order."""
+    silver = dated(obs(spark, sf_dir)).withColumn("endpoint", F.array(F.col("source")))
+    gold = fuse.fuse(silver.drop("ts", "value", "raw_payload")).select("city", "data_date", "source", "status", "endpoint", "temperature", "lineage_records")
+    lists = fuse.lineage_lists(
+        silver.select("city", F.col("record_date").alias("day"), "ord", "source", F.array_join("endpoint", "+").alias("endpoint"), F.date_format("data_date", "yyyyMMdd").alias("data_date")),
+        ["source", "endpoint", "data_date"], ["city", "day"],
+    ).withColumnsRenamed({"source": "sources", "endpoint": "endpoints", "data_date": "days"})
+    both = gold.join(lists.withColumnRenamed("city", "_city"), (F.col("city") == F.col("_city")) & (F.col("data_date") == F.col("day")))
+    return both.select(
         "city", _day_text("data_date"), "source", "status", F.array_join("endpoint", ",").alias("endpoint"), "temperature",
-        F.size("lineage.source_records").alias("records"),
-        F.array_join("lineage.source_apis", ",").alias("sources"),
-        F.array_join(F.transform("lineage.source_endpoints", lambda e: F.array_join(e, "+")), ",").alias("endpoints"),
-        F.array_join(F.transform("lineage.source_records", lambda r: F.date_format(r["data_date"], "yyyyMMdd")), ",", "-").alias("days"),
-        "lineage.source_api", F.col("lineage.data_date").alias("lineage_date"),
+        F.col("lineage_records").cast("int").alias("records"), F.array_join("sources", ",").alias("sources"), F.array_join("endpoints", ",").alias("endpoints"),
+        F.array_join("days", ",", "-").alias("days"), F.lit(fuse.MERGED).alias("source_api"), F.date_format("data_date", "yyyy-MM-dd").alias("lineage_date"),
     )
 
 
+@registered
+def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage as it is stored: one row for each source record of a fused day."""
+    silver = dated(obs(spark, sf_dir)).withColumn("endpoint", F.array(F.col("source")))
+    rows = fuse.lineage_rows(silver, ["temperature", "status", "response_time_seconds"])
+    return rows.select("source_api", "city", _day_text("data_date"), "ord", "source", F.array_join("endpoint", ",").alias("endpoint"), "source_record.*")
+
+
 @registered
 def lineage_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of three groups that own a third of the rows each, cut into slices of at most 500 rows."""
-    rows, _ = fuse.gather(obs(spark, sf_dir), ["city"], ["source"], "ord", 500)
+    """Lineage read in pages of at most 500 records, of three groups that own a third of the rows each."""
+    rows = fuse.gather(obs(spark, sf_dir), ["city"], ["source"], "ord", 500)
     return rows.select(
         "source", "slice", F.size("items").alias("n"), F.element_at("items", 1)["city"].alias("first_city"),
         F.element_at("items", -1)["city"].alias("last_city"),
@@ -145,10 +157,9 @@ def dim_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "city", F.col("r_name").alias("country"), "latitude", "longitude"
     )
+    exact = cities.with_location_id(dim, ids, "city").withColumnRenamed("location_id", "exact_id")
     # The second lookup goes by the normalized name.
-    named = cities.with_location_id(dim.withColumn("name", F.concat(F.lit("key "), F.col("city"))), ids, "name")
-    exact = cities.with_location_id(dim, ids, "city").withColumnRenamed("location_id", "exact_id").select("city", "exact_id")
-    full = named.join(exact, "city")
+    full = cities.with_location_id(exact.withColumn("name", F.concat(F.lit("key "), F.col("city"))), ids, "name")
     o = obs(spark, sf_dir).select("ord", F.concat(F.lit("NATION_"), F.col("nation_id").cast("string")).alias("city"))
     return cities.with_city(o, full, ["country", "latitude", "longitude", "location_id", "exact_id"])
 
@@ -233,7 +244,8 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = obs(spark, sf_dir)
     raw = F.when(F.col("ord") % 37 == 0, F.lit(" N/a ")).when(F.col("ord") % 41 == 0, F.lit(" [1, 2] ")).when(
-        F.col("ord") % 43 == 0, F.lit("null")).otherwise(F.col("raw_payload"))
+        F.col("ord") % 43 == 0, F.lit("null")).when(F.col("ord") % 47 == 0, F.lit('{"a": 1, "a": [2]}')).when(
+        F.col("ord") % 53 == 0, F.lit('{"a": NaN, "b": [-Infinity]}')).otherwise(F.col("raw_payload"))
     document = payload.document_text(raw)
     return o.select("ord", document.alias("document"), (document.isNotNull() & ~payload.is_document(document)).alias("rejected"))
 
@@ -282,14 +294,16 @@ def landed_to_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     readers = {source: READERS[source] for source in ("openweather", "openmeteo")}
     records = to_records(to_calls(both, RUN, readers), city_dim(spark, sf_dir))
     # As in a run, the silver layer is written once and fusion reads it back.
-    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/landed_to_gold"
+    base = _scratch(spark, "landed_to_gold")
     snapshots.write_snapshot(validate.accepted(checked_records(records, RUN)), base, "silver", RUN.run_id)
     silver = snapshots.read_snapshot(spark, base, "silver", RUN.run_id)
-    gold = fuse.fuse(silver.select("ord", *SILVER_COLUMNS, validate.RECORD_DATE), include_payload=False)
-    return gold.select(
+    silver = silver.select("ord", *SILVER_COLUMNS, validate.RECORD_DATE)
+    gold = fuse.fuse(silver, include_payload=False)
+    sources = fuse.lineage_lists(silver, ["source"]).select(F.col("city").alias("_city"), F.col(validate.RECORD_DATE).alias("_day"), F.col("source").alias("sources"))
+    return gold.join(sources, (F.col("city") == F.col("_city")) & (F.col("data_date") == F.col("_day"))).select(
         "city", _day_text("data_date"), "source", "temperature", "humidity", "aqi", "pm25", "no", "api_version",
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        F.array_join("lineage.source_apis", ",").alias("sources"),
+        F.array_join("sources", ",").alias("sources"),
     )
 
 
@@ -524,10 +538,52 @@ def union_sorted_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.union_sorted([customer, supplier])
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder among the shared ones."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@registered
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of two runs upserted into the stored raw table, the first run twice, and read back."""
+    path, later = _scratch(spark, "raw_table"), Run("20240201_000000_00000001", RUN.at)
+    rows = B.bronze(_calls(spark, sf_dir), RUN)
+    for run_, part in ((RUN, rows), (later, B.bronze(_calls(spark, sf_dir).filter(F.col("source") == "aqicn"), later)), (RUN, rows)):
+        tables.upsert_raw(part, path, run_.run_id, run_.at)
+    return spark.read.parquet(path).groupBy("run_id", "source", "status").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("record_key").alias("keys"))
+
+
+@registered
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders merged twice into a table partitioned by a day that some rows lack; the latest version of a key wins."""
+    path = _scratch(spark, "feature_table")
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("city"), F.when(F.col("o_custkey") % 7 != 0, F.to_date(F.concat(F.lit("2024-01-"), F.lpad((F.col("o_custkey") % 20 + 1).cast("string"), 2, "0")))).alias("data_date"),
+        F.col("o_orderkey").alias("retrieved_at"), F.col("o_orderstatus").alias("status"),
+    )
+    for part in (o.filter("status = 'F'"), o.filter("status <> 'F' AND city % 3 <> 0")):
+        tables.merge_partitions(path, part, "data_date", lambda old, new: upsert.merge_latest(old, new, ["city", "data_date"]))
+    return spark.read.parquet(path).select("city", _day_text("data_date"), "retrieved_at", "status")
+
+
+@registered
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality report of one run over all calls, flattened: unknown sources are folded, failures counted in full."""
+    c = _calls(spark, sf_dir).withColumn("source", F.when(F.col("ord") % 10 == 0, F.concat(F.lit("other"), F.col("ord").cast("string"))).otherwise(F.col("source")))
+    gold = fuse.fuse_winners(dated(obs(spark, sf_dir)))
+    monitored = gold.select(*[F.col(m) if m in ("temperature", "humidity", "aqi") else F.lit(None if m == "rain" else 1.0).cast("double").alias(m) for m in MEASURES])
+    counters = c.agg(F.count(F.lit(1)).alias("total_api_calls"))
+    report = reports.quality_report(reports.summary(counters, c, monitored, RUN.run_id, 1, 0.0, "failures"))
+    failures = report.select(F.lit("failed_requests").alias("part"), F.col("failed_requests.path").alias("name"), F.lit(None).cast("bigint").alias("success"), F.col("failed_requests.count").alias("failed"))
+    per_source = report.select(F.explode("api_summary").alias("name", "v")).select(F.lit("api_summary").alias("part"), "name", "v.success", "v.failed")
+    missing = report.select(F.explode("missing_values").alias("name", "failed")).select(F.lit("missing_values").alias("part"), "name", F.lit(None).cast("bigint").alias("success"), "failed")
+    return failures.unionByName(per_source).unionByName(missing)
+
+
 @registered
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze snapshot and latest copy, written to the shared folder and read back."""
-    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/snapshot"
+    base = _scratch(spark, "snapshot")
     rows = B.bronze(_calls(spark, sf_dir), RUN)
     snapshots.write_snapshot(rows, base, "bronze", RUN.run_id, ["source"])
     written = snapshots.read_snapshot(spark, base, "bronze", RUN.run_id)

@@ -29,6 +29,8 @@ from hazeline.sources.landed import read_landed, to_calls, to_records
 from hazeline.sources.spine import check_window
 
 ACCEPTED = "accepted"
+#: Of a source record in lineage; its payload is in bronze.
+LINEAGE_COLUMNS = [c for c in SILVER_COLUMNS if c not in ("raw_payload", "lineage")]
 
 
 @dataclass(frozen=True)
@@ -74,17 +76,19 @@ def _execute(
     started = time.perf_counter()
     calls = to_calls(landed, run)
     snapshots.write_snapshot(bronze(calls, run), base, "bronze", run.run_id, ["source"])
-    checked = checked_records(to_records(calls, cities), run).withColumn(ACCEPTED, F.size(ERRORS) == 0)
-    snapshots.write_snapshot(checked, base, "silver", run.run_id, [ACCEPTED])
+    planned = checked_records(to_records(calls, cities), run).withColumn(ACCEPTED, F.size(ERRORS) == 0)
+    # Both kinds come from one pass; silver and quarantine are layers of their own.
+    snapshots.write_snapshot(planned, base, "checked", run.run_id, [ACCEPTED])
 
     raw = _written(bronze(calls, run), base, "bronze", run)
-    checked = _written(checked, base, "silver", run).withColumn(ACCEPTED, F.col(ACCEPTED).cast("boolean"))
-    silver = silver_of(checked)
+    checked = _written(planned, base, "checked", run).withColumn(ACCEPTED, F.col(ACCEPTED).cast("boolean"))
+    snapshots.write_snapshot(silver_of(checked), base, "silver", run.run_id)
+    snapshots.write_snapshot(quarantine_of(checked).drop(ACCEPTED), base, "quarantine", run.run_id)
+    silver = _written(silver_of(checked), base, "silver", run)
     fused = fuse(silver)
     snapshots.write_snapshot(fused, base, "gold", run.run_id)
     gold = _written(fused, base, "gold", run)
-    if not gold.filter(F.col("lineage_slices") > 1).isEmpty():
-        snapshots.write_snapshot(lineage_rows(silver, SILVER_COLUMNS), base, "gold_lineage", run.run_id)
+    snapshots.write_snapshot(lineage_rows(silver, LINEAGE_COLUMNS), base, "lineage", run.run_id)
 
     snapshots.write_latest(raw, f"{base}/latest/raw")
     tables.upsert_raw(raw, f"{base}/tables/raw_records", run.run_id, run.at)
@@ -99,14 +103,17 @@ def _report(
     """Reports come last: their presence says the run is complete."""
     # A call has a record exactly when it did not fail.
     counters = run_counters(raw, F.col("status") != FAILED, checked, F.col(ACCEPTED))
-    summary = reports.summary(counters, raw, gold, run.run_id, cities_processed, time.perf_counter() - started)
+    folder = f"{base}/reports/run_id={run.run_id}"
+    failed_requests(raw).write.mode("overwrite").json(f"{folder}/failed_requests")
+    planned = reports.summary(counters, raw, gold, run.run_id, cities_processed, time.perf_counter() - started, f"{folder}/failed_requests")
+    # One row, read by every report.
+    planned.coalesce(1).write.mode("overwrite").parquet(f"{folder}/summary")
+    summary = spark.read.schema(planned.schema).parquet(f"{folder}/summary")
     drift_row = None
     if compare:
         earlier = snapshots.read_snapshot(spark, base, "gold", drift_against) if drift_against else None
         drift_row = reports.drift_report(drift(gold, earlier, thresholds), run.run_id, drift_against)
         reports.write_report(drift_row, f"{base}/reports/drift/run_id={run.run_id}")
-    folder = f"{base}/reports/run_id={run.run_id}"
-    failed_requests(raw).write.mode("overwrite").json(f"{folder}/failed_requests")
     call_log(raw).write.mode("overwrite").text(f"{folder}/call_log")
     reports.write_report(reports.metrics_report(summary), f"{folder}/metrics")
     reports.write_report(reports.quality_report(summary), f"{folder}/quality")

@@ -101,7 +101,9 @@ def _payload(source: str, past: bool) -> Column:
             F.struct(v.alias("pm2_5"), (v * 2).alias("pm10"), (v * 10).alias("co"), F.when(k % 4 != 0, v).alias("no")).alias("components"),
         )
         if not past:
-            return F.to_json(F.struct(item.alias("weather"), F.struct(F.array(pollution).alias("list")).alias("air_quality")))
+            whole = F.to_json(F.struct(item.alias("weather"), F.struct(F.array(pollution).alias("list")).alias("air_quality")))
+            # A pollution list that is an object has no first item.
+            return F.when(k % 97 == 5, F.concat(F.lit('{"weather": '), F.to_json(item), F.lit(', "air_quality": {"list": {"0": 1}}}'))).otherwise(whole)
         # Texts are joined, as the items of a list may differ in shape.
         weather = F.concat(F.lit('{"list": ['), F.to_json(item), F.lit(", "), F.to_json(second), F.lit("]}"))
         air = F.concat(F.lit('{"list": ['), F.to_json(pollution), F.lit(', {"main": {"aqi": 3}, "components": {"co": 5}}]}'))
@@ -122,7 +124,11 @@ def _payload(source: str, past: bool) -> Column:
             F.array(F.date_format("ts", "yyyy-MM-dd'T'00:00")).alias("time"), F.array(v, v + 1).alias("pm2_5"),
             F.array(v + 2, v).alias("pm10"), F.array((k % 6), k).alias("us_aqi"), F.array().cast("array<double>").alias("ozone"),
         )
-        return F.to_json(F.struct(F.struct(current.alias("current")).alias("weather"), F.struct(air.alias("hourly")).alias("air_quality")))
+        whole = F.to_json(F.struct(F.struct(current.alias("current")).alias("weather"), F.struct(air.alias("hourly")).alias("air_quality")))
+        # Hourly values that are no list fail the call, as does text cut short; of equal keys the last counts, and an empty text is no value.
+        index = F.when(k % 97 == 5, F.lit('{"x": 1}')).when(k % 97 == 6, F.lit("7")).when(k % 97 == 8, F.lit('[1], "us_aqi": [2]')).when(k % 97 == 9, F.lit('""'))
+        planted = F.regexp_replace(whole, r'"us_aqi":\[[^\]]*\]', F.concat(F.lit('"us_aqi":'), index))
+        return F.when(k % 97 == 7, F.substring(whole, 1, 40)).when(index.isNotNull(), planted).otherwise(whole)
     readings = F.struct(F.struct(v.alias("v")).alias("pm25"), F.when(k % 4 != 0, F.struct(v.alias("v"))).alias("no2"))
     index = F.when(k % 8 == 0, F.lit('"-"')).when(k % 8 == 1, F.lit('"12.0"')).otherwise((k % 300).cast("string"))
     data = F.concat(F.lit('{"aqi": '), index, F.lit(', "iaqi": '), F.to_json(readings), F.lit("}"))

@@ -31,9 +31,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "ha
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings the rules rely on: days and instants are UTC, and methods too long for the JIT are split."""
+    """Runtime settings the rules rely on: days and instants are UTC, of equal JSON keys the last
+    counts, and methods too long for the JIT are split."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 

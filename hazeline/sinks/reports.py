@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.operators.bronze import failed_requests
+from hazeline.contracts import SOURCES
+from hazeline.operators.bronze import SUCCESS, UNKNOWN
 from hazeline.operators.drift import drift_detected
 from hazeline.operators.metrics import api_summary, missing_values
-from hazeline.operators.sizing import within
-
-# Longest failed-call list put inside a report; the full list is always a table of its own.
-INLINE_FAILURES = 1_000
 
+# The keys of the reports.
 METRICS_KEYS = [
     "run_id", "total_api_calls", "successful_calls", "failed_calls", "rows_processed", "rows_skipped",
     "invalid_records", "duplicates_removed", "execution_time_seconds",
@@ -30,27 +28,29 @@ def _as_map(df: DataFrame, key: str, value) -> DataFrame:
     return df.agg(F.map_from_entries(F.array_sort(entry)).alias("m"))
 
 
+def known_source(source: Column) -> Column:
+    """A provider's name, or ``unknown`` for any other text, so that summaries stay as short as the provider list."""
+    return F.when(source.isin(*(name for name, _ in SOURCES)), source).otherwise(UNKNOWN)
+
+
 def summary(
-    counters: DataFrame, calls: DataFrame, gold: DataFrame, run_id: str, cities_processed: int, seconds: float
+    counters: DataFrame, calls: DataFrame, gold: DataFrame, run_id: str, cities_processed: int, seconds: float, failures: str = ""
 ) -> DataFrame:
     """The run summary as one row: counters, per-source results, missing values, failed calls.
 
-    The maps have one entry per source and per monitored field. Failed calls are listed inline up to
-    ``INLINE_FAILURES``; above that the list is null here and the failed-call table is the place to look.
+    The maps have one entry per provider and per monitored field. ``failed_requests`` is the number of failed calls and the
+    path of their table, which lists all of them.
     """
-    failures = failed_requests(calls)
-    per_source = _as_map(api_summary(calls), "source", F.struct("success", "failed"))
+    per_source = _as_map(api_summary(calls.withColumn("source", known_source(F.col("source")))), "source", F.struct("success", "failed"))
     missing = _as_map(missing_values(gold), "field", F.col("missing"))
-    listed = failures if within(failures, INLINE_FAILURES) is not None else failures.limit(0)
-    complete = listed is failures
-    inline = listed.agg(F.array_sort(F.collect_list(F.struct("source", "city", "error"))).alias("m"))
+    failed = calls.agg(F.count_if(F.col("status") != SUCCESS).alias("n"))
     # Every frame below is a single row.
     return counters.select(
         "*",
         F.lit(run_id).alias("run_id"),
         F.lit(cities_processed).alias("cities_processed"),
         F.lit(seconds).alias("execution_time_seconds"),
-        (inline.scalar() if complete else F.lit(None)).alias("failed_requests"),
+        F.struct(failed.scalar().alias("count"), F.lit(failures).alias("path")).alias("failed_requests"),
         per_source.scalar().alias("api_summary"),
         missing.scalar().alias("missing_values"),
     )

@@ -10,42 +10,64 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.contracts import BRONZE_COLUMNS, GOLD_KEY
 from hazeline.functions.keys import record_key
 from hazeline.operators.features import feature_rows
-from hazeline.operators.sizing import within
-from hazeline.operators.upsert import merge_by_key, merge_latest
+from hazeline.operators.survivors import one_per_key
+from hazeline.operators.upsert import merge_latest
 from hazeline.sinks.snapshots import read_if_present
 
-# Up to this many touched partitions are named literally, which prunes the read; beyond it a semi join does.
-PRUNED_PARTITIONS = 5_000
-
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def merge_partitions(path: str, incoming: DataFrame, partition: str, merge: Merge) -> None:
-    """Merge ``incoming`` into the table at ``path``, partitioned by ``partition``."""
+def _drop_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
+    """Removes the folders of partitions that have no rows any more; dynamic overwrite leaves those alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for value in values:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{partition}={value}"), True)
+
+
+def _write_partitions(rows: DataFrame, path: str, partition: str) -> None:
+    # Rebalancing keeps files near the advisory size and splits a partition that holds most rows.
+    rows.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def replace_partitions(rows: DataFrame, path: str, partition: str, touched: DataFrame) -> None:
+    """The touched partitions (days, one column) hold exactly these rows afterwards."""
+    spark = rows.sparkSession
+    _write_partitions(rows, path, partition)
+    left = read_if_present(spark, path)
+    if left is not None:
+        days = touched.select(F.col(touched.columns[0]).alias("_day"))
+        empty = days.join(rows.select(F.col(partition).alias("_have")).distinct(), F.col("_day") == F.col("_have"), "left_anti")
+        # One entry for each day of a micro-batch that lost all its rows.
+        _drop_partitions(spark, path, partition, [r[0] for r in empty.collect()])
+
+
+def merge_partitions(path: str, incoming: DataFrame, partition: str, merge: Merge, gone: DataFrame | None = None) -> None:
+    """Merge ``incoming`` into the table at ``path``, partitioned by ``partition``; rows with a key in ``gone`` leave it."""
     spark = incoming.sparkSession
     existing = read_if_present(spark, path)
     if existing is None:
         merged = merge(incoming.limit(0), incoming)
     else:
-        touched = incoming.select(partition).distinct()
-        if within(touched, PRUNED_PARTITIONS) is not None:
-            existing = existing.filter(F.col(partition).isin([r[0] for r in touched.collect()]))
-        else:
-            existing = existing.join(touched, partition, "left_semi")
-        merged = merge(existing, incoming)
+        # A partition without a value is touched like any other; Spark prunes the stored files by the incoming values at run time.
+        touched = incoming.select(F.col(partition).alias("_touched"))
+        touched = (touched if gone is None else touched.unionByName(gone.select(F.col(partition).alias("_touched")))).distinct()
+        old = existing.join(touched, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
+        merged = merge(old if gone is None else old.join(gone, gone.columns, "left_anti"), incoming)
     staging = f"{path.rstrip('/')}/_staging"
-    # Rebalancing keeps files near the advisory size and splits a partition that holds most rows.
     merged.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(staging)
     staged = spark.read.schema(merged.schema).parquet(staging)
-    staged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        partition
-    ).parquet(path)
+    _write_partitions(staged, path, partition)
+    if gone is not None and existing is not None:
+        days = gone.select(F.col(partition).alias("_day")).distinct()
+        empty = days.join(staged.select(F.col(partition).alias("_have")).distinct(), F.col("_day") == F.col("_have"), "left_anti")
+        _drop_partitions(spark, path, partition, [r[0] for r in empty.collect()])
 
 
 def raw_rows(bronze: DataFrame, run_id: str, created_at: datetime | None = None) -> DataFrame:
@@ -56,13 +78,13 @@ def raw_rows(bronze: DataFrame, run_id: str, created_at: datetime | None = None)
 
 
 def upsert_raw(bronze: DataFrame, path: str, run_id: str, created_at: datetime | None = None) -> None:
-    """Raw-table upsert on the record key. The key covers the run id, so only that run's partition can collide."""
-    merge_partitions(
-        path, raw_rows(bronze, run_id, created_at), "run_id", lambda old, new: merge_by_key(old, new, ["record_key"])
-    )
+    """Raw-table upsert on the record key. The key covers the run id, so only that run's partition can collide, and the
+    run's own rows are all that belongs in it: it is replaced directly."""
+    rows = one_per_key(raw_rows(bronze, run_id, created_at), ["record_key"], [F.lit(1)])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def upsert_features(gold: DataFrame, path: str, run_id: str) -> None:
-    """Feature-table upsert on (city, data_date): the latest ``retrieved_at`` wins. Partitioned by day."""
+def upsert_features(gold: DataFrame, path: str, run_id: str, gone: DataFrame | None = None) -> None:
+    """Feature-table upsert on (city, data_date): the latest ``retrieved_at`` wins, and keys in ``gone`` are removed. Partitioned by day."""
     rows = feature_rows(gold, run_id).withColumn("data_date", F.col("data_date").cast("date"))
-    merge_partitions(path, rows, "data_date", lambda old, new: merge_latest(old, new, GOLD_KEY))
+    merge_partitions(path, rows, "data_date", lambda old, new: merge_latest(old, new, GOLD_KEY), gone)

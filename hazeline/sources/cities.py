@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.contracts import CITY
 from hazeline.functions import text as X
-from hazeline.operators.sizing import small_side
 from hazeline.operators.survivors import one_per_key
 
+_ARROW = pa.schema([("position", pa.int64()), ("city", pa.string()), ("latitude", pa.float64()), ("longitude", pa.float64()), ("country", pa.string())])
+
 # The cities collected by default, in collection order.
 DEFAULT_CITIES = [
     ("Karachi", 24.8607, 67.0011, "PK"),
@@ -26,7 +28,9 @@ DEFAULT_CITIES = [
 
 def cities(spark: SparkSession, rows: Sequence[tuple] = DEFAULT_CITIES) -> DataFrame:
     """Dimension rows (name, latitude, longitude, country) with their collection position."""
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], CITY)
+    # As an Arrow table the rows have a size that Spark knows, so it can choose a broadcast.
+    records = [dict(zip(CITY.fieldNames(), (i, *row), strict=True)) for i, row in enumerate(rows)]
+    return spark.createDataFrame(pa.Table.from_pylist(records, _ARROW), CITY)
 
 
 def location_ids(
@@ -59,9 +63,8 @@ def location_ids(
 
 def with_location_id(dim: DataFrame, ids: DataFrame, name: str = "city") -> DataFrame:
     """Attach ``location_id``: by exact name, else (also when that id is empty) by the normalized name."""
-    side = small_side(ids)
-    exact = side.select(F.col("key").alias("_exact"), F.col("location_id").alias("_by_name"))
-    normal = side.select(F.col("key").alias("_normal"), F.col("location_id").alias("_by_key"))
+    exact = ids.select(F.col("key").alias("_exact"), F.col("location_id").alias("_by_name"))
+    normal = ids.select(F.col("key").alias("_normal"), F.col("location_id").alias("_by_key"))
     return (
         dim.join(exact, F.col(name) == F.col("_exact"), "left")
         .join(normal, X.city_key(F.col(name)) == F.col("_normal"), "left")
@@ -72,6 +75,6 @@ def with_location_id(dim: DataFrame, ids: DataFrame, name: str = "city") -> Data
 
 def with_city(df: DataFrame, dim: DataFrame, attributes: Sequence[str] = ("country", "latitude", "longitude")) -> DataFrame:
     """City attributes from the dimension, never from the payload. Unknown cities keep nulls and fail validation."""
-    return df.join(small_side(dim.select("city", *attributes)), "city", "left")
+    return df.join(dim.select("city", *attributes), "city", "left")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hazeline.contracts import LANDED, MEASURES
 from hazeline.functions import numbers as N
+from hazeline.functions import payload as J
 from hazeline.functions.once import computed_once
 from hazeline.operators.bronze import FAILED, UNKNOWN, call_error, call_status
 from hazeline.operators.standardize import Run
@@ -71,7 +72,7 @@ def to_calls(landed: DataFrame, run: Run, readers: Mapping[str, Reader] = READER
     status is failed has no record, whatever its record columns hold.
     """
     full = landed if "malformed" in landed.columns else landed.withColumn("malformed", F.lit(None).cast("string"))
-    parsed = computed_once(full, {"_p": F.try_parse_json("payload")})
+    parsed = computed_once(full, {"_p": J.parsed(F.col("payload"))})
     past = F.col("data_date").isNotNull()
     typed, means = {}, {}
     for source, reader in readers.items():

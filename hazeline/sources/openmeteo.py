@@ -33,17 +33,22 @@ AIR = {
 def live(payload: Column, now: Column) -> tuple[dict[str, Column], Column]:
     """Weather from the current block; air values are the first of each hourly array, whatever its hour."""
     current = J.at(payload, "$.weather.current")
-    first_hour = J.at(payload, "$.air_quality.hourly.time[0]")
     time = J.at(payload, "$.weather.current.time")
+    hourly = {c: J.first_of(J.at(payload, f"$.air_quality.hourly.{f}")) for c, f in {**AIR, "time": "time"}.items()}
+    first_hour, no_hour = hourly.pop("time")
     values = {
         "timestamp": F.coalesce(
             F.when(J.truthy(time), time.cast("string")), F.when(J.truthy(first_hour), first_hour.cast("string")), now
         ),
         "status": F.lit("success"),
         **{c: J.at(payload, f"$.weather.current.{f}") for c, f in WEATHER.items()},
-        **{c: J.at(payload, f"$.air_quality.hourly.{f}[0]") for c, f in AIR.items()},
+        **{c: first for c, (first, _) in hourly.items()},
     }
-    return values, F.when(J.kind(current) != "OBJECT", F.lit("current weather is not an object"))
+    # The hours are only looked at where the current block has no time.
+    shapeless = J.any_of([*[none for _, none in hourly.values()], ~J.truthy(time) & no_hour])
+    return values, F.when(J.kind(current) != "OBJECT", F.lit("current weather is not an object")).when(
+        shapeless, F.lit("hourly values are not a list")
+    )
 
 
 def _arrays(fields: dict[str, str]) -> str:

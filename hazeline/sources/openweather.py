@@ -53,7 +53,11 @@ def live(payload: Column, now: Column) -> tuple[dict[str, Column], Column]:
     blocks = [J.at(payload, f"$.weather.{b}") for b in _BLOCKS] + [J.at(payload, f"{pollution}.components")]
     main = J.at(payload, f"{pollution}.main")
     broken = J.any_of([*[_present_but_no_object(b) for b in blocks], J.truthy(main) & _present_but_no_object(main)])
-    return values, F.when(broken, F.lit("a weather or pollution block is not an object"))
+    listed = J.at(payload, "$.air_quality.list")
+    shapeless = J.truthy(listed) & ~J.kind(listed).isin("ARRAY", "STRING")
+    return values, F.when(shapeless, F.lit("pollution list is not a list")).when(
+        broken, F.lit("a weather or pollution block is not an object")
+    )
 
 
 # Documents of a historical payload, read once per call. Rain stays a VARIANT: most items have none.

@@ -18,12 +18,12 @@ from hazeline.contracts import DEDUP_KEY, LANDED, SILVER_COLUMNS
 from hazeline.functions.keys import record_key
 from hazeline.operators.bronze import bronze
 from hazeline.operators.clean import clean
-from hazeline.operators.fuse import fuse
-from hazeline.operators.sizing import within
+from hazeline.operators.fuse import fuse, lineage_rows
 from hazeline.operators.standardize import Run, standardize
 from hazeline.operators.survivors import first_by_arrival
 from hazeline.operators.validate import ERRORS, RECORD_DATE, check, with_record_date
 from hazeline.session import prepare
+from hazeline.plans.run import LINEAGE_COLUMNS
 from hazeline.sinks import tables
 from hazeline.sources.landed import to_calls, to_records
 
@@ -51,9 +51,7 @@ def checked_with_key(records: DataFrame, run: Run) -> DataFrame:
 
 
 def _of_days(df: DataFrame, days: DataFrame) -> DataFrame:
-    """Rows of the given days: partition pruning by literals, or a semi join when there are very many."""
-    if within(days, tables.PRUNED_PARTITIONS) is not None:
-        return df.filter(F.col(RECORD_DATE).isin([r[0] for r in days.collect()]))
+    """Rows of the given days; Spark prunes the stored partitions by them at run time."""
     return df.join(days, RECORD_DATE, "left_semi")
 
 
@@ -73,13 +71,17 @@ def apply_batch(batch: DataFrame, batch_id: int, cities: DataFrame, base: str, n
 
     stored = spark.read.parquet(store)
     days = stored.filter(F.col("batch_id") == batch_id).select(RECORD_DATE).distinct().filter(F.col(RECORD_DATE).isNotNull())
-    survivors = first_by_arrival(_of_days(stored, days), [RECORD_DATE, _KEY])
-    gold = fuse(survivors.filter("accepted").select("ord", *SILVER_COLUMNS, RECORD_DATE))
-    gold.hint("rebalance", "data_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "data_date"
-    ).parquet(f"{base}/stream/gold")
-    fresh = spark.read.parquet(f"{base}/stream/gold").withColumn(RECORD_DATE, F.col("data_date"))
-    tables.upsert_features(_of_days(fresh, days).drop(RECORD_DATE), f"{base}/tables/daily_features", run.run_id)
+    touched = _of_days(stored, days)
+    survivors = first_by_arrival(touched, [RECORD_DATE, _KEY])
+    silver = survivors.filter("accepted").select("ord", *SILVER_COLUMNS, RECORD_DATE)
+    tables.replace_partitions(fuse(silver), f"{base}/stream/gold", "data_date", days)
+    tables.replace_partitions(lineage_rows(silver, LINEAGE_COLUMNS), f"{base}/stream/lineage", "data_date", days)
+    fresh = tables.read_if_present(spark, f"{base}/stream/gold")
+    fresh = fuse(silver.limit(0)) if fresh is None else _of_days(fresh.withColumn(RECORD_DATE, F.col("data_date")), days).drop(RECORD_DATE)
+    # A key whose first record is now a rejected one has no gold row any more, and none in the feature table.
+    keys = touched.select("city", F.col(RECORD_DATE).alias("data_date")).distinct()
+    gone = keys.join(fresh.select("city", "data_date"), ["city", "data_date"], "left_anti")
+    tables.upsert_features(fresh, f"{base}/tables/daily_features", run.run_id, gone)
 
 
 def ingest(

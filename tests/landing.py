@@ -37,16 +37,16 @@ def aq_live(aqi=80, data=None, **iaqi):
     return {"aqi": {"status": "ok", "data": {"aqi": aqi, "iaqi": readings} if data is None else data}}
 
 
-def om_day():
-    weather = {f: [1.0, None, 2.5] for f in ["temperature_2m", "relative_humidity_2m", "pressure_msl", "wind_speed_10m",
+def om_day(bad=False):
+    weather = {f: [500.0] if bad else [1.0, None, 2.5] for f in ["temperature_2m", "relative_humidity_2m", "pressure_msl", "wind_speed_10m",
                                             "wind_direction_10m", "cloud_cover"]} | {"rain": []}
     air = {"pm10": [1, 2], "pm2_5": [1.00005, 2.0], "carbon_monoxide": [None, None], "nitrogen_dioxide": [3.0],
            "ozone": [4.0], "sulphur_dioxide": [5.0], "ammonia": [None], "us_aqi": [2, 3]}
     return {"weather": {"hourly": weather}, "air_quality": {"hourly": air}}
 
 
-def ow_day(weather=True, pollution=True):
-    items = [{"dt": 1704103200, "main": {"temp": 10, "humidity": 40, "pressure": 1000}, "wind": {"speed": 1, "deg": 10},
+def ow_day(weather=True, pollution=True, second=0):
+    items = [{"dt": 1704103200 + second, "main": {"temp": 10, "humidity": 40, "pressure": 1000}, "wind": {"speed": 1, "deg": 10},
               "clouds": {"all": 1}, "rain": {"1h": 0, "3h": 2}}, {"dt": 1704106800, "main": {"temp": 13}}]
     air = [{"main": {"aqi": 1}, "components": {"co": 1.0}}, {"main": {"aqi": 2}, "components": {"co": 2.0, "no": None}}]
     return {"weather": {"list": items} if weather else None, "air_quality": {"list": air} if pollution else None}

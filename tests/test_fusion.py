@@ -8,9 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.operators import sizing
 from hazeline.operators.drift import drift, drift_all_statistics, drift_detected
-from hazeline.operators.fuse import fuse, gather, lineage_rows
+from hazeline.operators.fuse import fuse, gather, lineage_lists, lineage_rows
 from hazeline.operators.statistics import column_statistics
 from hazeline.operators.upsert import merge_by_key, merge_latest
 
@@ -27,39 +26,30 @@ def test_first_record_wins_whole(spark):
     rows = {r.city: r for r in fuse(df).collect()}
     a = rows["A"]
     assert (a.temperature, a.source, a.status, a.endpoint, a.data_date) == (None, "merged", "merged", ["merged"], DAY)
-    assert a.lineage.asDict().keys() == {"source_api", "city", "data_date", "source_apis", "source_endpoints", "source_records"}
-    assert a.lineage.source_apis == ["openweather", "openmeteo"] and a.lineage.data_date == "2024-01-01"
-    assert [r.temperature for r in a.lineage.source_records] == [None, 21.0]
-    assert a.lineage_slices == 1 and rows["B"].temperature == 5.0
-    assert "raw_payload" not in fuse(df, include_payload=False).schema["lineage"].dataType["source_records"].dataType.elementType.names
-
-
-@pytest.mark.parametrize("small_rows", [1000, 0])
-def test_hot_group_is_cut_and_stays_whole(spark, small_rows, monkeypatch):
-    """One key owns a third of the rows; both the broadcast and the salted way give every row once, in order."""
-    monkeypatch.setattr(sizing.slice_large_groups, "__defaults__", (small_rows,))
-    rng = random.Random(3)
-    rows = [(i, "HOT" if i % 3 == 0 else f"C{i}", rng.choice(["a", "b"]), float(i)) for i in range(600)]
-    rng.shuffle(rows)
+    assert a.lineage_records == 2 and rows["B"].temperature == 5.0 and rows["B"].lineage_records == 1
+    assert "raw_payload" in fuse(df).columns and "raw_payload" not in fuse(df, include_payload=False).columns
+    long = sorted((r.city, r.ord, r.source_api, r.data_date, r.source, r.source_record.temperature) for r in lineage_rows(df, ["temperature"]).collect())
+    assert long == [("A", 1, "merged", DAY, "openweather", None), ("A", 2, "merged", DAY, "openmeteo", 21.0), ("B", 3, "merged", DAY, "aqicn", 5.0)]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_hot_group_stays_whole(spark, step):
+    """One group of 3,000 records, its arrival order dense or sparse: none is missing in count, rows, lists or pages."""
+    rows = [(i * step, "HOT" if i % 3 else f"C{i % 50}", "ab"[i % 2], float(i)) for i in range(4500)]
+    random.Random(3).shuffle(rows)
     df = silver(spark, rows)
-    rows_out, cut = gather(df, ["temperature"], limit=25)
-    assert cut
-    groups = defaultdict(list)
-    for r in sorted(rows_out.collect(), key=lambda r: (r.city, r.slice)):
-        assert len(r["items"]) <= 25
-        groups[r.city] += [x.temperature for x in r["items"]]
     expected = defaultdict(list)
-    for o, c, _, t in sorted(rows):
+    for _, c, _, t in sorted(rows):
         expected[c].append(t)
-    assert groups == expected
-    gold = {r.city: r for r in fuse(df, limit=25).collect()}
-    assert gold["HOT"].temperature == 0.0 and gold["HOT"].lineage_slices > 1 and len(gold) == len(expected)
-    whole = [r for r in lineage_rows(df, ["source", "endpoint", "temperature"], limit=25).collect() if r.city == "HOT"]
-    assert sum(len(r.lineage.source_records) for r in whole) == 200 and len(whole) == gold["HOT"].lineage_slices
-
-
-def test_no_cut_without_large_groups(spark):
-    assert gather(silver(spark, [(1, "A", "s", 1.0)]), ["source"])[1] is False
+    gold = {r.city: r for r in fuse(df).collect()}
+    assert {c: r.lineage_records for c, r in gold.items()} == {c: len(v) for c, v in expected.items()} and gold["HOT"].temperature == 1.0
+    assert lineage_rows(df, ["temperature"]).count() == 4500 and len(expected["HOT"]) == 3000
+    assert {r.city: r.temperature for r in lineage_lists(df, ["temperature"]).collect()} == expected
+    pages = defaultdict(list)
+    for r in sorted(gather(df, ["temperature"], limit=25).collect(), key=lambda r: (r.city, r.slice)):
+        assert len(r["items"]) <= 25 or r.slice == 0
+        pages[r.city] += [x.temperature for x in r["items"]]
+    assert pages == expected
 
 
 @pytest.mark.parametrize("partitions", [1, 7])

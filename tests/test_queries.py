@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_point
+from hazeline.plans.oracles import ORACLES
+from hazeline.plans.registered import QUERIES
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +22,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
     assert compare(entry_point.queries()[name](spark, SF), entry_point.oracle_sql()[name], db) == []
 
@@ -30,7 +32,7 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry_point.queries())
 
 
 def test_a_planted_error_is_seen(spark, db):
@@ -59,3 +61,9 @@ def test_no_cross_joins(spark, name):
 def test_scans_read_only_what_is_asked_for(spark):
     text = plan(entry_point.queries()["api_summary"](spark, SF))
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in text
+
+
+def test_dimension_is_read_once_for_each_lookup(spark):
+    """No self join of the dimension, and no job while the plan is built."""
+    text = plan(entry_point.queries()["dim_join"](spark, SF))
+    assert text.count("SortMergeJoin") == 0 and text.count("FileScan") <= 11

@@ -7,8 +7,10 @@ from pathlib import Path
 import pytest
 
 from hazeline.operators.standardize import Run
+from hazeline.operators.upsert import merge_latest
 from hazeline.plans.run import run_backfill, run_live
 from hazeline.sinks.snapshots import read_snapshot, write_csv
+from hazeline.sinks.tables import merge_partitions
 from hazeline.sources.cities import cities
 from hazeline.sources.spine import check_window
 from hazeline.streaming.ingest import ingest
@@ -50,16 +52,18 @@ def test_live_layers(spark, live):
     base, _, published = live
     bronze = read_snapshot(spark, base, "bronze", RUN.run_id)
     assert bronze.count() == 9
-    silver = read_snapshot(spark, base, "silver", RUN.run_id)
+    silver, quarantine = (read_snapshot(spark, base, layer, RUN.run_id) for layer in ("silver", "quarantine"))
+    assert {r.ord: r.errors for r in quarantine.collect()} == {2: ["aqi:type"], 3: ["temperature:range"]}
     rows = {r.ord: r for r in silver.collect()}
-    assert {o: r.errors for o, r in rows.items() if r.errors} == {2: ["aqi:type"], 3: ["temperature:range"]}
-    assert sorted(rows) == [0, 1, 2, 3, 4, 5]
+    assert sorted(rows) == [0, 1, 4, 5] and "errors" not in silver.columns
     assert rows[0].data_date is None and rows[0].endpoint is None and rows[5].status == "failed"
     assert rows[1].country == "AA" and rows[4].country is None
     gold = {r.city: r for r in read_snapshot(spark, base, "gold", RUN.run_id).collect()}
     assert gold["Alder"].temperature == 20.0 and gold["Alder"].data_date == date(2024, 1, 2)
-    assert gold["Alder"].lineage.source_apis == ["openweather", "openmeteo"]
-    assert gold["Birch"].temperature == 12.0 and gold["Birch"].lineage.source_apis == ["openmeteo", "aqicn"]
+    lineage = sorted((r.city, r.ord, r.source) for r in read_snapshot(spark, base, "lineage", RUN.run_id).collect())
+    assert [x[::2] for x in lineage] == [("Alder", "openweather"), ("Alder", "openmeteo"), ("Birch", "openmeteo"), ("Birch", "aqicn")]
+    assert gold["Alder"].lineage_records == gold["Birch"].lineage_records == 2
+    assert gold["Birch"].temperature == 12.0
     assert gold["Birch"].aqi == 57 and gold["Birch"].no is None
 
 
@@ -72,8 +76,10 @@ def test_live_reports(live):
     assert {k: main[k] for k in expected} == expected
     assert main["rows_processed"] + main["invalid_records"] + main["duplicates_removed"] == 7
     assert main["api_summary"]["openmeteo"] == {"success": 2, "failed": 1}
-    assert main["missing_values"] == {"nh3": 1, "no": 1, "so2": 0} or main["missing_values"] == {"nh3": 1, "no": 1}
-    assert len(main["failed_requests"]) == 3 and quality["failed_requests"] == main["failed_requests"]
+    assert main["missing_values"] == {"nh3": 1, "no": 1}
+    assert main["failed_requests"] == quality["failed_requests"] == {"count": 3, "path": f"{base}/reports/{run}/failed_requests"}
+    listed = [json.loads(x) for f in Path(main["failed_requests"]["path"]).glob("*.json") for x in f.read_text().splitlines()]
+    assert len(listed) == 3 and all(x["error"] for x in listed)
     assert len(main) == 16 and len(metrics) == 9 and len(quality) == 4
     assert main["drift"]["drift_detected"] is False and main["drift"]["features"] == {}
     assert published.exit_code == 1
@@ -119,7 +125,7 @@ def test_empty_landing(spark, tmp_path):
     landing = land(tmp_path / "landing", PAST)
     published = run_live(spark, landing, cities(spark, CITIES), str(tmp_path / "out"), RUN)
     s = published.summary.first()
-    assert (s.total_api_calls, s.gold_rows, s.failed_requests, published.exit_code) == (0, 0, [], 0)
+    assert (s.total_api_calls, s.gold_rows, s.failed_requests["count"], published.exit_code) == (0, 0, 0, 0)
 
 
 @pytest.mark.parametrize("start, end", [
@@ -142,21 +148,45 @@ def test_csv_export(spark, tmp_path):
     assert text == ["a,b,c", ',x,"[""a""]"']
 
 
+def test_more_than_a_thousand_failures(spark, tmp_path):
+    landing = land(tmp_path / "landing", [call(k, f"other{k}", "Alder", {}) for k in range(1200)])
+    published = run_live(spark, landing, cities(spark, CITIES), str(tmp_path / "out"), RUN)
+    main = report(tmp_path / "out", f"run_id={RUN.run_id}", "pipeline")
+    assert main["failed_requests"]["count"] == 1200 and main["api_summary"] == {"unknown": {"success": 0, "failed": 1200}}
+    assert spark.read.json(main["failed_requests"]["path"]).count() == 1200 and published.failed_calls == 1200
+
+
+def test_merge_keeps_a_partition_without_a_value(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, d string, v int"
+    last = lambda old, new: merge_latest(old, new, ["k", "d"], "v")
+    merge_partitions(path, spark.createDataFrame([("a", None, 1), ("b", "d1", 1)], schema), "d", last)
+    merge_partitions(path, spark.createDataFrame([("z", None, 1), ("a", None, 2)], schema), "d", last)
+    assert sorted(map(tuple, spark.read.parquet(path).select("k", "d", "v").collect()), key=str) == [("a", None, 2), ("b", "d1", 1), ("z", None, 1)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    """Three files in three micro-batches, the first call of a day arriving last."""
+    """Four files in four micro-batches: the first call of a day arrives late, a rejected earlier duplicate hides the only accepted
+    row of its day, and one day has many records."""
     base, landing = str(tmp_path / "stream"), tmp_path / "landing"
     past = PAST[:4] + [call(9, "openweather", "Birch", ow_day(), "2024-01-01")]
-    for name, rows in (("a", past[1:3]), ("b", [past[0], past[3]]), ("c", [past[4], past[1]])):
+    # The same raw key: what differs between them is out of range in the earlier one.
+    hidden = [call(21, "openmeteo", "Alder", om_day(), "2024-01-03"), call(20, "openmeteo", "Alder", om_day(bad=True), "2024-01-03")]
+    many = [call(100 + k, "openweather", "Birch", ow_day(second=k), "2024-01-04") for k in range(60)]
+    for name, rows in (("a", [*past[1:3], hidden[0], *many[:30]]), ("b", [past[0], past[3]]), ("c", [past[4], past[1], hidden[1]]), ("d", many[30:])):
         land(landing, rows, f"{name}.json")
         query = ingest(spark, str(landing), cities(spark, CITIES), base, f"{base}/checkpoint", 1)
         query.awaitTermination()
-    batch = run_backfill(spark, str(landing), cities(spark, CITIES), str(tmp_path / "batch"), date(2024, 1, 1), date(2024, 1, 2), RUN)
-    columns = ["city", "data_date", "temperature", "aqi", "rain", "source", "timestamp", "lineage_slices"]
-    expected = read_snapshot(spark, batch.base, "gold", RUN.run_id).select(*columns, "lineage.source_apis").collect()
-    got = spark.read.parquet(f"{base}/stream/gold").select(*columns, "lineage.source_apis").collect()
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, expected), key=str) and len(got) == 3
+    batch = run_backfill(spark, str(landing), cities(spark, CITIES), str(tmp_path / "batch"), date(2024, 1, 1), date(2024, 1, 4), RUN)
+    columns = ["city", "data_date", "temperature", "aqi", "rain", "source", "timestamp", "lineage_records"]
+    expected = read_snapshot(spark, batch.base, "gold", RUN.run_id).select(*columns).collect()
+    got = spark.read.parquet(f"{base}/stream/gold").select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, expected), key=str) and len(got) == 4
+    assert date(2024, 1, 3) not in {r.data_date for r in got} and max(r.lineage_records for r in got) == 60
+    lineage = [sorted(map(tuple, df.select("city", "data_date", "ord", "source").collect())) for df in (
+        spark.read.parquet(f"{base}/stream/lineage"), read_snapshot(spark, batch.base, "lineage", RUN.run_id))]
+    assert lineage[0] == lineage[1] and len(lineage[0]) == sum(r.lineage_records for r in got)
     features = spark.read.parquet(f"{base}/tables/daily_features")
     assert sorted((r.city, str(r.data_date), r.temperature) for r in features.collect()) == sorted(
         (r.city, str(r.data_date), r.temperature) for r in got)
     raw = spark.read.parquet(f"{base}/tables/raw_records")
-    assert raw.count() == 6 and raw.select("record_key").distinct().count() == 6
+    assert raw.count() == 68 and raw.select("record_key").distinct().count() == 68
