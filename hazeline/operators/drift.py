@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.contracts import DRIFT_THRESHOLDS
-from hazeline.operators.statistics import STATISTICS, column_statistics
+from hazeline.operators.statistics import STATISTICS, column_statistics, number
 
 # Thresholds of the older report form.
 ALL_STATISTICS_THRESHOLDS = {"temperature": 5.0} | dict.fromkeys(
     ["humidity", "pressure", "wind_speed", "aqi", "pm25", "pm10", "co", "no", "no2", "so2", "o3", "nh3"], 10.0
 )
+_SIDE = "_side"
 _SHORT = {"minimum": "min", "maximum": "max", "standard_deviation": "std"}
 _NINE_EXCEPT_COUNT = [s for s in STATISTICS if s != "record_count"]
 
@@ -35,13 +36,45 @@ def _paired(current: DataFrame, previous: DataFrame | None, thresholds: Mapping[
     shared = [f for f in thresholds if f in current.columns and f in previous.columns]
     if not shared:
         return None
-    now, before = (column_statistics(d, shared).filter("record_count > 0") for d in (current, previous))
-    named = [
-        d.select("feature", *[F.col(s).alias(f"{side}_{s}") for s in STATISTICS])
-        for d, side in ((now, "current"), (before, "previous"))
-    ]
-    # One row per monitored feature on both sides.
-    return named[0].join(F.broadcast(named[1]), "feature").withColumn("threshold", _threshold(thresholds))
+    both = column_statistics(_tagged(current, previous, shared), shared, _SIDE)
+    # Two rows per monitored feature; a side without rows has none.
+    sides = [F.max(F.when(F.col(_SIDE) == side, F.struct(*STATISTICS))).alias(side) for side in ("current", "previous")]
+    paired = both.groupBy("feature").agg(*sides).filter("current IS NOT NULL AND previous IS NOT NULL")
+    return paired.select(
+        "feature", *[F.col(side)[s].alias(f"{side}_{s}") for side in ("current", "previous") for s in STATISTICS]
+    ).withColumn("threshold", _threshold(thresholds))
+
+
+def _tagged(current: DataFrame, previous: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of both datasets with their side, as numbers; NaN counts as missing."""
+    parts = []
+    for df, side in ((current, "current"), (previous, "previous")):
+        parts.append(df.select(F.lit(side).alias(_SIDE), *[number(df, c).alias(c) for c in columns]))
+    return parts[0].unionByName(parts[1])
+
+
+def mean_drift(
+    current: DataFrame, previous: DataFrame | None = None, thresholds: Mapping[str, float] | None = None
+) -> DataFrame:
+    """Of ``drift`` only what the flag needs: (feature, percentage, threshold), from one aggregate of means."""
+    limits = thresholds or DRIFT_THRESHOLDS
+    shared = [] if previous is None else [f for f in limits if f in current.columns and f in previous.columns]
+    if not shared:
+        return current.sparkSession.createDataFrame([], "feature string, percentage double, threshold double")
+    means = _tagged(current, previous, shared).groupBy(_SIDE).agg(*[F.avg(f"`{c}`").alias(c) for c in shared])
+    long = means.unpivot([F.col(_SIDE)], [F.col(f"`{c}`") for c in shared], "feature", "mean")
+    sides = {side: F.max(F.when(F.col(_SIDE) == side, F.struct("mean"))) for side in ("current", "previous")}
+    paired = long.groupBy("feature").agg(*[v.alias(k) for k, v in sides.items()]).filter("current IS NOT NULL AND previous IS NOT NULL")
+    change = percentage(F.col("current.mean") - F.col("previous.mean"), F.col("previous.mean"))
+    return paired.select("feature", change.alias("percentage"), _threshold(limits).alias("threshold"))
+
+
+def drift_warnings(current: DataFrame, previous: DataFrame | None, thresholds: Mapping[str, float] | None = None) -> list[str]:
+    """Notes of the older report form: nothing to compare with, and monitored columns that a side lacks."""
+    if previous is None:
+        return ["no earlier dataset to compare with"]
+    limits = thresholds or ALL_STATISTICS_THRESHOLDS
+    return [f"{side} dataset has no column {f}" for side, df in (("current", current), ("earlier", previous)) for f in limits if f not in df.columns]
 
 
 _DRIFT_SCHEMA = (

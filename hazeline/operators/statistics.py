@@ -24,7 +24,7 @@ STATISTICS = [
 ]
 
 
-def _number(df: DataFrame, name: str) -> Column:
+def number(df: DataFrame, name: str) -> Column:
     """The column as a double; NaN counts as missing."""
     value = F.col(f"`{name}`").cast("double")
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
@@ -32,8 +32,8 @@ def _number(df: DataFrame, name: str) -> Column:
     return value
 
 
-def _basics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per feature, from a single row of aggregates."""
+def _basics(df: DataFrame, columns: Sequence[str], side: list[str]) -> DataFrame:
+    """One row per side and feature, from a single row of aggregates for each side."""
     aggregates = []
     for c in columns:
         v = F.col(f"`{c}`")
@@ -49,8 +49,8 @@ def _basics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.percentile_approx(v, list(_EDGES), 1000).alias("edges"),
             ).alias(c)
         )
-    one_row = df.agg(*aggregates)
-    return one_row.select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
+    one_row = df.groupBy(*side).agg(*aggregates)
+    return one_row.select(*side, F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
 
 
 def _zone(value: Column, low: Column, high: Column) -> Column:
@@ -63,34 +63,39 @@ def _zone(value: Column, low: Column, high: Column) -> Column:
     return F.when(value < low, F.lit(0).cast("bigint")).when(value > high, F.lit(ZONES + 1).cast("bigint")).otherwise(inside + 1)
 
 
-def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column with the nine statistics; figures of an empty or all-missing column are null."""
-    numbers = df.select(*[_number(df, c).alias(c) for c in columns])
-    basics = _basics(numbers, columns)
+def column_statistics(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
+    """One row per column with the nine statistics; figures of an empty or all-missing column are null.
+
+    ``by`` names a column of few values that tells several datasets apart; all are done in one pass, each with rows of its own.
+    """
+    side = [by] if by else []
+    keys = [*side, "feature"]
+    numbers = df.select(*side, *[number(df, c).alias(c) for c in columns])
+    basics = _basics(numbers, columns, side)
     # One row per column, known at plan time, so this side is small whatever the data.
     edges = F.broadcast(
-        basics.select("feature", F.col("edges")[0].alias("_low"), F.col("edges")[1].alias("_high"), F.col("n").alias("_n"))
+        basics.select(*keys, F.col("edges")[0].alias("_low"), F.col("edges")[1].alias("_high"), F.col("n").alias("_n"))
     )
     counts = (
-        numbers.unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "value")
+        numbers.unpivot([F.col(c) for c in side], [F.col(f"`{c}`") for c in columns], "feature", "value")
         .filter(F.col("value").isNotNull())
-        .groupBy("feature", "value")
+        .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    zoned = counts.join(edges, "feature").withColumn("zone", _zone(F.col("value"), F.col("_low"), F.col("_high")))
+    zoned = counts.join(edges, keys).withColumn("zone", _zone(F.col("value"), F.col("_low"), F.col("_high")))
     # At most ZONES + 2 rows per column.
-    zones = zoned.groupBy("feature", "zone", "_n").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d"))
-    running = Window.partitionBy("feature").orderBy("zone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zones = zoned.groupBy(*keys, "zone", "_n").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d"))
+    running = Window.partitionBy(*keys).orderBy("zone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = zones.withColumn("_before", F.sum("c").over(running) - F.col("c")).withColumn(
-        "unique_values", F.sum("d").over(Window.partitionBy("feature"))
+        "unique_values", F.sum("d").over(Window.partitionBy(*keys))
     )
     first_rank, last_rank = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
     middle = placed.filter((F.col("_before") <= last_rank) & (F.col("_before") + F.col("c") > first_rank))
-    inner = Window.partitionBy("feature", "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy(*keys, "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        zoned.select("feature", "zone", "value", "c", "_n")
+        zoned.select(*keys, "zone", "value", "c", "_n")
         # At most two zones per column hold the middle ranks.
-        .join(F.broadcast(middle.select("feature", "zone", "_before", "unique_values")), ["feature", "zone"])
+        .join(F.broadcast(middle.select(*keys, "zone", "_before", "unique_values")), [*keys, "zone"])
         .withColumn("_upto", F.col("_before") + F.sum("c").over(inner))
         .withColumn("_from", F.col("_upto") - F.col("c"))
     )
@@ -98,7 +103,7 @@ def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("value")))
 
-    medians = ranked.groupBy("feature").agg(
+    medians = ranked.groupBy(*keys).agg(
         ((at(first_rank) + at(last_rank)) / 2).alias("median"), F.max("unique_values").alias("unique_values")
     )
     missing = F.col("record_count") - F.col("n")
@@ -108,5 +113,5 @@ def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "unique_values": F.coalesce("unique_values", F.lit(0)),
     }
     # Both frames have one row per column.
-    joined = basics.join(F.broadcast(medians), "feature", "left")
-    return joined.select("feature", *[figures.get(s, F.col(s)).alias(s) for s in STATISTICS])
+    joined = basics.join(F.broadcast(medians), keys, "left")
+    return joined.select(*keys, *[figures.get(s, F.col(s)).alias(s) for s in STATISTICS])

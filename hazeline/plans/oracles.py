@@ -300,6 +300,20 @@ ORACLES: dict[str, str] = {
     "drift_flag": f"""WITH {_paired(['temperature', 'humidity', 'aqi'])}
       SELECT bool_or(coalesce(abs(c.mean - p.mean) / abs(nullif(p.mean, 0)) * 100 >= CASE c.feature WHEN 'temperature' THEN 5 ELSE 10 END, false)) AS drift_detected,
         count(*) AS features FROM c JOIN p ON c.feature = p.feature""",
+    "drift_stored": f"""WITH {_paired(['temperature', 'humidity', 'aqi', 'pressure'])}
+      SELECT 'stored' AS against, bool_or(coalesce(abs(c.mean - p.mean) / abs(nullif(p.mean, 0)) * 100 >= CASE c.feature WHEN 'temperature' THEN 5 ELSE 10 END, false)) AS drift_detected,
+        count(*) AS features FROM c JOIN p ON c.feature = p.feature UNION ALL SELECT 'absent', false, 0""",
+    "unreadable_calls": """WITH e AS (SELECT event_id AS k, event_id % 11 = 0 AS cut, event_id % 10 = 0 AND event_id % 7 <> 0 AS unknown_station FROM events)
+      SELECT CASE WHEN cut THEN 'unknown' ELSE 'aqicn' END AS source, CASE WHEN cut OR unknown_station THEN 'failed' ELSE 'success' END AS status, cut AS no_city,
+        cut OR k % 7 = 0 AS no_payload, CASE WHEN cut THEN 'unreadable call' WHEN unknown_station THEN 'data is not an object' ELSE '' END AS error, count(*) AS rows FROM e GROUP BY ALL""",
+    "location_overrides": """WITH pairs AS (SELECT 0 AS stage, p_partkey AS row, p_name AS name, p_brand AS location_id FROM part
+        UNION ALL SELECT 1, 0, p_name, min(p_type) FROM part WHERE length(p_name) % 2 = 0 GROUP BY p_name),
+      keyed AS (SELECT *, 0 AS form, name AS key FROM pairs UNION ALL
+        SELECT *, 1, regexp_replace(regexp_replace(upper(name), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') FROM pairs),
+      r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY stage DESC, row DESC, form DESC) AS rn FROM keyed)
+      SELECT key, location_id FROM r WHERE rn = 1""",
+    "required_fields": """SELECT rule, count(*) AS rows FROM (SELECT unnest(list_filter([CASE WHEN event_id % 30 = 0 THEN 'city:required' END, CASE WHEN event_id % 40 = 0 THEN 'source:required' END,
+        CASE WHEN event_id % 50 = 0 THEN 'timestamp:required' END, CASE WHEN event_id % 70 = 0 THEN 'latitude:required' END], lambda x: x IS NOT NULL)) AS rule FROM events) GROUP BY rule""",
     "drift_all_stats": _drift_all(),
     "drift_no_baseline": "SELECT false AS drift_detected, cast(count(*) AS bigint) AS features FROM lineitem WHERE l_quantity < 0",
     "feature_projection": f"""WITH {OBS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, data_date, city, temperature, humidity,

@@ -494,7 +494,7 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def drift_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, previous = _halves(spark, sf_dir)
-    return D.drift_detected(D.drift(current, previous))
+    return D.drift_detected(D.mean_drift(current, previous))
 
 
 @registered
@@ -503,6 +503,51 @@ def drift_all_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(D.drift_all_statistics(current, previous, {"temperature": 5.0, "humidity": 10.0, "pressure": 10.0}))
 
 
+@registered
+def drift_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift against an earlier run's stored snapshot; a run that left none has nothing to compare."""
+    current, previous = _halves(spark, sf_dir)
+    base = _scratch(spark, "drift")
+    snapshots.write_snapshot(previous, base, "gold", "earlier")
+    stored, absent = (snapshots.read_snapshot(spark, base, "gold", run_id) for run_id in ("earlier", "never"))
+    limits = {"temperature": 5.0, "humidity": 10.0, "aqi": 10.0, "pressure": 10.0}
+    compared = D.drift_detected(D.drift(current, stored, limits)).withColumn("against", F.lit("stored"))
+    return compared.unionByName(D.drift_detected(D.drift(current, absent, limits)).withColumn("against", F.lit("absent")))
+
+
+@registered
+def unreadable_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of one provider, some of whose lines could not be read: those keep a placeholder in bronze."""
+    lines = landed(spark, sf_dir, "aqicn", False)
+    broken = F.col("ord") % 11 == 0
+    lines = lines.select(*[F.when(~broken, F.col(c)).alias(c) if c in ("source", "city", "payload") else c for c in lines.columns], F.when(broken, F.lit("{cut")).alias("malformed"))
+    rows = B.bronze(to_calls(lines, RUN, {"aqicn": READERS["aqicn"]}), RUN)
+    return rows.groupBy("source", "status", (F.col("city") == "unknown").alias("no_city"), (F.col("raw_payload") == "{}").alias("no_payload"), F.coalesce("error", F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@registered
+def location_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location ids from settings, with single overrides that come after them."""
+    part = table(spark, sf_dir, "part")
+    settings = part.select("p_partkey", F.concat(F.lit('{"'), F.col("p_name"), F.lit('": "'), F.col("p_brand"), F.lit('"}')).alias("mapping"))
+    overrides = part.groupBy("p_name").agg(F.min("p_type").alias("type")).select(
+        F.col("p_name").alias("name"), F.when(F.length("p_name") % 2 == 0, F.concat(F.lit(" "), F.col("type"))).otherwise("").alias("location_id")
+    )
+    return cities.location_ids(settings, order="p_partkey", overrides=overrides)
+
+
+@registered
+def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules broken by records that lack what every record must have."""
+    rows = measured(spark, sf_dir)
+    for k, column in ((3, "city"), (4, "source"), (5, "timestamp"), (7, "latitude")):
+        rows = rows.withColumn(column, F.when(F.col("ord") % (k * 10) != 0, F.col(column)))
+    rows = validate.with_record_date(clean(rows, keep=("ord",)))
+    checked = validate.check(standardize.standardize(rows, RUN), keep=("ord",))
+    broken = checked.select(F.explode("errors").alias("rule")).filter("rule LIKE '%:required'")
+    return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @registered
 def drift_no_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier dataset without rows compares nothing."""
