@@ -33,6 +33,7 @@ _RAW = frozenset("script style noscript template textarea title svg math iframe
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = frozenset("html head body div section article main nav header footer aside form ul ol dl table figure details dialog fieldset blockquote menu".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre address figcaption summary hr center legend option".split())
+_OUTER = frozenset("html body main article".split())
 _APART = frozenset("head nav header footer aside form menu dialog button label".split())
 #: Words of a class, id or role that mark what is not the article.
 _APART_WORDS = frozenset(
@@ -91,7 +92,9 @@ class Page:
                 if what in ("class", "id"):
                     label += f"{'.' if what == 'class' else '#'}{re.sub('[0-9]+', '0', value)}"
             parts = {p for w in words for p in re.split("[-_]+", w)}
-            apart = name in _APART or hidden or bool((words | parts) & _APART_WORDS)
+            # Classes of the page and of the main slot tell how it is laid out ("with-sidebar"), not what it is.
+            named = not (words | parts).isdisjoint(_APART_WORDS) if name not in _OUTER else name == "article" and not words.isdisjoint(_APART_WORDS)
+            apart = name in _APART or hidden or named
             if name in _CONTAINERS or apart or words & _MAIN_WORDS:
                 role = 2 if name == "article" or "articlebody" in words else 1 if name == "main" or words & _MAIN_WORDS else 0
                 self.paths.append(f"{self.paths[stack[-1]]}/{name}{label}"[-400:])

@@ -30,6 +30,7 @@ def test_tables(spark):
         ("<article>a<!-- <p>no</p> -->b<script>if (a<b) '</p>'</script>c</article>", "abc"), ("<article>x &lt;b&gt; &copy; &#233; &nosuch;</article>", "x <b> © é &nosuch;"),
         ("<body><nav>menu</nav><div class='side-bar sidebar'>s</div><main><h1>T</h1><form><p>f</form><p>body<div class=\"cookie-notice\">n</div> rest</main><footer>f", "T body rest"),
         ("<article><p>one<div class='comments'><p>who</p><p>said</p></div><p>two<aside>x</aside></article><article>three</article>", "one two three"),
+        ("<body class='has-sidebar'><article class='post no-comments'><p>kept</p><article class='comment'>who</article></article></body>", "kept"),
         ("<table><tr><td>a<td>b</table><ul><li>c<li>d</ul>", "a b c d"), ("a < b and c > d", "a < b and c > d"), ("<article>cut off <a href=\"x", "cut off <a href=\"x"), ("<div><span hidden>h</span>t</div>", "t"),
     ],
 )
