@@ -25,7 +25,7 @@ from hazeline.operators.survivors import first_by_arrival
 from hazeline.operators.validate import ERRORS, RECORD_DATE, check, with_record_date
 from hazeline.session import prepare
 from hazeline.sinks import reports, snapshots, tables
-from hazeline.sources.landed import read_landed, to_calls, to_records
+from hazeline.sources.landed import of_run, of_window, read_landed, to_calls, to_records
 from hazeline.sources.spine import check_window
 
 ACCEPTED = "accepted"
@@ -74,7 +74,7 @@ def _execute(
     drift_against: str | None, thresholds: Mapping[str, float] | None, compare: bool,
 ) -> Published:
     started = time.perf_counter()
-    calls = to_calls(landed, run)
+    calls = to_calls(landed.drop("landed_run"), run)
     snapshots.write_snapshot(bronze(calls, run), base, "bronze", run.run_id, ["source"])
     planned = checked_records(to_records(calls, cities), run).withColumn(ACCEPTED, F.size(ERRORS) == 0)
     # Both kinds come from one pass; silver and quarantine are layers of their own.
@@ -124,24 +124,24 @@ def _report(
 
 def run_live(
     spark: SparkSession, landing: str, cities: DataFrame, base: str, run: Run | None = None,
-    drift_against: str | None = None, thresholds: Mapping[str, float] | None = None,
+    drift_against: str | None = None, thresholds: Mapping[str, float] | None = None, landed_run: str | None = None,
 ) -> Published:
-    """One live run over the calls without a day. Drift is compared when an earlier run is named."""
+    """One live run over the calls without a day, of one landing run if it is named. Drift is compared when an earlier run is named."""
     prepare(spark)
-    landed = read_landed(spark, landing).filter(F.col("data_date").isNull())
+    landed = of_run(read_landed(spark, landing), landed_run).filter(F.col("data_date").isNull())
     return _execute(spark, landed, cities, base, run or Run.now(), cities.count(), drift_against, thresholds, True)
 
 
 def run_backfill(
-    spark: SparkSession, landing: str, cities: DataFrame, base: str, start: date, end: date, run: Run | None = None
+    spark: SparkSession, landing: str, cities: DataFrame, base: str, start: date, end: date, run: Run | None = None,
+    landed_run: str | None = None,
 ) -> Published:
     """One job over all days of the window and the history-capable sources; no drift comparison."""
     check_window(start, end)
     prepare(spark)
     capable = [name for name, past in SOURCES if past]
     wanted = F.col("data_date").between(start, end) & F.col("source").isin(capable)
-    # Lines that could not be read have no day; they stay in, so that bronze drops no call.
-    landed = read_landed(spark, landing).filter(wanted | F.col("malformed").isNotNull())
+    landed = of_window(of_run(read_landed(spark, landing), landed_run), wanted)
     return _execute(spark, landed, cities, base, run or Run.now(), cities.count(), None, None, False)
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.contracts import LANDED, MEASURES
 from hazeline.functions import numbers as N
@@ -45,9 +46,33 @@ READERS: dict[str, Reader] = {
 RECORD_COLUMNS = ["timestamp", "record_status", *MEASURES]
 
 
+#: Folders of a partitioned landing, outermost first.
+LANDED_FOLDERS = ["landed_run", "data_date", "source"]
+
+
+def write_landed(calls: DataFrame, path: str, landed_run: str) -> None:
+    """Calls as JSON lines in folders by landing run, day and source; landing a run again replaces its folders only."""
+    rows = calls.withColumn("landed_run", F.lit(landed_run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LANDED_FOLDERS).json(path)
+
+
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON lines with a fixed schema; unreadable lines stay, with their text in ``malformed``."""
-    return spark.read.schema(LANDED).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="malformed")
+    """Landed JSON lines with a fixed schema; unreadable lines stay, with their text in ``malformed``.
+
+    In a landing that is partitioned by ``LANDED_FOLDERS`` these three come from the folder names, also for unreadable lines, and filters on
+    them prune folders. In a flat one ``landed_run`` is null.
+    """
+    schema = T.StructType([*LANDED.fields, T.StructField("landed_run", T.StringType())])
+    return spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="malformed")
+
+
+def of_run(landed: DataFrame, landed_run: str | None) -> DataFrame:
+    return landed if landed_run is None else landed.filter(F.col("landed_run") == landed_run)
+
+
+def of_window(landed: DataFrame, wanted: Column) -> DataFrame:
+    """The wanted calls. Unreadable lines of a flat landing have no day; they stay in, so that bronze drops no call."""
+    return landed.filter(wanted | (F.col("landed_run").isNull() & F.col("malformed").isNotNull()))
 
 
 def _documents(source: str, reader: Reader) -> dict[str, Column]:

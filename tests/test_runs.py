@@ -5,6 +5,7 @@ from datetime import date, datetime, timezone
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from hazeline.operators.standardize import Run
 from hazeline.operators.upsert import merge_latest
@@ -12,6 +13,7 @@ from hazeline.plans.run import run_backfill, run_live
 from hazeline.sinks.snapshots import read_snapshot, write_csv
 from hazeline.sinks.tables import merge_partitions
 from hazeline.sources.cities import cities
+from hazeline.sources.landed import of_run, of_window, read_landed, write_landed
 from hazeline.sources.spine import check_window
 from hazeline.streaming.ingest import ingest
 from tests.landing import CITIES, RUN, aq_live, call, land, om_day, om_live, ow_day, ow_live
@@ -190,3 +192,26 @@ def test_stream_equals_batch(spark, tmp_path):
         (r.city, str(r.data_date), r.temperature) for r in got)
     raw = spark.read.parquet(f"{base}/tables/raw_records")
     assert raw.count() == 68 and raw.select("record_key").distinct().count() == 68
+
+
+def test_partitioned_landing(spark, tmp_path):
+    """A run reads only its folders, and an unreadable line belongs to the folder it landed in."""
+    flat, folders = str(tmp_path / "flat"), str(tmp_path / "folders")
+    land(flat, LIVE + PAST)
+    write_landed(read_landed(spark, flat).drop("landed_run", "malformed"), folders, "first")
+    write_landed(read_landed(spark, flat).drop("landed_run", "malformed").filter("ord = 0"), folders, "second")
+    (tmp_path / "folders/landed_run=first/data_date=2024-01-01/source=openmeteo/cut.json").write_text("{broken\n")
+    wanted = F.col("data_date").between(date(2024, 1, 1), date(2024, 1, 1)) & F.col("source").isin("openmeteo", "openweather")
+    rows = of_window(of_run(read_landed(spark, folders), "first"), wanted)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = text[text.index("PartitionFilters") : text.index("PushedFilters")]
+    assert all(x in filters for x in ("landed_run", "data_date", "source"))
+    assert sorted(str(r.ord) for r in rows.select("ord").collect()) == ["10", "11", "12", "None"]
+    published = run_backfill(spark, folders, cities(spark, CITIES), str(tmp_path / "out"), date(2024, 1, 1), date(2024, 1, 1), RUN, "first")
+    assert published.summary.first().total_api_calls == 4 and published.failed_calls == 1
+    other = run_backfill(spark, folders, cities(spark, CITIES), str(tmp_path / "out2"), date(2024, 1, 2), date(2024, 1, 2), RUN, "first")
+    assert other.summary.first().total_api_calls == 1 and other.failed_calls == 0
+    live = run_live(spark, folders, cities(spark, CITIES), str(tmp_path / "live"), RUN, landed_run="second")
+    assert live.summary.first().total_api_calls == 1
