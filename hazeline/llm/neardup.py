@@ -200,8 +200,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = written(signatures(docs, shingle), "signatures")
     first = Window.partitionBy("fp").orderBy("doc_id", "text_hash")
     nodes = rows.filter("fp IS NOT NULL").withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
-    nodes = written(nodes, "nodes")
+    # The bands of a node are read where its row lies; they are most of the table.
     entries = nodes.select(F.explode("bands").alias("bucket"), "fp")
+    nodes = written(nodes.drop("bands"), "nodes")
     # Buckets of one node link nothing.
     shared = entries.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     members = written(entries.join(shared, "bucket").select("bucket", "fp", "m"), "members")

@@ -17,7 +17,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
