@@ -68,7 +68,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embe
         probes = left.select("q", "most", F.col("q").alias("code")).select("q", "most", F.inline(_segments(words)))
         probes = probes.withColumn("mask", F.explode(_masks(radius))).select("q", "most", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         far = distance(F.col("q"), F.col("code"), words)
-        met = probes.join(index, ["segment", "value"]).filter(far <= F.col("most")).select("q", far.alias("distance"), "ids")
+        # Spark takes the exploded probes for as small as the queries; without the hint it would broadcast them.
+        met = probes.join(index.hint("merge"), ["segment", "value"]).filter(far <= F.col("most")).select("q", far.alias("distance"), "ids")
         # A code may be met through several segments and rounds.
         met = met.select("q", "distance", F.explode("ids").alias("id"))
         every = met if best is None else best.join(left.select("q"), "q").select("q", "distance", "id").unionByName(met)
