@@ -28,13 +28,15 @@ from hazeline.llm.tables import written
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 3, 0.6, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-_RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas".split())
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMING = frozenset("class id role itemprop aria-label".split())
+_RAW = frozenset("script style noscript template textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = frozenset("html head body div section article main nav header footer aside form ul ol dl table figure details dialog fieldset blockquote menu".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre address figcaption summary hr center legend option".split())
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCKS))})(?=[\s/>])", re.IGNORECASE)
 _OUTER = frozenset("html body main article".split())
-_APART = frozenset("head nav header footer aside form menu dialog button label".split())
+_APART = frozenset("head nav header footer aside form menu dialog button label select".split())
 #: Words of a class, id or role that mark what is not the article.
 _APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs pagination pager"
@@ -51,6 +53,7 @@ class Page:
         self.paths, self.parents, self.apart, self.roles = [""], [-1], [False], [0]
         self.texts: list[tuple[int, int, str, bool]] = []
         stack, names, block, links, at = [0], [""], 0, 0, 0
+        unclosed: set[str] = set()
 
         def text(a: int, b: int) -> None:
             if a < b:
@@ -75,8 +78,11 @@ class Page:
                 block += name == "hr"
                 continue
             if name in _RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else len(source)
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(source, at)
+                if not end:  # what is never closed ends where a block begins
+                    unclosed.add(name)
+                    begun = _BLOCK_TAG.search(source, at)
+                at = end.end() if end else begun.start() if begun else len(source)
                 continue
             if name in _BLOCKS:
                 block += 1
@@ -87,7 +93,9 @@ class Page:
             label, words, hidden = "", set(), False
             for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
                 value, what = (a[2] or a[3] or a[4] or "").lower(), a[1].lower()
-                hidden |= what == "hidden"
+                hidden |= what == "hidden" and value != "until-found" or what == "aria-hidden" and value.strip() == "true"
+                if what not in _NAMING:
+                    continue
                 words |= {*value.split()}
                 if what in ("class", "id"):
                     label += f"{'.' if what == 'class' else '#'}{re.sub('[0-9]+', '0', value)}"

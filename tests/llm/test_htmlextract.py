@@ -61,3 +61,16 @@ def test_equal_vectors_are_a_class(spark):
     tokens = H.classes(spark.createDataFrame(rows, "page_id bigint, url string, html string")).filter("host = 'a.example' AND block = 0").collect()
     assert {"", "/html", "/html/body", "/html/body/article", "/html/body/div#top", "/html/body/ul.links", "/html/body/div#foot"} == {t.path for t in tokens}
     assert {(t.members, t.pages) for t in tokens} == {(7, 6)}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *((f"<article><div {a}><p>kept</p></div></article>", "kept") for a in ('style="overflow:hidden"', 'aria-hidden="false"', "data-hidden=0", 'title="The hidden valley"', 'data-id="sidebar"')),
+        *((f"<article><div {a}><p>lost</p></div>t</article>", "t") for a in ("hidden", 'hidden=""', "class=x HIDDEN", "aria-hidden='true'")),
+        ("<article>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object data=f.pdf>the file</object> <canvas>a chart</canvas></article>", "so x=1 and the file a chart"),
+        ("<article>a<iframe src=x><p>b</p><style>i{}<p>c</p></article>", "a b c"), ("<article><p>a<select><option>o</select>b</article>", "a b"),
+    ],
+)
+def test_only_what_is_hidden_or_raw_is_apart(page, text):
+    assert H.article(page, None) == text
