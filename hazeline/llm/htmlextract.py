@@ -3,7 +3,8 @@
 Tokens are containers (tag, class and id, under their containers) and whole text blocks. Spark sums a hash of each distinct page and the token's count in
 it, so that tokens with one sum share an occurrence vector; the tokens of a vector are a class. A class is valid when it has enough tokens and enough of
 the host's distinct pages; valid classes nest by their containers into the template. The template names the slot that holds the article: an article or main
-element if it has one, else the outermost slot, without the text blocks of the template itself. Of that slot every text stays but what lies in
+element if it has one, else the outermost slot. Text blocks of the template go wherever they stand, in the slot too: those on enough of the host's pages,
+and those on enough of its pages of one layout (with the same containers around the article). Of the slot every other text stays but what lies in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Hosts with too few pages use the
 template of all pages; sums are combined before they are shuffled, so a host may hold any share of them.
 
@@ -142,11 +143,24 @@ class Page:
                     own[1] += n
                     own[2] += n * link
                 at = self.parents[at]
-        if not any(role for role, apart in zip(self.roles, self.apart, strict=True) if not apart):
-            for path, text in self.blocks():
-                found.setdefault((path, text), [0, len(text), 0, 0])[0] += 1
+        for path, text in self.blocks():
+            found.setdefault((path, text), [0, len(text), 0, 0])[0] += 1
         return found
 
+    def layout(self) -> str:
+        """A hash of the containers that aren't apart, without those inside an article or main element."""
+        inside, seen = [False], set()
+        for k in range(1, len(self.paths)):
+            parent = self.parents[k]
+            inside.append(inside[parent] or self.roles[parent] > 0)
+            if not inside[k] and not self.apart[k]:
+                seen.add(self.paths[k])
+        return hashlib.md5("\n".join(sorted(seen)).encode("utf-8", "replace")).hexdigest()[:16]
+
+
+def _hashed(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "big", signed=True)
+
 
 def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
@@ -159,9 +173,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns: list[list] = [[] for _ in range(8)]
         for host, page, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for (path, text), (n, chars, links, role) in Page(source or "").tokens().items():
-                block = int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "big", signed=True) if text else 0
-                for key in (host, "*"):
+            parsed = Page(source or "")
+            layout = f"{host}\n{parsed.layout()}"
+            for (path, text), (n, chars, links, role) in parsed.tokens().items():
+                block = _hashed(text) if text else 0
+                for key in (host, "*", layout) if text or not path else (host, "*"):
                     for column, value in zip(columns, (key, page, path, block, n, chars, links, role), strict=True):
                         column.append(value)
         types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
@@ -169,7 +185,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """Tokens of valid classes: (host, path, block, members, pages, chars, link_chars, role). block 0: a container."""
+    """Tokens of valid classes: (host, path, block, members, pages, chars, link_chars, role). block 0: a container. The host of a layout's text blocks has the layout after a line end."""
     rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
     once = rows.mapInArrow(_emit, _TOKENS).groupBy("host", "path", "block", "page").agg(*(F.max(c).alias(c) for c in ("n", "chars", "link_chars", "role")))
     mark = F.xxhash64("page", "n")
@@ -177,10 +193,10 @@ def classes(pages: DataFrame) -> DataFrame:
     sums = once.groupBy("host", "path", "block").agg(
         F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.max("role").alias("role"),
     )
-    sums = written(sums, "tokens")
-    vectors = sums.groupBy("host", "low", "high").agg(F.count("*").alias("members"), F.max("pages").alias("of"))
+    sums = written(sums.filter((F.col("block") == 0) | (F.col("pages") >= MIN_PAGES)), "tokens")  # rarer text blocks are of no template
+    vectors = sums.groupBy("host", "low", "high").agg(F.count("*").alias("tokens"), F.count_if(F.col("block") == 0).alias("members"), F.max("pages").alias("of"))
     hosts = sums.filter("path = '' AND block = 0").select("host", F.col("pages").alias("host_pages"))
-    valid = vectors.join(hosts, "host").filter((F.col("members") >= MIN_TOKENS) & (F.col("of") >= MIN_PAGES) & (F.col("of") >= F.col("host_pages") * MIN_SHARE))
+    valid = vectors.join(hosts, "host").filter((F.col("tokens") >= MIN_TOKENS) & (F.col("of") >= MIN_PAGES) & (F.col("of") >= F.col("host_pages") * MIN_SHARE))
     # A text block is of the template by its own share: texts of one vector with a container are rare.
     own = sums.join(hosts, "host").filter((F.col("block") != 0) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("host_pages") * MIN_SHARE))
     tokens = sums.filter("block = 0").join(valid.select("host", "low", "high", "members"), ["host", "low", "high"]).select("host", "path", "block", "members", "pages", "chars", "link_chars", "role")
@@ -198,7 +214,7 @@ def nested(tokens: list[tuple[str, int, int, int]]) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, blocks): path of the article's slot, and the hashes of the template's text blocks, of each host with a template. Host * is of all pages."""
+    """(host, main, blocks): path of the article's slot, and the hashes of the template's text blocks, of each host with a template. Host * is of all pages; a layout has blocks only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,16 +228,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def article(source: str | None, main: str | None, blocks: frozenset[int] = frozenset()) -> str:
-    """The page's text in the main slot; in the whole page without the template's blocks where it has none."""
+    """The page's text in the main slot, or in the whole page where it has none, without the template's blocks."""
     page = Page(source or "")
     roles = [role if not apart else 0 for role, apart in zip(page.roles, page.apart, strict=True)]
     if main not in page.paths or max(roles) > max((r for r, p in zip(roles, page.paths, strict=True) if p == main), default=0):
         # The page differs from the template: its own best role, or all of it.
         main = next((p for r, p in zip(roles, page.paths, strict=True) if r == max(roles)), None) if max(roles) else None
-    found = page.blocks(main or None)
-    if not max(roles):
-        found = [x for x in found if int.from_bytes(hashlib.md5(x[1].encode("utf-8", "replace")).digest()[:8], "big", signed=True) not in blocks]
-    return " ".join(text for _, text in found)
+    return " ".join(text for _, text in page.blocks(main or None) if _hashed(text) not in blocks)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -229,15 +242,25 @@ def extracted(pages: DataFrame) -> DataFrame:
     known = written(templates(pages), "templates")
     common = known.filter("host = '*'").select("main", "blocks").first()
     fallback = (common.main, frozenset(common.blocks)) if common else (None, frozenset())
-    own = known.filter("host <> '*'").withColumnRenamed("host", "template_host")
-    hosted = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    both = hosted.join(own, hosted.host == own.template_host, "left").select("page_id", "url", "html", "main", "blocks")
+    of_layout = F.col("host").contains("\n")
+    own = known.filter(~of_layout & (F.col("host") != "*")).withColumnRenamed("host", "template_host")
+    laid = known.filter(of_layout).select(F.col("host").alias("layout_host"), F.col("blocks").alias("layout_blocks"))
+    schema = T.StructType([*pages.select("page_id", "url", "html").schema.fields, T.StructField("host", T.StringType()), T.StructField("layout", T.StringType())])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layouts = [f"{host}\n{Page(source or '').layout()}" for source, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.string())], schema.names)
+
+    hosted = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).mapInArrow(lay, schema)
+    both = hosted.join(own, hosted.host == own.template_host, "left").join(laid, hosted.layout == laid.layout_host, "left").select("page_id", "url", "html", "main", "blocks", "layout_blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for source, main, blocks in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                out.append(article(source, *((main, frozenset(blocks or ())) if main is not None else fallback)))
+            for source, main, blocks, more in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                slot, common_blocks = (main, frozenset(blocks or ())) if main is not None else fallback
+                out.append(article(source, slot, common_blocks.union(more or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = pages.schema

@@ -74,3 +74,17 @@ def test_equal_vectors_are_a_class(spark):
 )
 def test_only_what_is_hidden_or_raw_is_apart(page, text):
     assert H.article(page, None) == text
+
+
+def test_template_blocks_inside_the_article_go(spark):
+    """A line that every page of the host repeats in its article, and one that only pages of a rarer layout repeat."""
+    body = lambda k, more: f"<p>{prose(k, 30)}</p><p>Get our letter every week</p>{more}<p>{prose(100 + k, 10)}</p>"
+    rows = [(k, *site("a.example", k, body(k, ""))) for k in range(12)]
+    for k in range(12, 16):
+        url, page = site("a.example", k, body(k, "<div>Part of our series</div>"))
+        rows.append((k, url, page.replace("<article>", "<div class=series><article>")))
+    rows += [(16, *site("a.example", 16, body(16, "<p>Part of our series</p>")))]
+    found = {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    for k in range(16):
+        assert found[k] == f"{prose(k, 30)} {prose(100 + k, 10)}"
+    assert found[16] == f"{prose(16, 30)} Part of our series {prose(116, 10)}"
