@@ -2,9 +2,12 @@
 
 The values that the patterns find are the labelled credentials. For each kind a bounded sample of distinct values (the first SAMPLE by MD5,
 of at most SAMPLE_CHARS characters) makes a prefix tree over character classes; states whose outgoing and final frequencies agree within
-the Hoeffding bound, all the way down, are merged from the root on. Each state of the merged automaton keeps the characters it was left by. Every
-other candidate in every text is then scored: its likelihood as one of the formats against its likelihood as running text, whose
-character frequencies are counted over all documents. Spans that pass are added as kind "format"; spans of the patterns always stay.
+the Hoeffding bound, all the way down, are merged from the root on. Each state of the merged automaton keeps the characters it was left by.
+
+Candidates are the runs of the characters and the least length that labelled values have, and where a run is none, its parts between dots and equals signs.
+Each is scored, of whatever length: its likelihood as one of the formats against its likelihood as running text, whose character frequencies are counted over
+all documents. It passes when that ratio makes a credential likely (SURE, against as many candidates as there are for each labelled value) and is, by
+character, no lower than LEAST of the labelled values of all documents have it. Spans that pass are added as kind "format"; spans of the patterns always stay.
 
 A null text is an empty one and has no spans; texts are scanned whole; repeated rows are scanned alike; without labelled credentials nothing is
 added; an empty table gives no rows. Other columns are passed by.
@@ -27,15 +30,19 @@ from pyspark.sql import types as T
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE, SAMPLE_CHARS = 1000, 128
 ALPHA = 0.01
-#: Nats by which a format must explain a candidate better than running text does.
-MARGIN = 12.0
-#: A candidate may be this many nats less likely than the least likely labelled value of its length class.
-SLACK = 2.0
+#: Odds for a credential that a candidate must reach.
+SURE = 99.0
+#: Share of the labelled values that may score below the limit, and nats (times the root of its length) by which a candidate may lie below it, as it wasn't learned from.
+LEAST, SLACK = 0.01, 2.0
+#: Decisions that a task keeps, as words recur.
+KEPT = 1 << 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+_PART = re.compile(r"[A-Za-z0-9+/_-]{8,}=*")
 _LETTERS_OF_HEX = frozenset("0123456789abcdef")
 
 _NAMES = ("passw", "secret", "token", "api")
@@ -44,7 +51,7 @@ Span = tuple[int, int, str, int]
 
 
 def _runs(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CANDIDATE.finditer(text)]
+    return [m.span() for m in _RUN.finditer(text)]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -60,10 +67,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
-    """Runs that may be credentials and touch no span."""
-    for a, b in _runs(text):
-        if not any(s[0] < b and a < s[1] for s in spans):
-            yield a, b
+    """Runs that may be credentials and touch no span, without the dots around them. spans by start."""
+    at, reach = 0, 0
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if reach <= a:
+            while a < b and text[a] == ".":
+                a += 1
+            while a < b and text[b - 1] == ".":
+                b -= 1
+            if b - a >= 8:
+                yield a, b
 
 
 def classes(value: str) -> str:
@@ -102,6 +119,7 @@ class Automaton:
             for symbol, char in zip(classes(value), value, strict=True):
                 self.chars.setdefault(at, Counter())[char] += times
                 at = self.next[at][symbol]
+        self.totals = {state: sum(seen.values()) for state, seen in self.chars.items()}
         lows: dict[int, float] = {}
         for value in values:
             score = self.log_likelihood(value)
@@ -166,66 +184,108 @@ class Automaton:
             else:
                 red.append(state)
 
-    def log_likelihood(self, value: str) -> float | None:
-        """None where the automaton has no such path."""
+    def log_likelihood(self, value: str, symbols: str | None = None) -> float | None:
+        """None where the automaton has no such path. symbols: the value's classes, if known."""
         at, score = 0, 0.0
-        for symbol, char in zip(classes(value), value, strict=True):
+        for symbol, char in zip(symbols or classes(value), value, strict=True):
             to = self.next[at].get(symbol)
             if to is None:
                 return None
             seen = self.chars[at]
-            total = sum(seen.values())
+            total = self.totals[at]
             score += math.log(self.count[at][symbol] / self.arrive[at]) if len(self.next[at]) > 1 else math.log((self.arrive[at] - self.final[at]) / self.arrive[at] or 1.0)
             score += math.log((seen[char] + 0.02) / (total + 0.02 * 66))
             at = to
         return score + math.log(self.final[at] / self.arrive[at]) if self.final[at] else None
 
 
-def accepts(automaton: Automaton, value: str, text_score: float) -> bool:
-    low = automaton.lows.get(len(value))
-    if low is None:
-        return False
-    score = automaton.log_likelihood(value)
-    return score is not None and score >= low - SLACK and score - text_score >= MARGIN
+class Model:
+    """Automata by kind, log frequencies of running text, nats that a candidate needs, and least nats a character by kind."""
+
+    def __init__(self, automata: dict[str, Automaton], background: dict[str, float], margin: float, limits: dict[str, float]):
+        self.automata, self.background, self.margin, self.limits = automata, background, margin, limits
+        self.known: dict[str, bool] = {}
+
+    def ratio(self, kind: str, value: str, symbols: str | None = None) -> float | None:
+        """Nats by which the kind's automaton explains the value better than running text does."""
+        score = self.automata[kind].log_likelihood(value, symbols)
+        return None if score is None else score - sum(self.background[c] for c in value)
+
+    def accepts(self, value: str) -> bool:
+        if value not in self.known:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            symbols = classes(value)
+            found = ((self.ratio(kind, value, symbols), limit) for kind, limit in self.limits.items())
+            self.known[value] = any(nats is not None and nats >= max(self.margin, limit * len(value) - SLACK * math.sqrt(len(value))) for nats, limit in found)
+        return self.known[value]
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
+        chars: Counter = Counter()
         for text in batch.column(0).to_pylist():
             if text:
                 spans = base_spans(text)
+                found["labels", ""] += len(spans)
                 for _, end, kind, value in spans:
                     if end - value <= SAMPLE_CHARS:
                         found[kind, text[value:end]] += 1
-                for a, b in candidates(text, spans):
-                    for char, n in Counter(text[a:b]).items():
-                        found["char", char] += n
+                others = [text[a:b] for a, b in candidates(text, spans)]
+                found["candidates", ""] += len(others)
+                chars.update("".join(others))
+        found.update({("char", char): n for char, n in chars.items()})
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "value", "n"])
 
 
-def learn(docs: DataFrame) -> tuple[dict[str, Automaton], dict[str, float]]:
-    """An automaton for each kind that labels a value, and log frequencies of characters in candidates that no pattern finds."""
+def learn(docs: DataFrame) -> Model:
+    """An automaton for each kind that labels a value, log frequencies of characters in candidates that no pattern finds, and the limits."""
+    spark = docs.sparkSession
     found = docs.select("text").mapInArrow(_labelled, "kind string, value string, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.md5("value"), "value"))
     rows = found.withColumn("place", place).filter(F.col("place") <= SAMPLE).select("kind", "value", "n").collect()
     # A value counts once however often it is repeated: its format is to be learned.
     automata = {kind: Automaton(values) for kind in KINDS if (values := {r.value: 1 for r in rows if r.kind == kind})}
     chars = Counter({r.value: r.n for r in rows if r.kind == "char"})
+    times = Counter({r.kind: r.n for r in rows if r.kind in ("labels", "candidates")})
     total = sum(chars.values())
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
-    return automata, {c: math.log((chars[c] + 1) / (total + len(alphabet))) for c in alphabet}
-
+    background = {c: math.log((chars[c] + 1) / (total + len(alphabet))) for c in alphabet}
+    model = Model(automata, background, math.log(SURE * max(1.0, times["candidates"] / max(1, times["labels"]))), {})
+    if not automata:
+        return model
+    sent = spark.sparkContext.broadcast(model)
 
-def all_spans(text: str, automata: dict[str, Automaton], background: dict[str, float]) -> list[Span]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                for _, end, kind, value in base_spans(text or ""):
+                    if kind in sent.value.automata and (nats := sent.value.ratio(kind, text[value:end])) is not None:
+                        levels[kind, math.floor(100 * nats / (end - value))] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in levels], pa.string()), pa.array([v for _, v in levels], pa.int64()), pa.array(list(levels.values()), pa.int64())], ["kind", "level", "n"])
+
+    # One row for each kind and hundredth of a nat.
+    scored = docs.select("text").mapInArrow(score, "kind string, level bigint, n bigint").groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()
+    for kind in automata:
+        below, every = 0, sum(r.n for r in scored if r.kind == kind)
+        for level, n in sorted((r.level, r.n) for r in scored if r.kind == kind):
+            below += n
+            if below > LEAST * every:
+                model.limits[kind] = level / 100
+                break
+    return model
+
+
+def all_spans(text: str, model: Model) -> list[Span]:
     spans = base_spans(text)
     added = []
-    for a, b in candidates(text, spans):
-        value = text[a:b]
-        if any(len(value) in m.lows for m in automata.values()):
-            as_text = sum(background[c] for c in value)
-            if any(accepts(m, value, as_text) for m in automata.values()):
-                added.append((a, b, "format", a))
+    for a, b in candidates(text, spans) if model.limits else ():
+        if model.accepts(text[a:b]):
+            added.append((a, b, "format", a))
+        elif "." in (value := text[a:b]) or "=" in value:
+            added += [(*m.span(), "format", m.start()) for m in _PART.finditer(text, a, b) if model.accepts(m[0])]
     return sorted(spans + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -238,11 +298,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, background = model.value
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
-                spans = all_spans(text or "", automata, background)
+                spans = all_spans(text or "", model.value)
                 kinds = Counter(s[2] for s in spans)
                 base = joined([s for s in spans if s[2] != "format"])
                 row = (kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(base.encode()).hexdigest(), joined(spans), kinds["format"])
@@ -275,10 +334,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, background = model.value
         for batch in batches:
             old = batch.column(text).to_pylist()
-            new = [t and (masked(t, spans) if (spans := all_spans(t, automata, background)) else t) for t in old]
+            new = [t and (masked(t, spans) if (spans := all_spans(t, model.value)) else t) for t in old]
             columns = list(batch.columns)
             columns[text] = pa.array(new, batch.column(text).type)
             if chars >= 0:

@@ -71,3 +71,17 @@ def test_odd_rows_and_masking(spark, odd, none, labelled):
         assert r.text == f"some plain words number {r.doc_id} and internationalization or counterrevolutionaries there password=[assign] then [access] and token = \"[assign]\" end"
         assert r.n_chars == len(r.text)
     assert S.redacted(none).count() == 0
+
+
+def test_other_lengths_and_signs_than_the_labelled_ones(spark):
+    """Values of a loop pass at lengths that no labelled value has; short ones and ones with dots are candidates as a whole."""
+    mixed = lambda seed, n: "".join("QWXZK0123456789"[int(c, 16) % 15] for c in hashlib.sha512(f"m{seed}".encode()).hexdigest() * 2)[:n]
+    lengths = [n for n in range(9, 60) if n not in (11, 33, 41)]
+    dotted = lambda k: f"{hexes(k, 12)}.{hexes(k + 1, 12)}.{hexes(k + 2, 12)}"
+    rows = [f"ordinary sentences contain sufficiently long expressions, something understandable: token={mixed(k, lengths[k % len(lengths)])} and secret: {dotted(5000 + k)} end" for k in range(400)]
+    hidden = [mixed("a", 11), mixed("b", 33), mixed("c", 41), mixed("d", 140), dotted(9000)]
+    rows += [f"it reads {value}. Nothing else about it, extraordinary.words here" for value in hidden]
+    found = {r.doc_id: r.spans for r in S.scanned(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)).collect()}
+    for k, value in enumerate(hidden, 400):
+        assert found[k] == f"format:9:{9 + len(value)}", value
+    assert all(found[k] == plain(rows[k]) for k in range(400))
