@@ -4,7 +4,8 @@ A line is described by its own figures, those of the lines before and after it,
 ranges, and each range has a weight. Training lines take the label of their document, each document counting once. The chance of
 good of every line (forward-backward), weighted by the line's length, is the document's figure; a logistic curve turns it into a probability of label 1.
 
-It is fitted on TRAIN_DOCS labelled documents at most (those first by MD5 of the id), outside the held-out fifth; everything else covers all texts, whole.
+It is fitted on whole texts of a sample of labelled documents outside the held-out fifth: those first by MD5 of the id, TRAIN_DOCS documents and TRAIN_ROWS lines
+of text at most. Everything else covers all texts, whole.
 A null text is empty; a text without a word has the figure 0; repeated labels with one value count once, and documents
 labelled both ways aren't learned from; without labels of both kinds the score is the share of label 1 (0.5 without any). A null id is held out.
 Repeated rows score alike; an empty table gives no rows. Only doc_id and text are read.
@@ -25,8 +26,10 @@ from hazeline.llm.arrays import BLOCK, SPACE, mix, slices, utf8, word_bounds, wo
 TRAIN_DOCS = 5000
 THRESHOLD = 0.3
 STEPS, RATE, SHRINK = 80, 0.15, 1e-3
-#: Documents longer than this take part in training by their first lines only.
-TRAIN_LINES = 64
+#: Lines of the sample in all; documents are taken whole or not at all.
+TRAIN_ROWS = 200_000
+#: Chains longer than this are multiplied out by doubling instead of line by line.
+LOOP = 64
 
 #: Upper ends of the ranges of each figure of a line.
 EDGES = {
@@ -137,12 +140,14 @@ def marginals(odds: np.ndarray, lines: np.ndarray, pair: np.ndarray) -> tuple[np
 
     Texts are taken by falling length, so that step t works on those with more than t lines.
     """
+    if len(lines) and lines.max() > LOOP:
+        return _marginals_by_doubling(odds, lines, pair)
     order = np.argsort(-lines, kind="stable")
     order = order[lines[order] > 0]
     begin = (np.cumsum(lines) - lines)[order]
     left = lines[order]
     factor = np.exp(pair)
-    local = np.stack([1 / (1 + np.exp(np.clip(odds, -40, 40))), 1 / (1 + np.exp(-np.clip(odds, -40, 40)))], 1)
+    local = _local(odds)
     ahead, back = np.ones_like(local), np.ones_like(local)
     steps = int(left[0]) if len(left) else 0
     active = np.searchsorted(-left, -np.arange(steps), "left")  # texts with more than t lines
@@ -164,6 +169,36 @@ def marginals(odds: np.ndarray, lines: np.ndarray, pair: np.ndarray) -> tuple[np
     return good, pairs, order
 
 
+def _local(odds: np.ndarray) -> np.ndarray:
+    return np.stack([1 / (1 + np.exp(np.clip(odds, -40, 40))), 1 / (1 + np.exp(-np.clip(odds, -40, 40)))], 1)
+
+
+def _marginals_by_doubling(odds: np.ndarray, lines: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As marginals(): products of 2 x 2 matrices over all lines at once; the matrix at a text's end forgets what lies beyond."""
+    factor, local = np.exp(pair), _local(odds)
+    ends = np.cumsum(lines)[lines > 0]
+    first, last = np.zeros(len(odds), bool), np.zeros(len(odds), bool)
+    first[(np.cumsum(lines) - lines)[lines > 0]], last[ends - 1] = True, True
+    forward = np.where(first[:, None, None], 1.0, factor) * local[:, None, :]
+    backward = np.where(last[:, None, None], 1.0, factor * np.roll(local, -1, 0)[:, None, :])
+    width = 1
+    while width < lines.max():
+        forward[width:], backward[:-width] = forward[:-width] @ forward[width:], backward[:-width] @ backward[width:]
+        for x in (forward, backward):
+            x /= x.sum((1, 2), keepdims=True)
+        width *= 2
+    ahead, back = forward.sum(1), backward.sum(2)
+    ahead, back = ahead / ahead.sum(1, keepdims=True), back / back.sum(1, keepdims=True)
+    good = ahead * back
+    good = good[:, 1] / good.sum(1)
+    at = np.flatnonzero(~last)
+    both = ahead[at][:, :, None] * factor * (local[at + 1] * back[at + 1])[:, None, :]
+    both /= both.sum((1, 2), keepdims=True)
+    text = np.repeat(np.arange(len(lines)), lines)[at]
+    pairs = np.stack([np.bincount(text, both[:, a, b], len(lines)) for a in (0, 1) for b in (0, 1)], 1).reshape(-1, 2, 2)
+    return good, pairs, np.argsort(-lines, kind="stable")[: len(ends)]
+
+
 def _odds(weights: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return weights[numbers].sum(1)
 
@@ -250,11 +285,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model, from at most TRAIN_DOCS labelled documents that aren't held out."""
+    """The model, from at most TRAIN_DOCS labelled documents that aren't held out, and TRAIN_ROWS lines."""
     known = labels.filter("quality IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
     known = known.filter("label = other").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_DOCS)
     # At most TRAIN_DOCS rows of two numbers.
     chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", F.col("label").cast("int").alias("label"))), "doc_id")
+    # Lines, one number for each document of the sample: those that fit are taken whole. A document that is repeated is learned from once.
+    size = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    sizes = chosen.groupBy("doc_id").agg(F.max(size).cast("bigint").alias("size")).filter(F.col("size") <= TRAIN_ROWS)
+    upto = F.sum("size").over(Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = sizes.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_ROWS).select("doc_id")
+    chosen = chosen.join(F.broadcast(fitting), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             for i, j in slices(offsets):
                 numbers, chars, lines = described(data, offsets[i : j + 1])
                 begin = np.concatenate([[0], np.cumsum(lines)])
-                rows = [slice(begin[k], min(begin[k + 1], begin[k] + TRAIN_LINES)) for k in range(j - i)]
+                rows = [slice(begin[k], begin[k + 1]) for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([chars[r] for r in rows], pa.list_(pa.float64())),
                     pa.array([numbers[r].ravel() for r in rows], pa.list_(pa.int64())),
@@ -271,7 +312,6 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     found = chosen.select("doc_id", "text", "label").mapInArrow(run, T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("chars", T.ArrayType(T.DoubleType())), T.StructField("numbers", T.ArrayType(T.LongType())),
     ]))
-    # A document that is repeated is learned from once.
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.size("chars"), F.xxhash64("numbers")))
     rows = found.filter(F.size("chars") > 0).withColumn("k", first).filter("k = 1").select("doc_id", "label", "chars", F.transform("numbers", lambda x: x.cast("short")).alias("numbers")).toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])

@@ -65,3 +65,26 @@ def test_long_text_is_scored_whole(monkeypatch):
     assert whole[1] == whole[2] and len(whole) == 3
     monkeypatch.setattr(crf, "BLOCK", 1500)
     assert crf.scores(pa.array([text]), model)[0] == pytest.approx(whole[0], abs=0.3)
+
+
+def test_marginals_of_long_chains(monkeypatch):
+    random = np.random.default_rng(3)
+    lines = np.array([3, 0, 90, 1, 300, 0])
+    odds, pair = random.normal(scale=9, size=lines.sum()), random.normal(size=(2, 2))
+    doubled = crf.marginals(odds, lines, pair)
+    monkeypatch.setattr(crf, "LOOP", 1000)
+    for a, b in zip(doubled, crf.marginals(odds, lines, pair), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_whole_texts_are_learned_from(spark):
+    """Good and bad documents differ after their hundredth line only."""
+    same = "\n".join(f"Line {k} has words, and they end." for k in range(100))
+    tails = ["\n".join(f"### {k} BUY NOW!!! | MENU | $$$" for k in range(100)), "\n".join(f"More about number {k} is told here." for k in range(100))]
+    docs = spark.createDataFrame([(k, f"{same}\n{tails[k % 2]}") for k in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    score = {r.doc_id: r.score for r in crf.classified(docs, labels).collect()}
+    assert all(score[k] > 0.8 if k % 2 else score[k] < 0.2 for k in range(60))
+    weights = crf.train(docs, labels)["weights"]
+    calls = int(crf._FIRST[list(crf.EDGES).index("calls")])
+    assert weights[calls + 1 : calls + len(crf.EDGES["calls"]) + 1].min() < -0.1  # no line of the first hundred has calls
