@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import crf, hamming, htmlextract, mixing, neardup, packing, perplexity, secrets, sharding, urlfilter
+from hazeline.llm import crf, hamming, htmlextract, mixing, neardup, packing, perplexity, prefixtrie, secrets, sharding, urlfilter, variants
 from hazeline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,19 @@ def op6_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_temporal_url_lists"] = urlfilter.ORACLE
+
+
+@registered
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = prefixtrie.ORACLE
+
+
+@registered
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling_variants"] = variants.ORACLE
