@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import crf, hamming, htmlextract, mixing, neardup, packing, perplexity, prefixtrie, secrets, sharding, urlfilter, variants
+from hazeline.llm import crf, hamming, htmlextract, mixing, neardup, packing, perplexity, prefixtrie, secrets, sharding, suffixdedup, urlfilter, variants
 from hazeline.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_spelling_variants"] = variants.ORACLE
+
+
+@registered
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_suffix_array_dedup"] = suffixdedup.ORACLE
