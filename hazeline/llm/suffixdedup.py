@@ -28,6 +28,8 @@ from hazeline.llm.tables import written
 
 LENGTH, _GRAM = 50, 24
 _WINDOW = LENGTH - _GRAM + 1
+#: Windows in a segment.
+MOST_WINDOWS = 64
 #: Bytes of text whose anchors share a bucket, bytes handled at a time, and bytes of a shard.
 BUCKET_BYTES, SLICE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 1 << 20
 _LAST = (1 << 63) - 1
@@ -52,7 +54,12 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = np.minimum(h[:-step], h[step:])
     h = np.minimum(h[: len(h) - (_WINDOW - 16)], h[_WINDOW - 16 :])
     first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-    return h[first], first, np.diff(np.append(first, len(h)))
+    n = np.diff(np.append(first, len(h)))
+    if int(n.max()) > MOST_WINDOWS:  # periodic text; where it is cut doesn't matter, as windows are compared one by one
+        pieces = -(-n // MOST_WINDOWS)
+        step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, n = np.repeat(first, pieces) + step * MOST_WINDOWS, np.minimum(np.repeat(n, pieces) - step * MOST_WINDOWS, MOST_WINDOWS)
+    return h[first], first, n
 
 
 def _text_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,34 +166,37 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each segment of a text with the hash of its bytes; the bytes themselves once in a batch."""
     for batch in batches:
         seen: set[tuple[int, int]] = set()
-        rows: list[tuple] = []
-        size = 0
-        for o, h, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            data = text.as_buffer().to_pybytes()
-            flat = listed.values
-            for anchor, off, n in zip(*(flat.field(k).to_pylist() for k in range(3)), strict=True):
-                body = data[off : off + n + LENGTH - 1]
-                seg = xxhash.xxh3_64_intdigest(body) - (1 << 63)
-                new = (anchor, seg) not in seen
-                if new:
-                    seen.add((anchor, seg))
-                    size += len(body)
-                rows.append((anchor, seg, o, h, off, n, body if new else None))
-            if len(rows) >= 1 << 15 or size >= SLICE_BYTES:
-                yield _rows(rows)
-                rows, size = [], 0
-        if rows:
-            yield _rows(rows)
+        listed = batch.column(3)
+        cuts = listed.offsets.to_numpy().tolist()
+        anchor, off, n = (listed.values.field(k).to_numpy() for k in range(3))
+        os, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        a = 0
+        while a < len(os):
+            segs: list[int] = []
+            bodies: list[bytes | None] = []
+            size, b = 0, a
+            while b < len(os) and size < SLICE_BYTES and len(segs) < 1 << 15:
+                data, own = batch.column(2)[b].as_buffer().to_pybytes(), slice(cuts[b], cuts[b + 1])
+                for key, first, end in zip(anchor[own].tolist(), off[own].tolist(), (off[own] + n[own] + LENGTH - 1).tolist(), strict=True):
+                    body = data[first:end]
+                    seg = xxhash.xxh3_64_intdigest(body) - (1 << 63)
+                    segs.append(seg)
+                    if (key, seg) in seen:
+                        bodies.append(None)
+                    else:
+                        seen.add((key, seg))
+                        bodies.append(body)
+                        size += len(body)
+                b += 1
+            own, count = slice(cuts[a], cuts[b]), np.diff(cuts[a : b + 1])
+            columns = [pa.array(anchor[own]), pa.array(segs, pa.int64()), *(pa.array(np.repeat(x[a:b], count)) for x in (os, hs)), pa.array(off[own]), pa.array(n[own]), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "seg", "o", "h", "off", "n", "body"])
+            a = b
 
 
 _OCCURRENCE = f"anchor bigint, seg bigint, {_KEY}, off bigint, n bigint, body binary"
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "seg", "o", "h", "off", "n", "body"])
-
-
 def least_ids(texts: list[bytes], ids: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """For each text, its runs of windows (first, end, least id): the least id of the texts that hold the window."""
     joined = np.frombuffer(b"\xff".join(texts), np.uint8)
