@@ -2,7 +2,8 @@
 
 Sharding by anchors. The least hash of the 24-byte strings within each 50 bytes is their anchor; equal strings have equal anchors, so they meet where anchors
 do. Consecutive windows with one anchor are one segment (about 14 windows). Anchors of one document only are dropped first: tasks send packed hashes by
-bucket, one entry for an anchor that several documents of a slice have, so that a very common anchor costs an entry a slice. Then equal segments
+bucket, one entry for an anchor that several documents of a slice have, so that a very common anchor costs an entry a slice. Anchors are cut to 48 bits and
+names of texts to 40 there: what collides is looked at in vain and no more, for windows are compared by their bytes. Then equal segments
 are merged with the least id of each. An anchor with one text has nothing to compare; the different texts of all other anchors are dealt into shards of
 bounded size, each sorted by induced sorting, and neighbours that share 50 bytes, by their permuted common prefixes, form a group with one least id. An anchor
 whose texts alone exceed a shard is split by its windows, each grouped whole.
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.arrays import mix, slices, utf8
 from hazeline.llm.suffixarray import permuted_prefixes, suffix_array
-from hazeline.llm.tables import written
+from hazeline.llm.tables import released
 
 LENGTH, _GRAM = 50, 24
 _WINDOW = LENGTH - _GRAM + 1
@@ -33,6 +35,8 @@ MOST_WINDOWS = 64
 #: Bytes of text whose anchors share a bucket, bytes handled at a time, and bytes of a shard.
 BUCKET_BYTES, SLICE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 1 << 20
 _LAST = (1 << 63) - 1
+#: Bytes of an anchor and of a text's name in what tasks send.
+_ANCHOR, _NAME = 6, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KEY = "o bigint, h bigint"
 
@@ -73,83 +77,91 @@ def _text_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("o"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    o, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), F.coalesce("text", F.lit(""))
+    return docs.select(o.alias("o"), F.xxhash64(text).alias("h"), F.xxhash64(o, text).bitwiseAND(F.lit((1 << 8 * _NAME) - 1)).alias("k"), text.alias("text"))
 
 
-_PACKED = "bucket int, anchors binary, os binary, hs binary, offs binary, ns binary, many binary, sure boolean"
+_PACKED = "bucket int, anchors binary, names binary, offs binary, ns binary, many binary, sure boolean"
+#: Bytes of each packed number: anchor, name, first window, windows.
+_WIDTHS = (_ANCHOR, _NAME, 5, 1)
 
 
 def _pack(bucket: int, x: list[np.ndarray], many: np.ndarray, sure: bool) -> pa.RecordBatch:
-    parts = [a.astype(t).tobytes() for a, t in zip(x, ("<u8", "<i8", "<i8", "<u4", "u1"), strict=True)]
+    """Numbers byte by byte, all lowest bytes first: high bytes of small numbers become runs of zeros."""
+    parts = [a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for a, w in zip(x, _WIDTHS, strict=True)]
     columns = [pa.array([bucket], pa.int32()), *(pa.array([p], pa.binary()) for p in parts), pa.array([many.tobytes()], pa.binary()), pa.array([sure])]
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _PACKED.split(", ")])
 
 
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
+
+
 def _sent(buckets: int):
     """Anchors of whole texts, packed by bucket: entries to compare, and the segments already known to share their anchor within the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            os, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = utf8(batch.column(2))
+            names = batch.column(0).to_numpy()
+            data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
                 found = [_text_anchors(data[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
                 count = [len(f[0]) for f in found]
                 if not sum(count):
                     continue
                 h, first, n = (np.concatenate([f[k] for f in found]) for k in range(3))
-                o, key = np.repeat(os[i:j], count), np.repeat(hs[i:j], count)
+                h = (h & np.uint64((1 << 8 * _ANCHOR) - 1)).astype(np.int64)
+                name = np.repeat(names[i:j], count)
                 order = np.argsort(h, kind="stable")
-                h, first, n, o, key = h[order], first[order], n[order], o[order], key[order]
+                h, first, n, name = h[order], first[order], n[order], name[order]
                 cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 size = np.diff(np.append(cuts, len(h)))
-                sure = np.repeat(np.minimum.reduceat(o, cuts) < np.maximum.reduceat(o, cuts), size)
+                sure = np.repeat(np.minimum.reduceat(name, cuts) < np.maximum.reduceat(name, cuts), size)
                 lead = np.zeros(len(h), bool)
                 lead[cuts] = True
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
+                bucket = h % buckets
                 for which, known in ((~sure | lead, False), (sure, True)):
                     at = np.flatnonzero(which)
                     at = at[np.argsort(bucket[at], kind="stable")]
                     edges = np.searchsorted(bucket[at], np.arange(buckets + 1))
                     for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                         own = at[edges[b] : edges[b + 1]]
-                        yield _pack(b, [h[own], o[own], key[own], first[own], n[own]], sure[own], known)
+                        yield _pack(b, [h[own], name[own], first[own], n[own]], sure[own], known)
 
     return run
 
 
-_SEGMENT = f"anchor bigint, {_KEY}, off bigint, n bigint"
+_SEGMENT = "anchor bigint, k bigint, off bigint, n bigint"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments whose anchor several documents have. Rows come by bucket."""
-    names = ["anchor", "o", "h", "off", "n"]
+    names = ["anchor", "k", "off", "n"]
 
     def segments(x: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(at), 1 << 16):
             part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(x[0][part])), *(pa.array(c[part].astype(np.int64)) for c in x[1:])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in x], names)
 
     def settle(rows: list[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        x = [np.concatenate([r[0][k] for r in rows]) for k in range(5)]
+        x = [np.concatenate([r[0][k] for r in rows]) for k in range(4)]
         many = np.concatenate([r[1] for r in rows])
         order = np.argsort(x[0], kind="stable")
-        h, o, m = x[0][order], x[1][order], many[order]
+        h, name, m = x[0][order], x[1][order], many[order]
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        several = (np.minimum.reduceat(o, cuts) < np.maximum.reduceat(o, cuts)) | np.logical_or.reduceat(m, cuts)
+        several = (np.minimum.reduceat(name, cuts) < np.maximum.reduceat(name, cuts)) | np.logical_or.reduceat(m, cuts)
         keep = np.repeat(several, np.diff(np.append(cuts, len(h)))) & ~m  # entries that stand for many came with their segments
         yield from segments(x, order[keep])
 
     bucket, rows = None, []
     for batch in batches:
         for r in range(batch.num_rows):
-            x = [np.frombuffer(batch.column(k + 1)[r].as_py(), t) for k, t in enumerate(("<u8", "<i8", "<i8", "<u4", "u1"))]
-            if batch.column(7)[r].as_py():
+            x = [_unpack(batch.column(k + 1)[r].as_py(), w) for k, w in enumerate(_WIDTHS)]
+            if batch.column(6)[r].as_py():
                 yield from segments(x, np.arange(len(x[0])))
                 continue
             b = batch.column(0)[r].as_py()
@@ -157,7 +169,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from settle(rows)
                 rows = []
             bucket = b
-            rows.append((x, np.frombuffer(batch.column(6)[r].as_py(), bool)))
+            rows.append((x, np.frombuffer(batch.column(5)[r].as_py(), bool)))
     if rows:
         yield from settle(rows)
 
@@ -170,6 +182,11 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = listed.offsets.to_numpy().tolist()
         anchor, off, n = (listed.values.field(k).to_numpy() for k in range(3))
         os, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        # Texts whose names collide are given each other's segments.
+        sizes = pc.binary_length(batch.column(2).cast(pa.binary())).to_numpy()
+        fits = off + n + LENGTH - 1 <= np.repeat(sizes, np.diff(listed.offsets.to_numpy()))
+        cuts = np.concatenate([[0], np.cumsum(fits)])[cuts].tolist()
+        anchor, off, n = anchor[fits], off[fits], n[fits]
         a = 0
         while a < len(os):
             segs: list[int] = []
@@ -232,13 +249,13 @@ _RUNS = ["anchor", "seg", "first", "end", "least"]
 
 def _window_runs(occurrences: DataFrame, shard_bytes: int) -> DataFrame:
     """(anchor, seg, first, end, least): the least id of the documents that hold each window of each different segment."""
-    texts = written(occurrences.groupBy("anchor", "seg").agg(F.min("o").alias("least"), F.min("n").alias("n")), "texts")
+    texts = released(occurrences.groupBy("anchor", "seg").agg(F.min("o").alias("least"), F.min("n").alias("n")), "texts")
     per_anchor = texts.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("n") + LENGTH).alias("bytes"), F.min("least").alias("only"))
-    per_anchor = written(per_anchor, "per_anchor")
+    per_anchor = released(per_anchor, "per_anchor")
     single = texts.join(per_anchor.filter("m = 1").select("anchor"), "anchor").select("anchor", "seg", F.lit(0).cast("bigint").alias("first"), F.col("n").alias("end"), "least")
     several = per_anchor.filter("m > 1").select("anchor", "bytes")
     bodies = occurrences.filter("body IS NOT NULL").select("anchor", "seg", "body").join(several, "anchor").dropDuplicates(["anchor", "seg"])
-    bodies = written(bodies.join(texts.select("anchor", "seg", "least"), ["anchor", "seg"]), "bodies")
+    bodies = released(bodies.join(texts.select("anchor", "seg", "least"), ["anchor", "seg"]), "bodies")
     total = bodies.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     shards = total // shard_bytes + 1
     dealt = bodies.filter(F.col("bytes") <= shard_bytes).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -265,13 +282,13 @@ def removed_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     keyed = _keyed(docs)
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = size // BUCKET_BYTES + 1
-    packed = keyed.mapInArrow(_sent(buckets), _PACKED)
-    shared = written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _SEGMENT), "segments")
-    listed = shared.groupBy("o", "h").agg(F.collect_set(F.struct("anchor", "off", "n")).alias("listed"))
-    texts = keyed.join(listed, ["o", "h"]).select("o", "h", "text", "listed")
+    packed = keyed.select("k", "text").mapInArrow(_sent(buckets), _PACKED)
+    shared = released(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _SEGMENT), "segments")
+    listed = shared.groupBy("k").agg(F.collect_set(F.struct("anchor", "off", "n")).alias("listed"))
+    texts = keyed.join(listed, "k").select("o", "h", "text", "listed")
     # A repeated row repeats its segments, no more.
-    occurrences = written(texts.mapInArrow(_bodies, _OCCURRENCE), "occurrences")
-    runs = written(_window_runs(occurrences, shard_bytes), "runs")
+    occurrences = released(texts.mapInArrow(_bodies, _OCCURRENCE), "occurrences")
+    runs = released(_window_runs(occurrences, shard_bytes), "runs")
     hits = occurrences.select("anchor", "seg", "o", "h", "off").join(runs, ["anchor", "seg"]).filter("least < o")
     return hits.select("o", "h", (F.col("off") + F.col("first")).alias("first"), (F.col("off") + F.col("end") + LENGTH - 1).alias("end"))
 
@@ -295,7 +312,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_ranges(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """(doc_id, text, ranges) of each row of docs."""
-    ranges = written(removed_ranges(docs, shard_bytes), "ranges")
+    ranges = released(removed_ranges(docs, shard_bytes), "ranges")
     listed = ranges.groupBy("o", "h").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
     rows = _keyed(docs).withColumn("doc_id", F.when(F.col("o") < _LAST, F.col("o")))
     return rows.join(listed, ["o", "h"], "left").select("doc_id", "text", "ranges")

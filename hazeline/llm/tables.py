@@ -21,6 +21,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame, name: str) -> DataFrame:
+    """As written; the shuffle files of steps that are over are given up at once. Spark's cleaner drops them when the driver collects its garbage, which a driver with little to do may put off for long."""
+    out = written(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
