@@ -21,11 +21,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def released(df: DataFrame, name: str) -> DataFrame:
-    """As written; the shuffle files of steps that are over are given up at once. Spark's cleaner drops them when the driver collects its garbage, which a driver with little to do may put off for long."""
-    out = written(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """As written, and the step's shuffle files are dropped once the table stands."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
