@@ -33,7 +33,7 @@ _WINDOW = LENGTH - _GRAM + 1
 #: Windows in a segment.
 MOST_WINDOWS = 64
 #: Bytes of text whose anchors share a bucket, bytes handled at a time, and bytes of a shard.
-BUCKET_BYTES, SLICE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 1 << 20
+BUCKET_BYTES, SLICE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 1 << 17
 _LAST = (1 << 63) - 1
 #: Bytes of an anchor and of a text's name in what tasks send.
 _ANCHOR, _NAME = 6, 5
