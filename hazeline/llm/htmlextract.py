@@ -4,9 +4,10 @@ Tokens are containers (tag, class and id, under their containers) and whole text
 it, so that tokens with one sum share an occurrence vector; the tokens of a vector are a class. A class is valid when it has enough tokens and enough of
 the host's distinct pages; valid classes nest by their containers into the template. The template names the slot that holds the article: an article or main
 element if it has one, else the outermost slot. Text blocks of the template go wherever they stand, in the slot too: those on enough of the host's pages,
-and those on enough of its pages of one layout (with the same containers around the article). Of the slot every other text stays but what lies in
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Hosts with too few pages use the
-template of all pages; sums are combined before they are shuffled, so a host may hold any share of them.
+and those on enough of its pages of one layout (with the same containers around the article). For text blocks, pages are told apart by their article's content, so that copies of one article (mirrors, print views) count once; and
+blocks that make up most of an article element are its text, however often they recur. Of the slot every other text stays but what lies in
+menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments: marked by their element, or by a class, id or role all of whose parts say so.
+A container named as the article is never one of these. Hosts with too few pages use the template of all pages; sums are combined before they are shuffled, so a host may hold any share of them.
 
 A null html is an empty page and gives empty text; a null url is a host of its own; repeated rows are extracted alike and count once in the
 template; broken markup never fails. Other columns are not read.
@@ -44,9 +45,28 @@ _APART_WORDS = frozenset(
     " header masthead footer copyright sidebar aside widget related recommended share sharing social cookie cookies consent notice notices alert gdpr popup modal overlay"
     " newsletter subscribe signup login search form comment comments reply replies respond discussion disqus toolbar toc skip complementary contentinfo".split()
 )
+#: Parts of a class, id or role that say nothing about what a container holds; they may stand beside the words above.
+_NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content entry field fixed global group head heading icon icons inline inner input item items left link links list main"
+    " outer overlay page panel placeholder post posts primary right row secondary section side site slot small sticky story tab text title top wrap wrapper".split()
+)
 _MAIN_WORDS = frozenset("main articlebody post-content entry-content article-body article-content post-body story-body".split())
 
 
+def _path(parent: str, own: str) -> str:
+    """The path of a container under its parent's; a long one is named by its hash, so deep containers stay apart."""
+    path = f"{parent}/{own}"
+    return path if len(path) <= 400 else f"~{hashlib.md5(path.encode('utf-8', 'replace')).hexdigest()}"
+
+
+def _says_apart(word: str) -> bool:
+    """Whether a class, id or role names what is not the article: no part of it says otherwise."""
+    if word in _APART_WORDS:
+        return True
+    parts = set(re.split("[-_]+", word)) - {""}
+    return not parts.isdisjoint(_APART_WORDS) and parts <= _APART_WORDS | _NEUTRAL_WORDS
+
+
 class Page:
     """Containers (path, parent, apart, role) and texts (container, block, text, in a link) of a page, in page order."""
 
@@ -54,6 +74,7 @@ class Page:
         self.paths, self.parents, self.apart, self.roles = [""], [-1], [False], [0]
         self.texts: list[tuple[int, int, str, bool]] = []
         stack, names, block, links, at = [0], [""], 0, 0, 0
+        inside = [False]  # containers of the article
         unclosed: set[str] = set()
 
         def text(a: int, b: int) -> None:
@@ -100,13 +121,18 @@ class Page:
                 words |= {*value.split()}
                 if what in ("class", "id"):
                     label += f"{'.' if what == 'class' else '#'}{re.sub('[0-9]+', '0', value)}"
-            parts = {p for w in words for p in re.split("[-_]+", w)}
+            role = 2 if name == "article" or "articlebody" in words else 1 if name == "main" or words & _MAIN_WORDS else 0
             # Classes of the page and of the main slot tell how it is laid out ("with-sidebar"), not what it is.
-            named = not (words | parts).isdisjoint(_APART_WORDS) if name not in _OUTER else name == "article" and not words.isdisjoint(_APART_WORDS)
-            apart = name in _APART or hidden or named
+            if name == "article":
+                named = not words.isdisjoint(_APART_WORDS)
+            else:
+                named = not role and name not in _OUTER and any(map(_says_apart, words))
+            # An article's own header holds its title.
+            own_header = name == "header" and inside[stack[-1]] and not named
+            apart = name in _APART and not own_header or hidden or named
             if name in _CONTAINERS or apart or words & _MAIN_WORDS:
-                role = 2 if name == "article" or "articlebody" in words else 1 if name == "main" or words & _MAIN_WORDS else 0
-                self.paths.append(f"{self.paths[stack[-1]]}/{name}{label}"[-400:])
+                self.paths.append(_path(self.paths[stack[-1]], f"{name}{label}".replace("/", ":")))
+                inside.append(inside[stack[-1]] or role > 0)
                 self.parents.append(stack[-1])
                 self.apart.append(apart or self.apart[stack[-1]])
                 self.roles.append(role)
@@ -129,12 +155,18 @@ class Page:
                 out[-1][1].append(text)
         return [(path, joined) for path, parts in out if (joined := " ".join("".join(parts).split()))]
 
-    def tokens(self) -> dict[tuple[str, str], list[int]]:
-        """(path, block text or empty): count, characters, characters in links, role of containers that aren't apart."""
-        found: dict[tuple[str, str], list[int]] = {("", ""): [1, 0, 0, 0]}
-        for path, apart, role in zip(self.paths[1:], self.apart[1:], self.roles[1:], strict=True):
+    def content(self) -> int:
+        """A hash of the article's text: of what lies in the best role, or of all that isn't apart."""
+        best = max((r for r, apart in zip(self.roles, self.apart, strict=True) if not apart), default=0)
+        main = next((p for r, p, apart in zip(self.roles, self.paths, self.apart, strict=True) if r == best and not apart), None) if best else None
+        return _hashed("\n".join(text for _, text in self.blocks(main)))
+
+    def tokens(self) -> dict[tuple[str, str], list]:
+        """(path, block text or empty): count, characters, characters in links, role of containers that aren't apart, and their parent."""
+        found: dict[tuple[str, str], list] = {("", ""): [1, 0, 0, 0, ""]}
+        for path, apart, role, parent in zip(self.paths[1:], self.apart[1:], self.roles[1:], self.parents[1:], strict=True):
             if not apart:
-                found.setdefault((path, ""), [0, 0, 0, role])[0] += 1
+                found.setdefault((path, ""), [0, 0, 0, role, self.paths[parent]])[0] += 1
         for node, _, text, link in self.texts:
             n, at = len(text.strip()), node
             while n and at > 0:
@@ -144,7 +176,7 @@ class Page:
                     own[2] += n * link
                 at = self.parents[at]
         for path, text in self.blocks():
-            found.setdefault((path, text), [0, len(text), 0, 0])[0] += 1
+            found.setdefault((path, text), [0, len(text), 0, 0, ""])[0] += 1
         return found
 
     def layout(self) -> str:
@@ -166,51 +198,66 @@ def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-_TOKENS = "host string, page bigint, path string, block bigint, n int, chars bigint, link_chars bigint, role int"
+#: In place of a block's hash: counts the different contents of a host or layout.
+_CONTENTS = -1
+_TOKENS = "host string, page bigint, path string, block bigint, n int, chars bigint, link_chars bigint, role int, parent string"
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list] = [[] for _ in range(8)]
+        columns: list[list] = [[] for _ in range(9)]
         for host, page, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             parsed = Page(source or "")
+            content = parsed.content()
             layout = f"{host}\n{parsed.layout()}"
-            for (path, text), (n, chars, links, role) in parsed.tokens().items():
-                block = _hashed(text) if text else 0
-                for key in (host, "*", layout) if text or not path else (host, "*"):
-                    for column, value in zip(columns, (key, page, path, block, n, chars, links, role), strict=True):
+            tokens = [(path, _hashed(text) if text else 0, *figures) for (path, text), figures in parsed.tokens().items()]
+            for path, block, *figures in [*tokens, ("", _CONTENTS, 1, 0, 0, 0, "")]:
+                for key in (host, "*", layout) if block or not path else (host, "*"):
+                    for column, value in zip(columns, (key, content if block else page, path, block, *figures), strict=True):
                         column.append(value)
-        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _TOKENS.split(", ")])
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """Tokens of valid classes: (host, path, block, members, pages, chars, link_chars, role). block 0: a container. The host of a layout's text blocks has the layout after a line end."""
+    """Tokens of valid classes: (host, path, parent, block, members, pages, chars, link_chars, role). block 0: a container. The host of a layout's text blocks has the layout after a line end."""
     rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
-    once = rows.mapInArrow(_emit, _TOKENS).groupBy("host", "path", "block", "page").agg(*(F.max(c).alias(c) for c in ("n", "chars", "link_chars", "role")))
+    once = rows.mapInArrow(_emit, _TOKENS).groupBy("host", "path", "parent", "block", "page").agg(*(F.max(c).alias(c) for c in ("n", "chars", "link_chars", "role")))
     mark = F.xxhash64("page", "n")
     low, high = mark.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(mark, 33)  # sums of these can't overflow
-    sums = once.groupBy("host", "path", "block").agg(
+    sums = once.groupBy("host", "path", "parent", "block").agg(
         F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.max("role").alias("role"),
     )
     sums = written(sums.filter((F.col("block") == 0) | (F.col("pages") >= MIN_PAGES)), "tokens")  # rarer text blocks are of no template
     vectors = sums.groupBy("host", "low", "high").agg(F.count("*").alias("tokens"), F.count_if(F.col("block") == 0).alias("members"), F.max("pages").alias("of"))
     hosts = sums.filter("path = '' AND block = 0").select("host", F.col("pages").alias("host_pages"))
     valid = vectors.join(hosts, "host").filter((F.col("tokens") >= MIN_TOKENS) & (F.col("of") >= MIN_PAGES) & (F.col("of") >= F.col("host_pages") * MIN_SHARE))
-    # A text block is of the template by its own share: texts of one vector with a container are rare.
-    own = sums.join(hosts, "host").filter((F.col("block") != 0) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("host_pages") * MIN_SHARE))
-    tokens = sums.filter("block = 0").join(valid.select("host", "low", "high", "members"), ["host", "low", "high"]).select("host", "path", "block", "members", "pages", "chars", "link_chars", "role")
-    return tokens.unionByName(own.select("host", "path", "block", F.lit(1).cast("bigint").alias("members"), "pages", "chars", "link_chars", "role"))
-
+    # A text block is of the template by its own share of the different contents: texts of one vector with a container are rare.
+    contents = sums.filter(f"path = '' AND block = {_CONTENTS}").select("host", F.col("pages").alias("host_pages"))
+    blocks = sums.filter((F.col("block") != 0) & (F.col("block") != _CONTENTS))
+    own = blocks.join(contents, "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("host_pages") * MIN_SHARE))
+    tokens = sums.filter("block = 0").join(valid.select("host", "low", "high", "members"), ["host", "low", "high"]).select("host", "path", "parent", "block", "members", "pages", "chars", "link_chars", "role")
+    return tokens.unionByName(own.select("host", "path", "parent", "block", F.lit(1).cast("bigint").alias("members"), "pages", "chars", "link_chars", "role"))
+
+
+def nested(tokens: list[tuple[str, str, int, int, int]]) -> str:
+    """The main slot of containers (path, parent, chars, link chars, role): only those whose containers are in the template too, and of them the best role, then text without links, then the outermost."""
+    under = {path: parent for path, parent, *_ in tokens}
+    depths: dict[str, int] = {"": 0}
+
+    def depth(path: str) -> int:
+        """Containers above a path, -1 where one of them is not in the template."""
+        above = []
+        while path not in depths and path in under:
+            above.append(path)
+            path = under[path]
+        found = depths.get(path, -1)
+        for path in reversed(above):
+            found = depths[path] = found + 1 if found >= 0 else -1
+        return found
 
-def nested(tokens: list[tuple[str, int, int, int]]) -> str:
-    """The main slot of containers (path, chars, link chars, role): only those whose containers are in the template too, and of them the best role, then text without links, then the outermost."""
-    paths = {t[0] for t in tokens}
-    kept = [t for t in tokens if t[0] and ((parent := t[0].rpartition("/")[0]) == "" or parent in paths)]
-    if not kept:
-        return ""
-    best = max(kept, key=lambda t: (t[3], t[1] - t[2], -len(t[0]), t[0]))
-    return best[0]
+    kept = [t for t in tokens if t[0] and depth(t[0]) > 0]
+    return max(kept, key=lambda t: (t[4], t[2] - t[3], -depth(t[0]), t[0]))[0] if kept else ""
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -218,11 +265,11 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [nested([(t["path"], t["chars"], t["link_chars"], t["role"]) for t in tokens]) for tokens in batch.column(1).to_pylist()]
+            found = [nested([(t["path"], t["parent"], t["chars"], t["link_chars"], t["role"]) for t in tokens]) for tokens in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), batch.column(2)], ["host", "main", "blocks"])
 
     # A token is on three of five of the host's pages, so there are at most as many as on two of its pages.
-    token = F.when(F.col("block") == 0, F.struct("path", "chars", "link_chars", "role"))
+    token = F.when(F.col("block") == 0, F.struct("path", "parent", "chars", "link_chars", "role"))
     grouped = classes(pages).groupBy("host").agg(F.collect_list(token).alias("tokens"), F.collect_set(F.when(F.col("block") != 0, F.col("block"))).alias("blocks"))
     return grouped.select("host", "tokens", "blocks").mapInArrow(run, "host string, main string, blocks array<bigint>")
 
@@ -234,7 +281,11 @@ def article(source: str | None, main: str | None, blocks: frozenset[int] = froze
     if main not in page.paths or max(roles) > max((r for r, p in zip(roles, page.paths, strict=True) if p == main), default=0):
         # The page differs from the template: its own best role, or all of it.
         main = next((p for r, p in zip(roles, page.paths, strict=True) if r == max(roles)), None) if max(roles) else None
-    return " ".join(text for _, text in page.blocks(main or None) if _hashed(text) not in blocks)
+    found = [text for _, text in page.blocks(main or None)]
+    kept = [text for text in found if _hashed(text) not in blocks]
+    if max(roles) and 2 * sum(map(len, kept)) < sum(map(len, found)):
+        kept = found  # most of an article is no template: its pages are copies of one another
+    return " ".join(kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

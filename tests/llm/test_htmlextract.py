@@ -88,3 +88,51 @@ def test_template_blocks_inside_the_article_go(spark):
     for k in range(16):
         assert found[k] == f"{prose(k, 30)} {prose(100 + k, 10)}"
     assert found[16] == f"{prose(16, 30)} Part of our series {prose(116, 10)}"
+
+
+def extracted(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in H.extracted(pages).collect()}
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    """Mirrors, print views and tracking versions of one article on one host, with and without an article element, keep it."""
+    body = f"<p>{prose(1, 30)}</p><p>{prose(2, 30)}</p>"
+    rows = [(k, f"http://m.example/{k}", f"<html><head><meta name=v content={k}></head><body><article>{body}</article></body></html>") for k in range(3)]
+    rows += [(10 + k, f"http://n.example/{k}", f"<html><head><meta name=v content={k}></head><body><div class=text>{body}</div></body></html>") for k in range(3)]
+    rows += [(20 + k, f"http://o.example/{k}", f"<html><body><article>{body}<p>Seen {k} times</p></article></body></html>") for k in range(4)]
+    found = extracted(spark, rows)
+    whole = f"{prose(1, 30)} {prose(2, 30)}"
+    assert [found[k] for k in (0, 1, 2, 10, 11, 12)] == [whole] * 6 and [found[20 + k] for k in range(4)] == [f"{whole} Seen {k} times" for k in range(4)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div class='entry-content has-sidebar'><p>kept</p></div><div class='sidebar-widget'>s</div></body>", "kept"),
+        ("<article><div class='share-price-report'><p>prices</p></div><p>tail</p><div class='share-buttons'>x</div><div class=post-share-links>y</div></article>", "prices tail"),
+        ("<body><header>site</header><article><header><h1>Title</h1><nav>menu</nav></header><p>text</p></article></body>", "Title text"),
+        ("<article><div class='w-1/2'><p>a</p></div><div class='comment-list'>no</div><div class='forum-thread'>b</div></article>", "a b"),
+        ("<article><header class='site-header'>no</header><div class='search-engine-history'>yes</div></article>", "yes"),
+    ],
+)
+def test_names_that_only_contain_a_word(page, text):
+    assert H.article(page, None) == text
+
+
+def test_deep_and_slashed_containers(spark):
+    """A path of thousands of characters, and class names with slashes, keep containers apart and nested."""
+    deep = "".join(f"<div class='level-{'x' * 60}'>" for _ in range(50))
+    rows = []
+    for k in range(6):
+        url, page = site("d.example", k, f"{deep}<div class='w-1/2 md:w-1/3'><p>{prose(k, 40)}</p></div>{'</div>' * 50}", "div")
+        rows.append((k, url, page))
+    assert extracted(spark, rows) == {k: prose(k, 40) for k in range(6)}
+    paths = H.Page(rows[0][2]).paths
+    assert len(set(paths)) == len(paths) and max(map(len, paths)) <= 400
+
+
+def test_megabytes(spark):
+    body = f"<p>{prose(3, 150_000)}</p><div class='{'c' * 1_000_000}'>inner</div>"
+    found = extracted(spark, [(1, "http://big.example/" + "u" * 1_000_000, f"<html><body><article>{body}</article></body></html>")])
+    assert found[1] == f"{prose(3, 150_000)} inner"
