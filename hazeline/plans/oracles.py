@@ -325,4 +325,9 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT NULL, NULL, NULL, s_name, s_nationkey, s_acctbal, s_suppkey FROM supplier""",
     "snapshot": f"""WITH {CALLS}, g AS (SELECT source, status, count(*) AS rows, sum({RUN_MS})::bigint AS ms, count(error) AS errors FROM calls GROUP BY source, status)
       SELECT layer, '{RUN_ID}' AS run_id, source, status, rows, ms, errors FROM g, (VALUES ('run'), ('latest')) l(layer)""",
+    "compacted_table": f"""WITH {OBS} SELECT strftime(data_date, '%Y-%m-%d') AS data_date, count(*) AS rows, sum(ord)::bigint AS ords, count(DISTINCT city_id) AS cities FROM obs GROUP BY data_date""",
+    "stream_first": """SELECT user_id, event_type, strftime(cast(ts AS date), '%Y-%m-%d') AS day, min(event_id) AS event_id, arg_min(value, event_id) AS value
+      FROM events GROUP BY user_id, event_type, cast(ts AS date)""",
 }
+ORACLES["metrics_report"] = f"""SELECT '{RUN_ID}' AS run_id, total_api_calls, successful_calls, failed_calls, rows_processed, rows_skipped, invalid_records, duplicates_removed,
+  cast(0 AS double) AS execution_time_seconds FROM ({ORACLES['run_summary']})"""

@@ -20,6 +20,8 @@ from hazeline.plans.stand_ins import RUN, calls, city_dim, dated, landed, measur
 from hazeline.session import shared_folder
 from hazeline.operators.standardize import Run
 from hazeline.sinks import reports, snapshots, tables
+from hazeline.sinks.versions import VersionedTable, read_versioned
+from hazeline.streaming.firsts import ingest_firsts, read_firsts
 from hazeline.sources import cities, spine
 from hazeline.sources.landed import READERS, to_calls, to_records
 
@@ -607,8 +609,8 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("retrieved_at"), F.col("o_orderstatus").alias("status"),
     )
     for part in (o.filter("status = 'F'"), o.filter("status <> 'F' AND city % 3 <> 0")):
-        tables.merge_partitions(path, part, "data_date", lambda old, new: upsert.merge_latest(old, new, ["city", "data_date"]))
-    return spark.read.parquet(path).select("city", _day_text("data_date"), "retrieved_at", "status")
+        VersionedTable(spark, path, "data_date").merge(part, lambda old, new: upsert.merge_latest(old, new, ["city", "data_date"]))
+    return read_versioned(spark, path, "data_date").select("city", _day_text("data_date"), "retrieved_at", "status")
 
 
 @registered
@@ -638,3 +640,46 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("layer", "run_id", "source", "status").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("response_time_ms").alias("ms"), F.count("error").alias("errors")
     )
+
+
+@registered
+def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations appended in batches by day, one batch replayed, days of several versions folded, old versions dropped; then read back."""
+    stored = VersionedTable(spark, _scratch(spark, "compacted"), "data_date")
+    o = obs(spark, sf_dir).select("ord", "city_id", "data_date", "value")
+    for batch in (0, 1, 2, 1):
+        stored.append(o.filter(F.col("ord") % 3 == batch), batch)
+    stored.compact(2)
+    stored.vacuum()
+    rows = stored.read()
+    return rows.groupBy(_day_text("data_date")).agg(F.count(F.lit(1)).alias("rows"), F.sum("ord").alias("ords"), F.countDistinct("city_id").alias("cities"))
+
+
+@registered
+def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First event of a user, type and day over a stream in three runs: a tenth of the rows come a run late, a seventh come twice."""
+    base = _scratch(spark, "stream_first")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value", F.col("ts").cast("date").alias("day"))
+    span = events.agg(F.min("day").alias("first"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("days"))
+    slot = F.floor(F.datediff("day", span.select("first").scalar()) * 3 / span.select("days").scalar())
+    dealt = events.withColumn("slot", slot)
+    late = F.when(F.col("event_id") % 10 == 0, F.least(F.col("slot") + 1, F.lit(2))).otherwise(F.col("slot"))
+    dealt = dealt.withColumn("slot", F.explode(F.when(F.col("event_id") % 7 == 0, F.array(late, F.least(late + 1, F.lit(2)))).otherwise(F.array(late)))).withColumn("slot", F.col("slot").cast("int"))
+    lateness = f"{span.first().days} days"
+    keys = ["user_id", "event_type", "day"]
+    for k in range(3):
+        dealt.filter(F.col("slot") == k).drop("slot").write.mode("append").parquet(f"{base}/landing")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/landing")
+        ingest_firsts(source, keys, "event_id", "ts", lateness, f"{base}/firsts", "day", f"{base}/checkpoint").awaitTermination()
+    found = read_firsts(VersionedTable(spark, f"{base}/firsts", "day"), keys, "event_id")
+    return found.select("user_id", "event_type", _day_text("day"), "event_id", "value")
+
+
+@registered
+def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics report of one run over all calls, as it is written and read back."""
+    counters = run_summary(spark, sf_dir)
+    row = reports.metrics_report(counters.select("*", F.lit(RUN.run_id).alias("run_id"), F.lit(0.0).alias("execution_time_seconds")))
+    folder = f"{_scratch(spark, 'metrics_report')}/metrics"
+    reports.write_report(row, folder)
+    return spark.read.schema(row.schema).json(folder).select(*reports.METRICS_KEYS)

@@ -1,13 +1,9 @@
-"""Keyed tables on plain Parquet: a merge rewrites only the partitions the incoming rows touch.
-
-The merged partitions are first written in full to a staging directory and then copied over with dynamic partition
-overwrite. A run that dies in between is repeated with the same outcome, and no partition is ever read and replaced
-in the same job.
+"""Keyed tables on plain Parquet. The feature table is versioned: a merge writes only the partitions the incoming rows touch, and a run that dies leaves
+the former version readable. A run's own partition of the raw table, and days of a stream's layers, are replaced directly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +15,9 @@ from hazeline.operators.features import feature_rows
 from hazeline.operators.survivors import one_per_key
 from hazeline.operators.upsert import merge_latest
 from hazeline.sinks.snapshots import read_if_present
+from hazeline.sinks.versions import VersionedTable, read_versioned
 
-Merge = Callable[[DataFrame, DataFrame], DataFrame]
+FEATURE_PARTITION = "data_date"
 
 
 def _drop_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
@@ -48,28 +45,6 @@ def replace_partitions(rows: DataFrame, path: str, partition: str, touched: Data
         _drop_partitions(spark, path, partition, [r[0] for r in empty.collect()])
 
 
-def merge_partitions(path: str, incoming: DataFrame, partition: str, merge: Merge, gone: DataFrame | None = None) -> None:
-    """Merge ``incoming`` into the table at ``path``, partitioned by ``partition``; rows with a key in ``gone`` leave it."""
-    spark = incoming.sparkSession
-    existing = read_if_present(spark, path)
-    if existing is None:
-        merged = merge(incoming.limit(0), incoming)
-    else:
-        # A partition without a value is touched like any other; Spark prunes the stored files by the incoming values at run time.
-        touched = incoming.select(F.col(partition).alias("_touched"))
-        touched = (touched if gone is None else touched.unionByName(gone.select(F.col(partition).alias("_touched")))).distinct()
-        old = existing.join(touched, F.col(partition).eqNullSafe(F.col("_touched")), "left_semi")
-        merged = merge(old if gone is None else old.join(gone, gone.columns, "left_anti"), incoming)
-    staging = f"{path.rstrip('/')}/_staging"
-    merged.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
-    _write_partitions(staged, path, partition)
-    if gone is not None and existing is not None:
-        days = gone.select(F.col(partition).alias("_day")).distinct()
-        empty = days.join(staged.select(F.col(partition).alias("_have")).distinct(), F.col("_day") == F.col("_have"), "left_anti")
-        _drop_partitions(spark, path, partition, [r[0] for r in empty.collect()])
-
-
 def raw_rows(bronze: DataFrame, run_id: str, created_at: datetime | None = None) -> DataFrame:
     """Bronze rows with their record key."""
     keyed = bronze.select(*BRONZE_COLUMNS).withColumn("record_key", record_key(BRONZE_COLUMNS, {"run_id": F.lit(run_id)}))
@@ -85,6 +60,11 @@ def upsert_raw(bronze: DataFrame, path: str, run_id: str, created_at: datetime |
 
 
 def upsert_features(gold: DataFrame, path: str, run_id: str, gone: DataFrame | None = None) -> None:
-    """Feature-table upsert on (city, data_date): the latest ``retrieved_at`` wins, and keys in ``gone`` are removed. Partitioned by day."""
+    """Feature-table upsert on (city, data_date): the latest ``retrieved_at`` wins, and keys in ``gone`` are removed. Partitioned by day, versioned."""
     rows = feature_rows(gold, run_id).withColumn("data_date", F.col("data_date").cast("date"))
-    merge_partitions(path, rows, "data_date", lambda old, new: merge_latest(old, new, GOLD_KEY), gone)
+    VersionedTable(gold.sparkSession, path, FEATURE_PARTITION).merge(rows, lambda old, new: merge_latest(old, new, GOLD_KEY), gone)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest feature table, None while nothing was published."""
+    return read_versioned(spark, path, FEATURE_PARTITION)

@@ -1,9 +1,10 @@
 """Incremental ingest of landed calls: a file stream whose end state equals one batch run over the same files.
 
-Each micro-batch appends its checked rows under its own batch number and fuses again only the days it touched, from
+Each micro-batch appends its checked rows as a version of one table and fuses again only the days it touched, from
 all checked rows of those days. First-by-arrival is decided there, over stored rows, so the stream carries no
-de-duplication state, needs no watermark to bound it, and never drops a late row. Replaying a batch overwrites what it
-wrote before.
+de-duplication state, needs no watermark to bound it, and never drops a late row. Replaying a batch adds nothing twice. Days whose rows
+lie in many versions are folded into one, so the files to read do not grow with the number of micro-batches; ``first_rows``
+(``hazeline.streaming.firsts``) keeps bounded state instead, for streams whose lateness is known.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from hazeline.operators.validate import ERRORS, RECORD_DATE, check, with_record_
 from hazeline.session import prepare
 from hazeline.plans.run import LINEAGE_COLUMNS
 from hazeline.sinks import tables
+from hazeline.sinks.versions import VersionedTable
 from hazeline.sources.landed import to_calls, to_records
 
 _KEY = "arrival_key"
+#: Versions in which a day's checked rows may lie before they are folded, and commits that readers may still use.
+VERSIONS_OF_A_DAY, COMMITS_KEPT = 8, 4
 
 
 def landed_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:
@@ -63,14 +67,11 @@ def apply_batch(batch: DataFrame, batch_id: int, cities: DataFrame, base: str, n
     calls = to_calls(batch.drop("_landed_at"), run)
     tables.upsert_raw(bronze(calls, run), f"{base}/tables/raw_records", run.run_id, run.at)
 
-    store = f"{base}/stream/checked"
-    mine = f"{store}/batch_id={batch_id}"
+    checked = VersionedTable(spark, f"{base}/stream/checked", RECORD_DATE)
     rows = checked_with_key(to_records(calls, cities), run).withColumn("accepted", F.size(ERRORS) == 0)
-    # A day that holds most of a batch is split over files, and small days share tasks.
-    rows.hint("rebalance", RECORD_DATE).write.mode("overwrite").partitionBy(RECORD_DATE).parquet(mine)
-
-    stored = spark.read.parquet(store)
-    days = stored.filter(F.col("batch_id") == batch_id).select(RECORD_DATE).distinct().filter(F.col(RECORD_DATE).isNotNull())
+    days = rows.select(RECORD_DATE).distinct() if not checked.append(rows, batch_id) else checked.newest_parts()
+    days = days.filter(F.col(RECORD_DATE).isNotNull())
+    stored = checked.read()
     touched = _of_days(stored, days)
     survivors = first_by_arrival(touched, [RECORD_DATE, _KEY])
     silver = survivors.filter("accepted").select("ord", *SILVER_COLUMNS, RECORD_DATE)
@@ -82,6 +83,8 @@ def apply_batch(batch: DataFrame, batch_id: int, cities: DataFrame, base: str, n
     keys = touched.select("city", F.col(RECORD_DATE).alias("data_date")).distinct()
     gone = keys.join(fresh.select("city", "data_date"), ["city", "data_date"], "left_anti")
     tables.upsert_features(fresh, f"{base}/tables/daily_features", run.run_id, gone)
+    checked.compact(VERSIONS_OF_A_DAY)
+    checked.vacuum(COMMITS_KEPT)
 
 
 def ingest(

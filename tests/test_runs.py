@@ -11,7 +11,8 @@ from hazeline.operators.standardize import Run
 from hazeline.operators.upsert import merge_latest
 from hazeline.plans.run import run_backfill, run_live
 from hazeline.sinks.snapshots import read_snapshot, write_csv
-from hazeline.sinks.tables import merge_partitions
+from hazeline.sinks.tables import read_features
+from hazeline.sinks.versions import VersionedTable, read_versioned
 from hazeline.sources.cities import cities
 from hazeline.sources.landed import of_run, of_window, read_landed, write_landed
 from hazeline.sources.spine import check_window
@@ -89,11 +90,12 @@ def test_live_reports(live):
 
 def test_publishing_twice_changes_nothing(spark, live):
     base, landing, _ = live
-    tables = [f"{base}/tables/raw_records", f"{base}/tables/daily_features", f"{base}/latest/raw"]
-    before = [sorted(map(str, spark.read.parquet(t).collect())) for t in tables]
+    plain, versioned = [f"{base}/tables/raw_records", f"{base}/latest/raw"], f"{base}/tables/daily_features"
+    stored = lambda: [sorted(map(str, df.collect())) for df in (*map(spark.read.parquet, plain), read_features(spark, versioned))]
+    before = stored()
     run_live(spark, landing, cities(spark, CITIES), base, RUN)
-    assert [sorted(map(str, spark.read.parquet(t).collect())) for t in tables] == before
-    assert len(before[0]) == 9 and len(before[1]) == 2
+    assert stored() == before
+    assert len(before[0]) == 9 and len(before[2]) == 2
 
 
 def test_later_run_wins_and_drift_is_compared(spark, live):
@@ -101,14 +103,14 @@ def test_later_run_wins_and_drift_is_compared(spark, live):
     later = Run("20240102_090000_test", datetime(2024, 1, 2, 9, tzinfo=timezone.utc))
     warm = land(f"{base}/landing2", [call(0, "openweather", "Alder", ow_live(temp=30.0))])
     run_live(spark, warm, cities(spark, CITIES), base, later, drift_against=RUN.run_id)
-    rows = {r.city: r for r in spark.read.parquet(f"{base}/tables/daily_features").collect()}
+    rows = {r.city: r for r in read_features(spark, f"{base}/tables/daily_features").collect()}
     assert rows["Alder"].temperature == 30.0 and rows["Alder"].run_id == later.run_id and rows["Birch"].temperature == 12.0
     got = report(base, "drift", f"run_id={later.run_id}")
     assert got["drift_detected"] and got["comparison"] == RUN.run_id and got["features"]["temperature"]["previous_mean"] == 16.0
     # An older run does not replace newer rows.
     older = Run("20240102_070000_test", datetime(2024, 1, 2, 7, tzinfo=timezone.utc))
     run_live(spark, warm, cities(spark, CITIES), base, older)
-    assert {r.city: r.run_id for r in spark.read.parquet(f"{base}/tables/daily_features").collect()}["Alder"] == later.run_id
+    assert {r.city: r.run_id for r in read_features(spark, f"{base}/tables/daily_features").collect()}["Alder"] == later.run_id
 
 
 def test_backfill(spark, tmp_path):
@@ -161,9 +163,9 @@ def test_more_than_a_thousand_failures(spark, tmp_path):
 def test_merge_keeps_a_partition_without_a_value(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "k string, d string, v int"
     last = lambda old, new: merge_latest(old, new, ["k", "d"], "v")
-    merge_partitions(path, spark.createDataFrame([("a", None, 1), ("b", "d1", 1)], schema), "d", last)
-    merge_partitions(path, spark.createDataFrame([("z", None, 1), ("a", None, 2)], schema), "d", last)
-    assert sorted(map(tuple, spark.read.parquet(path).select("k", "d", "v").collect()), key=str) == [("a", None, 2), ("b", "d1", 1), ("z", None, 1)]
+    VersionedTable(spark, path, "d").merge(spark.createDataFrame([("a", None, 1), ("b", "d1", 1)], schema), last)
+    VersionedTable(spark, path, "d").merge(spark.createDataFrame([("z", None, 1), ("a", None, 2)], schema), last)
+    assert sorted(map(tuple, read_versioned(spark, path, "d").select("k", "d", "v").collect()), key=str) == [("a", None, 2), ("b", "d1", 1), ("z", None, 1)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -187,7 +189,7 @@ def test_stream_equals_batch(spark, tmp_path):
     lineage = [sorted(map(tuple, df.select("city", "data_date", "ord", "source").collect())) for df in (
         spark.read.parquet(f"{base}/stream/lineage"), read_snapshot(spark, batch.base, "lineage", RUN.run_id))]
     assert lineage[0] == lineage[1] and len(lineage[0]) == sum(r.lineage_records for r in got)
-    features = spark.read.parquet(f"{base}/tables/daily_features")
+    features = read_features(spark, f"{base}/tables/daily_features")
     assert sorted((r.city, str(r.data_date), r.temperature) for r in features.collect()) == sorted(
         (r.city, str(r.data_date), r.temperature) for r in got)
     raw = spark.read.parquet(f"{base}/tables/raw_records")
