@@ -31,7 +31,7 @@ def first_rows(stream: DataFrame, keys: Sequence[str], ord: str, event_time: str
             self.lowest = handle.getValueState("lowest", "ord bigint")
             self.until = handle.getValueState("until", "ms bigint")
 
-        def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
             best, newest = None, 0
             for row in rows:
                 newest = max(newest, int(row[at].timestamp() * 1000) + 1)
@@ -47,7 +47,7 @@ def first_rows(stream: DataFrame, keys: Sequence[str], ord: str, event_time: str
                 self.lowest.update((best[ord],))
                 yield Row(**{c: best[c] for c in columns})
 
-        def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             self.lowest.clear()
             self.until.clear()
             yield from ()
