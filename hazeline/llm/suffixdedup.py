@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from hazeline.llm.arrays import mix, slices, utf8
 from hazeline.llm.suffixarray import permuted_prefixes, suffix_array
-from hazeline.llm.tables import released
+from hazeline.llm.tables import discarded, released
 
 LENGTH, _GRAM = 50, 24
 _WINDOW = LENGTH - _GRAM + 1
@@ -264,17 +264,23 @@ def _window_runs(occurrences: DataFrame, shard_bytes: int) -> DataFrame:
     windows = windows.select("anchor", "seg", F.col("first").cast("bigint").alias("first"), "least", F.md5(F.expr(f"substring(body, first + 1, {LENGTH})")).alias("window"))
     least = windows.groupBy("window").agg(F.min("least").alias("window_least"))
     split = windows.join(least, "window").select("anchor", "seg", "first", (F.col("first") + 1).alias("end"), F.col("window_least").alias("least"))
-    return single.select(*_RUNS).unionByName(arrays).unionByName(split)
+    runs = released(single.select(*_RUNS).unionByName(arrays).unionByName(split), "runs")
+    discarded(texts, per_anchor, bodies)
+    return runs
 
 
-def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _spans(listed: pa.ListArray) -> tuple[list[int], list[int], list[int]]:
+    """Starts and ends of the maximal spans that each row's ranges cover, and the index of each row's first span (one more than rows)."""
+    offsets, flat = listed.offsets.to_numpy(), listed.values
+    rows = np.repeat(np.arange(len(listed)), np.diff(offsets)) << 40
+    at = slice(int(offsets[0]), int(offsets[-1]))
+    first, end = (flat.field(k).to_numpy()[at] + rows for k in range(2))
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order]) if len(end) else end
+    opens = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]])) if len(end) else np.zeros(0, np.int64)
+    closes = np.append(opens[1:] - 1, len(reach) - 1) if len(opens) else opens
+    starts, ends, low = first[opens], reach[closes], (1 << 40) - 1
+    return (starts & low).tolist(), (ends & low).tolist(), np.searchsorted(starts >> 40, np.arange(len(listed) + 1)).tolist()
 
 
 def removed_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -288,17 +294,21 @@ def removed_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     texts = keyed.join(listed, "k").select("o", "h", "text", "listed")
     # A repeated row repeats its segments, no more.
     occurrences = released(texts.mapInArrow(_bodies, _OCCURRENCE), "occurrences")
-    runs = released(_window_runs(occurrences, shard_bytes), "runs")
+    discarded(shared)
+    runs = _window_runs(occurrences, shard_bytes)
     hits = occurrences.select("anchor", "seg", "o", "h", "off").join(runs, ["anchor", "seg"]).filter("least < o")
-    return hits.select("o", "h", (F.col("off") + F.col("first")).alias("first"), (F.col("off") + F.col("end") + LENGTH - 1).alias("end"))
+    ranges = released(hits.select("o", "h", (F.col("off") + F.col("first")).alias("first"), (F.col("off") + F.col("end") + LENGTH - 1).alias("end")), "ranges")
+    discarded(occurrences, runs)
+    return ranges
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        starts, ends, cuts = _spans(batch.column(2))
+        for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             data = text.as_buffer().to_pybytes()
-            spans = _merged([(r["first"], r["end"]) for r in ranges or []])
+            spans = list(zip(starts[cuts[k] : cuts[k + 1]], ends[cuts[k] : cuts[k + 1]], strict=True))
             chain, at = hashlib.sha256(), 0
             for a, b in spans:
                 chain.update(data[at:a])
@@ -312,8 +322,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_ranges(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """(doc_id, text, ranges) of each row of docs."""
-    ranges = released(removed_ranges(docs, shard_bytes), "ranges")
-    listed = ranges.groupBy("o", "h").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
+    listed = removed_ranges(docs, shard_bytes).groupBy("o", "h").agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
     rows = _keyed(docs).withColumn("doc_id", F.when(F.col("o") < _LAST, F.col("o")))
     return rows.join(listed, ["o", "h"], "left").select("doc_id", "text", "ranges")
 
@@ -329,10 +338,10 @@ def kept_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes()
-                spans = _merged([(r["first"], r["end"]) for r in ranges or []])
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(data)], strict=True)))
+            starts, ends, cuts = _spans(batch.column(2))
+            for k, text in enumerate(batch.column(1)):
+                data, own = text.as_buffer().to_pybytes(), slice(cuts[k], cuts[k + 1])
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *ends[own]], [*starts[own], len(data)], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["doc_id", "kept"])
 
     return _with_ranges(docs, shard_bytes).mapInArrow(run, "doc_id bigint, kept binary")

@@ -35,6 +35,15 @@ def released(df: DataFrame, name: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def discarded(*frames: DataFrame) -> None:
+    """Removes tables that written or released made, once what was derived from them is written and nothing else reads them."""
+    for frame in frames:
+        files, spark = frame.inputFiles(), frame.sparkSession
+        if files:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
