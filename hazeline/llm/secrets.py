@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,14 +257,15 @@ def learn(docs: DataFrame) -> Model:
     model = Model(automata, background, math.log(SURE * max(1.0, times["candidates"] / max(1, times["labels"]))), {})
     if not automata:
         return model
-    sent = spark.sparkContext.broadcast(model)
+    sent = _sent(docs, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pickle.loads(sent.value)
         for batch in batches:
             levels: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 for _, end, kind, value in base_spans(text or ""):
-                    if kind in sent.value.automata and (nats := sent.value.ratio(kind, text[value:end])) is not None:
+                    if kind in known.automata and (nats := known.ratio(kind, text[value:end])) is not None:
                         levels[kind, math.floor(100 * nats / (end - value))] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in levels], pa.string()), pa.array([v for _, v in levels], pa.int64()), pa.array(list(levels.values()), pa.int64())], ["kind", "level", "n"])
 
@@ -278,6 +281,11 @@ def learn(docs: DataFrame) -> Model:
     return model
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model as bytes that bring their classes along: executors need no copy of this package."""
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
 def all_spans(text: str, model: Model) -> list[Span]:
     spans = base_spans(text)
     added = []
@@ -295,13 +303,14 @@ def joined(spans: list[Span]) -> str:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format) of each row of docs (doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    sent = _sent(docs, learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(sent.value)
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
-                spans = all_spans(text or "", model.value)
+                spans = all_spans(text or "", model)
                 kinds = Counter(s[2] for s in spans)
                 base = joined([s for s in spans if s[2] != "format"])
                 row = (kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(base.encode()).hexdigest(), joined(spans), kinds["format"])
@@ -329,14 +338,15 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every secret masked in the text; n_chars, where there is one, counts the new text. A null text stays null."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    sent = _sent(docs, learn(docs))
     names = docs.columns
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(sent.value)
         for batch in batches:
             old = batch.column(text).to_pylist()
-            new = [t and (masked(t, spans) if (spans := all_spans(t, model.value)) else t) for t in old]
+            new = [t and (masked(t, spans) if (spans := all_spans(t, model)) else t) for t in old]
             columns = list(batch.columns)
             columns[text] = pa.array(new, batch.column(text).type)
             if chars >= 0:

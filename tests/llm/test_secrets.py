@@ -85,3 +85,25 @@ def test_other_lengths_and_signs_than_the_labelled_ones(spark):
     for k, value in enumerate(hidden, 400):
         assert found[k] == f"format:9:{9 + len(value)}", value
     assert all(found[k] == plain(rows[k]) for k in range(400))
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Run from another folder: the driver finds the package by its own path, its Python workers don't."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.append({str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from hazeline.llm import secrets
+docs = spark.createDataFrame([(k, "token = " + "0123456789abcdef"[k % 16] * 40 + " and more words here") for k in range(20)], "doc_id bigint, text string")
+assert spark.range(1).rdd.map(lambda _: __import__("importlib.util").util.find_spec("hazeline") is None).first()
+assert {{r.n_assign for r in secrets.scanned(docs).collect()}} == {{1}}
+assert secrets.redacted(docs).filter("text LIKE '%[assign]%'").count() == 20
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
