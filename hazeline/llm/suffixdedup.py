@@ -6,7 +6,7 @@ bucket, one entry for an anchor that several documents of a slice have, so that
 names of texts to 40 there: what collides is looked at in vain and no more, for windows are compared by their bytes. Then equal segments
 are merged with the least id of each. An anchor with one text has nothing to compare; the different texts of all other anchors are dealt into shards of
 bounded size, each sorted by induced sorting, and neighbours that share 50 bytes, by their permuted common prefixes, form a group with one least id. An anchor
-whose texts alone exceed a shard is split by its windows, each grouped whole.
+whose texts alone exceed eight shards is split by its windows, each grouped whole.
 
 Null texts are empty; a null id counts as greater than all others. Rows with equal ids don't remove from one another, and repeated rows give equal results. Texts of any length are
 read whole. Other columns are not read.
@@ -34,6 +34,8 @@ _WINDOW = LENGTH - _GRAM + 1
 MOST_WINDOWS = 64
 #: Bytes of text whose anchors share a bucket, bytes handled at a time, and bytes of a shard.
 BUCKET_BYTES, SLICE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 1 << 17
+#: An anchor whose texts are longer than so many shards is split by its windows.
+ANCHOR_SHARDS = 8
 _LAST = (1 << 63) - 1
 #: Bytes of an anchor and of a text's name in what tasks send.
 _ANCHOR, _NAME = 6, 5
@@ -253,14 +255,14 @@ def _window_runs(occurrences: DataFrame, shard_bytes: int) -> DataFrame:
     per_anchor = texts.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("n") + LENGTH).alias("bytes"), F.min("least").alias("only"))
     per_anchor = released(per_anchor, "per_anchor")
     single = texts.join(per_anchor.filter("m = 1").select("anchor"), "anchor").select("anchor", "seg", F.lit(0).cast("bigint").alias("first"), F.col("n").alias("end"), "least")
-    several = per_anchor.filter("m > 1").select("anchor", "bytes")
-    bodies = occurrences.filter("body IS NOT NULL").select("anchor", "seg", "body").join(several, "anchor").dropDuplicates(["anchor", "seg"])
-    bodies = released(bodies.join(texts.select("anchor", "seg", "least"), ["anchor", "seg"]), "bodies")
+    several = texts.join(per_anchor.filter("m > 1").select("anchor", "bytes"), "anchor").select("anchor", "seg", "least", "bytes")
+    bodies = occurrences.filter("body IS NOT NULL").select("anchor", "seg", "body").join(several, ["anchor", "seg"])
+    bodies = released(bodies.dropDuplicates(["anchor", "seg"]), "bodies")
     total = bodies.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     shards = total // shard_bytes + 1
-    dealt = bodies.filter(F.col("bytes") <= shard_bytes).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    dealt = bodies.filter(F.col("bytes") <= ANCHOR_SHARDS * shard_bytes).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     arrays = dealt.select("shard", "anchor", "seg", "least", "body").groupBy("shard").applyInArrow(_sorted_shard, ", ".join(f"{c} bigint" for c in _RUNS))
-    windows = bodies.filter(F.col("bytes") > shard_bytes).withColumn("first", F.explode(F.sequence(F.lit(0), F.length("body") - LENGTH)))
+    windows = bodies.filter(F.col("bytes") > ANCHOR_SHARDS * shard_bytes).withColumn("first", F.explode(F.sequence(F.lit(0), F.length("body") - LENGTH)))
     windows = windows.select("anchor", "seg", F.col("first").cast("bigint").alias("first"), "least", F.md5(F.expr(f"substring(body, first + 1, {LENGTH})")).alias("window"))
     least = windows.groupBy("window").agg(F.min("least").alias("window_least"))
     split = windows.join(least, "window").select("anchor", "seg", "first", (F.col("first") + 1).alias("end"), F.col("window_least").alias("least"))

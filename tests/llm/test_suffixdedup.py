@@ -39,7 +39,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 17, 300])
+@pytest.mark.parametrize("shard_bytes", [1 << 17, 300, 20])
 def test_brute_force(spark, shard_bytes):
     """Also with shards so small that anchors are split by their windows."""
     rows = corpus()
