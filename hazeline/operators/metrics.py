@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.contracts import MEASURES
-from hazeline.operators.bronze import SUCCESS
+from hazeline.contracts import MEASURES, SOURCES
+from hazeline.operators.bronze import SUCCESS, UNKNOWN
 
 
 def api_summary(calls: DataFrame) -> DataFrame:
@@ -73,3 +73,48 @@ def run_counters(
         F.col("valid_rows").alias("silver_rows"),
         "gold_rows",
     )
+
+
+def known_source(source: Column) -> Column:
+    """A provider's name, or ``unknown`` for any other text, so that summaries stay as short as the provider list."""
+    return F.when(source.isin(*(name for name, _ in SOURCES)), source).otherwise(UNKNOWN)
+
+
+def call_counters(has_record: Column) -> dict[str, Column]:
+    """Aggregates over bronze rows: calls of the run, and by provider ``calls:``, ``success:`` and ``failed:``."""
+    status, source = F.col("status"), known_source(F.col("source"))
+    counters = {
+        "total_api_calls": F.count(F.lit(1)), "successful_calls": F.count_if(status == SUCCESS),
+        "failed_calls": F.count_if(status != SUCCESS), "source_rows": F.count_if(has_record),
+    }
+    for name in [*(n for n, _ in SOURCES), UNKNOWN]:
+        counters |= {
+            f"calls:{name}": F.count_if(source == name), f"success:{name}": F.count_if((source == name) & (status == SUCCESS)),
+            f"failed:{name}": F.count_if((source == name) & (status != SUCCESS)),
+        }
+    return counters
+
+
+def record_counters(valid: Column) -> dict[str, Column]:
+    """Aggregates over checked rows."""
+    return {"dedup_rows": F.count(F.lit(1)), "valid_rows": F.count_if(valid)}
+
+
+def gold_counters(fields: Sequence[str] = MEASURES) -> dict[str, Column]:
+    """Aggregates over gold rows: fused days, and nulls of each monitored field as ``missing:``."""
+    return {"gold_rows": F.count(F.lit(1))} | {f"missing:{f}": F.count_if(F.col(f"`{f}`").isNull()) for f in fields}
+
+
+def counters_of(seen: Mapping[str, int]) -> dict[str, int]:
+    """The run's counters from those observed in bronze, checked and gold rows."""
+    return {
+        "total_api_calls": seen["total_api_calls"],
+        "successful_calls": seen["successful_calls"],
+        "failed_calls": seen["failed_calls"],
+        "rows_processed": seen["valid_rows"],
+        "rows_skipped": max(0, seen["source_rows"] - seen["valid_rows"]),
+        "invalid_records": seen["dedup_rows"] - seen["valid_rows"],
+        "duplicates_removed": seen["source_rows"] - seen["dedup_rows"],
+        "silver_rows": seen["valid_rows"],
+        "gold_rows": seen["gold_rows"],
+    }

@@ -331,3 +331,7 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["metrics_report"] = f"""SELECT '{RUN_ID}' AS run_id, total_api_calls, successful_calls, failed_calls, rows_processed, rows_skipped, invalid_records, duplicates_removed,
   cast(0 AS double) AS execution_time_seconds FROM ({ORACLES['run_summary']})"""
+ORACLES["publish_run"] = f"""WITH c AS ({ORACLES['run_summary']}), layers(layer, n) AS (
+  SELECT unnest(['bronze', 'checked', 'silver', 'quarantine', 'gold', 'lineage', 'raw_records', 'daily_features']),
+    unnest([total_api_calls, rows_processed + invalid_records, rows_processed, invalid_records, gold_rows, rows_processed, total_api_calls, gold_rows]) FROM c)
+  SELECT layer, cast(n AS bigint) AS "rows", cast(n AS bigint) AS stored_rows, true AS complete, 0 AS written_again FROM layers"""

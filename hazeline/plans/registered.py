@@ -15,11 +15,12 @@ from hazeline.operators import drift as D
 from hazeline.operators import features, fuse, metrics, standardize, survivors, upsert, validate
 from hazeline.operators.clean import clean
 from hazeline.operators.statistics import column_statistics
-from hazeline.plans.run import checked_records
+from hazeline.plans.run import checked_records, publish_layers, read_back
 from hazeline.plans.stand_ins import RUN, calls, city_dim, dated, landed, measured, obs, table
 from hazeline.session import shared_folder
 from hazeline.operators.standardize import Run
 from hazeline.sinks import reports, snapshots, tables
+from hazeline.sinks.publish import Manifest
 from hazeline.sinks.versions import VersionedTable, read_versioned
 from hazeline.streaming.firsts import ingest_firsts, read_firsts
 from hazeline.sources import cities, spine
@@ -683,3 +684,15 @@ def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_scratch(spark, 'metrics_report')}/metrics"
     reports.write_report(row, folder)
     return spark.read.schema(row.schema).json(folder).select(*reports.METRICS_KEYS)
+
+
+@registered
+def publish_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run published in nine steps, resumed once (which writes nothing again), and every layer read back."""
+    base = _scratch(spark, "publish_run")
+    source = measured(spark, sf_dir).filter(F.col("status") != B.FAILED).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd"))
+    raw, checked = B.bronze(_calls(spark, sf_dir), RUN), checked_records(source, RUN)
+    publish_layers(Manifest(spark, base, RUN.run_id), raw, checked, base, RUN)
+    again = Manifest(spark, base, RUN.run_id, resume=True)
+    publish_layers(again, raw, checked, base, RUN)
+    return read_back(spark, again, base, RUN).withColumn("written_again", F.lit(len(again.written)))

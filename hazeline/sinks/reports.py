@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.contracts import SOURCES
-from hazeline.operators.bronze import SUCCESS, UNKNOWN
+from hazeline.operators.bronze import SUCCESS
 from hazeline.operators.drift import drift_detected
-from hazeline.operators.metrics import api_summary, missing_values
+from hazeline.operators.metrics import api_summary, counters_of, known_source, missing_values
 
 # The keys of the reports.
 METRICS_KEYS = [
@@ -28,11 +29,6 @@ def _as_map(df: DataFrame, key: str, value) -> DataFrame:
     return df.agg(F.map_from_entries(F.array_sort(entry)).alias("m"))
 
 
-def known_source(source: Column) -> Column:
-    """A provider's name, or ``unknown`` for any other text, so that summaries stay as short as the provider list."""
-    return F.when(source.isin(*(name for name, _ in SOURCES)), source).otherwise(UNKNOWN)
-
-
 def summary(
     counters: DataFrame, calls: DataFrame, gold: DataFrame, run_id: str, cities_processed: int, seconds: float, failures: str = ""
 ) -> DataFrame:
@@ -56,6 +52,22 @@ def summary(
     )
 
 
+def observed_summary(
+    spark: SparkSession, seen: Mapping[str, int], run_id: str, cities_processed: int, seconds: float, failures: str = ""
+) -> DataFrame:
+    """The same row as ``summary`` from counters observed while the layers were written; reads no layer."""
+    counters = counters_of(seen)
+    sources = {k.partition(":")[2]: None for k, n in seen.items() if k.startswith("calls:") and n}
+    per_source = {name: (seen[f"success:{name}"], seen[f"failed:{name}"]) for name in sorted(sources)}
+    missing = {k.partition(":")[2]: n for k, n in sorted(seen.items()) if k.startswith("missing:") and n}
+    schema = (
+        ", ".join(f"{c} bigint" for c in counters) + ", run_id string, cities_processed int, execution_time_seconds double, "
+        "failed_requests struct<count:bigint,path:string>, api_summary map<string,struct<success:bigint,failed:bigint>>, missing_values map<string,bigint>"
+    )
+    row = (*counters.values(), run_id, cities_processed, seconds, (seen["failed_calls"], failures), per_source, missing)
+    return spark.createDataFrame([row], schema)
+
+
 def pipeline_report(run_summary: DataFrame, drift_row: DataFrame | None = None) -> DataFrame:
     report = run_summary.select(*PIPELINE_KEYS)
     if drift_row is None:
