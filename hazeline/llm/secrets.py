@@ -2,15 +2,19 @@
 
 The values that the patterns find are the labelled credentials. For each kind a bounded sample of distinct values (the first SAMPLE by MD5,
 of at most SAMPLE_CHARS characters) makes a prefix tree over character classes; states whose outgoing and final frequencies agree within
-the Hoeffding bound, all the way down, are merged from the root on. Each state of the merged automaton keeps the characters it was left by.
+the Hoeffding bound, all the way down, are merged from the root on. Characters of a class have the frequencies of the state they leave, drawn towards
+those of the class in the whole automaton (DRAWN), so that values are scored by their format and not by the characters that few labelled values had.
+Where a state knows no such step, or may not end there, an unseen event of that state is charged for (one in its arrivals and one): other lengths are less
+likely, not impossible. Classes that no labelled value of the kind has are impossible.
 
 Candidates are the runs of the characters and the least length that labelled values have, and where a run is none, its parts between dots and equals signs.
 Each is scored, of whatever length: its likelihood as one of the formats against its likelihood as running text, whose character frequencies are counted over
 all documents. It passes when that ratio makes a credential likely (SURE, against as many candidates as there are for each labelled value) and is, by
-character, no lower than LEAST of the labelled values of all documents have it. Spans that pass are added as kind "format"; spans of the patterns always stay.
+character, no lower than all but LEAST of the labelled values have it when they are scored by an automaton that was learned without them (FOLDS).
+Spans that pass are added as kind "format"; spans of the patterns always stay.
 
-A null text is an empty one and has no spans; texts are scanned whole; repeated rows are scanned alike; without labelled credentials nothing is
-added; an empty table gives no rows. Other columns are passed by.
+A null text is an empty one and has no spans; texts are scanned whole; repeated rows are scanned alike; without two different labelled credentials of a
+kind nothing is added by it; an empty table gives no rows. Other columns are passed by.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import hashlib
 import math
 import pickle
 import re
+import statistics
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +39,12 @@ SAMPLE, SAMPLE_CHARS = 1000, 128
 ALPHA = 0.01
 #: Odds for a credential that a candidate must reach.
 SURE = 99.0
-#: Share of the labelled values that may score below the limit, and nats (times the root of its length) by which a candidate may lie below it, as it wasn't learned from.
-LEAST, SLACK = 0.01, 2.0
+#: Share of the labelled values that may score below the limit, and nats (times the root of its length) by which a candidate may lie below it, as few values set it.
+LEAST, SLACK = 0.01, 1.0
+#: Parts of the labelled values, each scored by what the others teach; weight of a class's own frequencies in a state, in characters.
+FOLDS, DRAWN = 5, 8.0
+#: Deviations that LEAST of a normal tail lies below, for about ten values.
+TAIL = 2.8
 #: Decisions that a task keeps, as words recur.
 KEPT = 1 << 16
 
@@ -46,6 +55,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _PART = re.compile(r"[A-Za-z0-9+/_-]{8,}=*")
 _LETTERS_OF_HEX = frozenset("0123456789abcdef")
+#: Characters of each class; signs are classes of their own.
+_OF_CLASS = {"h": "0123456789abcdef", "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz"}
 
 _NAMES = ("passw", "secret", "token", "api")
 
@@ -115,13 +126,19 @@ class Automaton:
                 self.arrive[at] += times
             self.final[at] += times
         self._merge()
-        self.chars: dict[int, Counter] = {}
+        seen: dict[tuple[int, str], Counter] = {}
+        pool: dict[str, Counter] = {}
         for value, times in values.items():
             at = 0
             for symbol, char in zip(classes(value), value, strict=True):
-                self.chars.setdefault(at, Counter())[char] += times
+                seen.setdefault((at, symbol), Counter())[char] += times
+                pool.setdefault(symbol, Counter())[char] += times
                 at = self.next[at][symbol]
-        self.totals = {state: sum(seen.values()) for state, seen in self.chars.items()}
+        self.pool = {symbol: {c: (found[c] + 1) / (sum(found.values()) + len(_OF_CLASS.get(symbol, symbol))) for c in _OF_CLASS.get(symbol, symbol)} for symbol, found in pool.items()}
+        self.chars: dict[tuple[int, str], dict[str, float]] = {}
+        for (at, symbol), found in seen.items():
+            total = sum(found.values()) + DRAWN
+            self.chars[at, symbol] = {c: (found[c] + DRAWN * p) / total for c, p in self.pool[symbol].items()}
         lows: dict[int, float] = {}
         for value in values:
             score = self.log_likelihood(value)
@@ -156,11 +173,12 @@ class Automaton:
                     todo.append((self.next[a][symbol], self.next[b][symbol]))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the tree below b to a."""
-        todo = [(a, b)]
+    def _fold(self, a: int, b: int) -> list[int]:
+        """Adds the tree below b to a; the states that got more."""
+        todo, changed = [(a, b)], []
         while todo:
             a, b = todo.pop()
+            changed.append(a)
             self.arrive[a] += self.arrive[b]
             self.final[a] += self.final[b]
             for symbol, child in self.next[b].items():
@@ -169,36 +187,66 @@ class Automaton:
                     todo.append((self.next[a][symbol], child))
                 else:
                     self.next[a][symbol] = child
+        return changed
 
     def _merge(self) -> None:
-        red = [0]
-        while True:
-            blue = next(((a, s) for a in red for s in sorted(self.next[a]) if self.next[a][s] not in red), None)
-            if blue is None:
-                return
-            parent, symbol = blue
+        # Kept states by age; those before ``at`` have no step to a state that isn't kept.
+        red, place, at = [0], {0: 0}, 0
+        while at < len(red):
+            parent = red[at]
+            symbol = next((s for s in sorted(self.next[parent]) if self.next[parent][s] not in place), None)
+            if symbol is None:
+                at += 1
+                continue
             state = self.next[parent][symbol]
             for kept in red:
                 if self._compatible(kept, state):
                     self.next[parent][symbol] = kept
-                    self._fold(kept, state)
+                    at = min([at, *(place[s] for s in self._fold(kept, state) if s in place)])
                     break
             else:
+                place[state] = len(red)
                 red.append(state)
 
-    def log_likelihood(self, value: str, symbols: str | None = None) -> float | None:
-        """None where the automaton has no such path. symbols: the value's classes, if known."""
+    def log_likelihood(self, value: str, symbols: str | None = None, unseen: bool = False) -> float | None:
+        """None where the automaton has no such path; with ``unseen``, only where it has no such class at all. symbols: the value's classes, if known."""
         at, score = 0, 0.0
         for symbol, char in zip(symbols or classes(value), value, strict=True):
             to = self.next[at].get(symbol)
-            if to is None:
+            if to is not None:
+                score += math.log(self.count[at][symbol] / self.arrive[at]) + math.log(self.chars[at, symbol][char])
+                at = to
+            elif unseen and symbol in self.pool:
+                score += math.log(self.pool[symbol][char]) - math.log(self.arrive[at] + 1)
+            else:
                 return None
-            seen = self.chars[at]
-            total = self.totals[at]
-            score += math.log(self.count[at][symbol] / self.arrive[at]) if len(self.next[at]) > 1 else math.log((self.arrive[at] - self.final[at]) / self.arrive[at] or 1.0)
-            score += math.log((seen[char] + 0.02) / (total + 0.02 * 66))
-            at = to
-        return score + math.log(self.final[at] / self.arrive[at]) if self.final[at] else None
+        if self.final[at]:
+            return score + math.log(self.final[at] / self.arrive[at])
+        return score - math.log(self.arrive[at] + 1) if unseen else None
+
+
+def nats_above(machine: Automaton, background: dict[str, float], value: str, symbols: str | None = None) -> float | None:
+    score = machine.log_likelihood(value, symbols, unseen=True)
+    return None if score is None else score - sum(background[c] for c in value)
+
+
+def held_out_limit(values: list[str], background: dict[str, float]) -> float | None:
+    """Least nats a character, but for LEAST of the values, each scored by an automaton of the other folds. None below two values.
+
+    Few values show no tail: the limit is never above the mean less TAIL deviations.
+    """
+    order = sorted(values, key=lambda v: (hashlib.md5(v.encode()).digest(), v))
+    folds = min(FOLDS, len(order))
+    if folds < 2:
+        return None
+    found = []
+    for fold in range(folds):
+        machine = Automaton({v: 1 for k, v in enumerate(order) if k % folds != fold})
+        nats = ((v, nats_above(machine, background, v)) for v in order[fold::folds])
+        found += [n / len(v) for v, n in nats if n is not None]
+    if len(found) < 2:
+        return None
+    return min(sorted(found)[int(LEAST * len(found))], statistics.mean(found) - TAIL * statistics.stdev(found))
 
 
 class Model:
@@ -210,8 +258,7 @@ class Model:
 
     def ratio(self, kind: str, value: str, symbols: str | None = None) -> float | None:
         """Nats by which the kind's automaton explains the value better than running text does."""
-        score = self.automata[kind].log_likelihood(value, symbols)
-        return None if score is None else score - sum(self.background[c] for c in value)
+        return nats_above(self.automata[kind], self.background, value, symbols)
 
     def accepts(self, value: str) -> bool:
         if value not in self.known:
@@ -255,29 +302,10 @@ def learn(docs: DataFrame) -> Model:
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
     background = {c: math.log((chars[c] + 1) / (total + len(alphabet))) for c in alphabet}
     model = Model(automata, background, math.log(SURE * max(1.0, times["candidates"] / max(1, times["labels"]))), {})
-    if not automata:
-        return model
-    sent = _sent(docs, model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pickle.loads(sent.value)
-        for batch in batches:
-            levels: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                for _, end, kind, value in base_spans(text or ""):
-                    if kind in known.automata and (nats := known.ratio(kind, text[value:end])) is not None:
-                        levels[kind, math.floor(100 * nats / (end - value))] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in levels], pa.string()), pa.array([v for _, v in levels], pa.int64()), pa.array(list(levels.values()), pa.int64())], ["kind", "level", "n"])
-
-    # One row for each kind and hundredth of a nat.
-    scored = docs.select("text").mapInArrow(score, "kind string, level bigint, n bigint").groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()
     for kind in automata:
-        below, every = 0, sum(r.n for r in scored if r.kind == kind)
-        for level, n in sorted((r.level, r.n) for r in scored if r.kind == kind):
-            below += n
-            if below > LEAST * every:
-                model.limits[kind] = level / 100
-                break
+        limit = held_out_limit([r.value for r in rows if r.kind == kind], background)
+        if limit is not None:
+            model.limits[kind] = limit
     return model
 
 

@@ -87,6 +87,46 @@ def test_other_lengths_and_signs_than_the_labelled_ones(spark):
     assert all(found[k] == plain(rows[k]) for k in range(400))
 
 
+def model_of(values, words):
+    chars = S.Counter("".join(words))
+    total = sum(chars.values())
+    background = {c: S.math.log((chars[c] + 1) / (total + 67)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."}
+    machines = {kind: S.Automaton(dict.fromkeys(some, 1)) for kind, some in values.items()}
+    limits = {kind: S.held_out_limit(some, background) for kind, some in values.items()}
+    return S.Model(machines, background, S.math.log(S.SURE * 1000), {k: v for k, v in limits.items() if v is not None})
+
+
+@pytest.mark.parametrize("learned", [11, 60, 400])
+def test_unseen_values_of_a_format_pass_and_words_do_not(learned):
+    """A few labelled values teach their format, not their characters; other lengths of the format pass too, words and addresses don't."""
+    syllables = ["ta", "re", "mon", "ing", "sel", "con", "ver", "pre", "al", "ous", "ti", "ness", "ab", "ed"]
+    words = ["".join(syllables[int(c, 16) % 14] for c in hexes(f"w{k}", 5)) for k in range(3000)]
+    words += [f"www.{w}.com/{v}" for w, v in zip(words[:1500], words[1500:], strict=False)] + [f"{w}-{v}" for w, v in zip(words[:500], words[700:], strict=False)]
+    words += [f"{1990 + k % 40}-{k % 12 + 1:02}-{k % 28 + 1:02}" for k in range(200)]
+    model = model_of({"hex": [hexes(k, 40) for k in range(learned)], "access": [keys(k) for k in range(learned)]}, words)
+    for make in (lambda k: hexes(k, 40), keys, lambda k: hexes(k, 28)):
+        assert sum(model.accepts(make(f"new{k}")) for k in range(200)) >= 180
+    assert sum(map(model.accepts, words)) < len(words) / 1000
+
+
+def test_one_value_teaches_nothing():
+    assert S.held_out_limit([], {}) is None and S.held_out_limit(["abcdef0123456789"], {}) is None
+
+
+def test_planted_credential_of_another_length_is_found(spark):
+    """In the given documents: 28 hex digits without a name, too short for the patterns."""
+    from pathlib import Path
+
+    table = "/root/testdata/sf0.01/documents.parquet"
+    if not Path(table).exists():
+        pytest.skip("driver tables are not here")
+    docs = spark.read.parquet(table).select("doc_id", "text")
+    planted = [hexes(f"planted{k}", 28) for k in range(10)]
+    more = spark.createDataFrame([(-1 - k, f"It was written down as {v} on the last page.") for k, v in enumerate(planted)], "doc_id bigint, text string")
+    found = S.scanned(docs.unionByName(more)).filter("n_format > 0").collect()
+    assert sum(r.doc_id < 0 and r.spans == "format:23:51" for r in found) >= 9 and sum(r.doc_id >= 0 for r in found) <= 1
+
+
 def test_executors_need_no_copy_of_the_package(tmp_path):
     """Run from another folder: the driver finds the package by its own path, its Python workers don't."""
     import subprocess
