@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.contracts import DRIFT_THRESHOLDS
-from hazeline.operators.statistics import STATISTICS, column_statistics, number
+from hazeline.operators.statistics import STATISTICS, column_statistics, number, statistics_of
 
 # Thresholds of the older report form.
 ALL_STATISTICS_THRESHOLDS = {"temperature": 5.0} | dict.fromkeys(
@@ -36,7 +36,10 @@ def _paired(current: DataFrame, previous: DataFrame | None, thresholds: Mapping[
     shared = [f for f in thresholds if f in current.columns and f in previous.columns]
     if not shared:
         return None
-    both = column_statistics(_tagged(current, previous, shared), shared, _SIDE)
+    return _by_feature(column_statistics(_tagged(current, previous, shared), shared, _SIDE), thresholds)
+
+
+def _by_feature(both: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
     # Two rows per monitored feature; a side without rows has none.
     sides = [F.max(F.when(F.col(_SIDE) == side, F.struct(*STATISTICS))).alias(side) for side in ("current", "previous")]
     paired = both.groupBy("feature").agg(*sides).filter("current IS NOT NULL AND previous IS NOT NULL")
@@ -98,6 +101,21 @@ def drift(
     pairs = _paired(current, previous, thresholds or DRIFT_THRESHOLDS)
     if pairs is None:
         return current.sparkSession.createDataFrame([], _DRIFT_SCHEMA)
+    return _changes(pairs)
+
+
+def drift_of_counts(current: DataFrame, previous: DataFrame | None = None, thresholds: Mapping[str, float] | None = None) -> DataFrame:
+    """``drift`` from the stored value counts of two datasets; no row of either is read."""
+    limits = thresholds or DRIFT_THRESHOLDS
+    if previous is None:
+        return current.sparkSession.createDataFrame([], _DRIFT_SCHEMA)
+    sides = [
+        statistics_of(counts.filter(F.col("feature").isin(*limits))).withColumn(_SIDE, F.lit(side)) for counts, side in ((current, "current"), (previous, "previous"))
+    ]
+    return _changes(_by_feature(sides[0].unionByName(sides[1]), limits))
+
+
+def _changes(pairs: DataFrame) -> DataFrame:
     difference = F.col("current_mean") - F.col("previous_mean")
     return pairs.select(
         "feature",

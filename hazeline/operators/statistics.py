@@ -10,6 +10,7 @@ quantiles only place the zone edges; the counts are exact, so the result is too.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,3 +116,70 @@ def column_statistics(df: DataFrame, columns: Sequence[str], by: str | None = No
     # Both frames have one row per column.
     joined = basics.join(F.broadcast(medians), keys, "left")
     return joined.select(*keys, *[figures.get(s, F.col(s)).alias(s) for s in STATISTICS])
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, n): how often each number occurs; a null value counts the missing ones. Without rows there are no features.
+
+    Exact and mergeable: the statistics of several datasets together follow from their counts alone.
+    """
+    numbers = df.select(*[number(df, c).alias(c) for c in columns])
+    return numbers.unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_counts(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+
+
+def _narrowed(rows: DataFrame) -> DataFrame:
+    """(feature, _low, _high, _before, _n): the zones of the ranges (_low to _high, after _before values) that hold the middle ranks, two a feature at most."""
+    zones = rows.withColumn("_zone", _zone(F.col("value"), F.col("_low"), F.col("_high"))).groupBy("feature", "_low", "_zone").agg(
+        F.sum("n").alias("c"), F.min("value").alias("_first"), F.max("value").alias("_last"), F.max("_before").alias("_start"), F.max("_n").alias("_n")
+    )
+    # At most ZONES rows for each range.
+    running = Window.partitionBy("feature", "_low").orderBy("_zone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = zones.withColumn("_before", F.col("_start") + F.sum("c").over(running) - F.col("c"))
+    middle = placed.filter((F.col("_before") <= F.expr("_n div 2")) & (F.col("_before") + F.col("c") > F.expr("(_n - 1) div 2")))
+    return middle.select("feature", F.col("_first").alias("_low"), F.col("_last").alias("_high"), "_before", "_n")
+
+
+def statistics_of(counts: DataFrame) -> DataFrame:
+    """The nine statistics of each feature from stored value counts, as ``column_statistics`` gives them from the rows.
+
+    The median narrows twice to one of ZONES zones before anything is ordered. The counts are read several times: store them first.
+    """
+    value, n = F.col("value"), F.col("n")
+    present = F.when(value.isNotNull(), n)
+    basics = counts.groupBy("feature").agg(
+        F.sum("n").alias("record_count"), F.coalesce(F.sum(present), F.lit(0)).alias("_n"), (F.sum(value * n) / F.sum(present)).alias("mean"),
+        F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.count("value").alias("unique_values"),
+    )
+    known = counts.filter(value.isNotNull())
+    # One row for each feature, known by the columns; two for the zones of the middle.
+    around = known.join(F.broadcast(basics.select("feature", "mean", "minimum", "maximum", "_n")), "feature")
+    spread = around.groupBy("feature").agg(F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))).alias("_squares"))
+    middle = _narrowed(around.select("feature", "value", "n", F.col("minimum").alias("_low"), F.col("maximum").alias("_high"), F.lit(0).cast("bigint").alias("_before"), "_n"))
+
+    def within(ranges: DataFrame) -> DataFrame:
+        renamed = F.broadcast(ranges.withColumnRenamed("feature", "_of"))
+        return known.join(renamed, (F.col("feature") == F.col("_of")) & value.between(F.col("_low"), F.col("_high"))).drop("_of")
+
+    inner = Window.partitionBy("feature", "_low").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = within(_narrowed(within(middle))).withColumn("_upto", F.col("_before") + F.sum("n").over(inner)).withColumn("_from", F.col("_upto") - n)
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("_from") <= F.expr(rank)) & (F.expr(rank) < F.col("_upto")), value))
+
+    medians = ranked.groupBy("feature").agg(((at("(_n - 1) div 2") + at("_n div 2")) / 2).alias("median"))
+    joined = basics.join(F.broadcast(spread), "feature", "left").join(F.broadcast(medians), "feature", "left")
+    missing = F.col("record_count") - F.col("_n")
+    figures = {
+        "standard_deviation": F.when(F.col("_n") > 1, F.sqrt(F.col("_squares") / (F.col("_n") - 1))),
+        "missing_count": missing,
+        "missing_percentage": missing / F.col("record_count") * 100,
+    }
+    return joined.select("feature", *[figures.get(s, F.col(s)).alias(s) for s in STATISTICS])

@@ -335,3 +335,5 @@ ORACLES["publish_run"] = f"""WITH c AS ({ORACLES['run_summary']}), layers(layer,
   SELECT unnest(['bronze', 'checked', 'silver', 'quarantine', 'gold', 'lineage', 'raw_records', 'daily_features']),
     unnest([total_api_calls, rows_processed + invalid_records, rows_processed, invalid_records, gold_rows, rows_processed, total_api_calls, gold_rows]) FROM c)
   SELECT layer, cast(n AS bigint) AS "rows", cast(n AS bigint) AS stored_rows, true AS complete, 0 AS written_again FROM layers"""
+ORACLES["drift_merged"] = ORACLES["drift"]
+ORACLES["drift_report"] = f"""SELECT '{RUN_ID}' AS run_id, 'earlier' AS comparison, bool_or(coalesce(percentage >= threshold, false)) OVER () AS drift_detected, d.* FROM ({ORACLES['drift']}) d"""

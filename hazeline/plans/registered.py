@@ -14,7 +14,7 @@ from hazeline.operators import bronze as B
 from hazeline.operators import drift as D
 from hazeline.operators import features, fuse, metrics, standardize, survivors, upsert, validate
 from hazeline.operators.clean import clean
-from hazeline.operators.statistics import column_statistics
+from hazeline.operators.statistics import column_statistics, merged_counts, value_counts
 from hazeline.plans.run import checked_records, publish_layers, read_back
 from hazeline.plans.stand_ins import RUN, calls, city_dim, dated, landed, measured, obs, table
 from hazeline.session import shared_folder
@@ -688,7 +688,7 @@ def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def publish_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run published in nine steps, resumed once (which writes nothing again), and every layer read back."""
+    """A whole run published in ten steps, resumed once (which writes nothing again), and every layer read back."""
     base = _scratch(spark, "publish_run")
     source = measured(spark, sf_dir).filter(F.col("status") != B.FAILED).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd"))
     raw, checked = B.bronze(_calls(spark, sf_dir), RUN), checked_records(source, RUN)
@@ -696,3 +696,34 @@ def publish_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = Manifest(spark, base, RUN.run_id, resume=True)
     publish_layers(again, raw, checked, base, RUN)
     return read_back(spark, again, base, RUN).withColumn("written_again", F.lit(len(again.written)))
+
+
+_DRIFT_COLUMNS = ["temperature", "humidity", "aqi", "pressure"]
+_DRIFT_LIMITS = {"temperature": 5.0, "humidity": 10.0, "aqi": 10.0, "pressure": 10.0}
+
+
+def _stored_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Value counts of both halves as stored; the earlier half in two parts, merged."""
+    base = _scratch(spark, "counts")
+    current, previous = _halves(spark, sf_dir)
+    early = F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz")
+    for name, rows in (("now", current), ("early", previous.filter(early)), ("late", previous.filter(~early))):
+        snapshots.write_snapshot(value_counts(rows, _DRIFT_COLUMNS), base, "statistics", name)
+    now, first, second = (snapshots.read_snapshot(spark, base, "statistics", name).drop("run_id") for name in ("now", "early", "late"))
+    return now, merged_counts(first, second)
+
+
+@registered
+def drift_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift from stored value counts alone, the earlier side merged from two parts."""
+    return _rounded(D.drift_of_counts(*_stored_counts(spark, sf_dir), _DRIFT_LIMITS))
+
+
+@registered
+def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drift report as written and read back: one row for each of its features."""
+    row = reports.drift_report(D.drift_of_counts(*_stored_counts(spark, sf_dir), _DRIFT_LIMITS), RUN.run_id, "earlier")
+    folder = f"{_scratch(spark, 'drift_report')}/drift"
+    reports.write_report(row, folder)
+    back = spark.read.schema(row.schema).json(folder).select("run_id", "comparison", "drift_detected", F.explode("features").alias("feature", "f"))
+    return _rounded(back.select("run_id", "comparison", "drift_detected", "feature", "f.*"))

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from hazeline.contracts import MEASURES, SILVER_COLUMNS, SOURCES
 from hazeline.operators.bronze import FAILED, bronze, call_log, failed_requests
 from hazeline.operators.clean import clean
-from hazeline.operators.drift import drift
+from hazeline.operators.drift import drift, drift_of_counts
 from hazeline.operators.fuse import fuse, lineage_rows
 from hazeline.operators.metrics import call_counters, gold_counters, record_counters
 from hazeline.operators.standardize import Run, standardize
+from hazeline.operators.statistics import numeric_columns, value_counts
 from hazeline.operators.survivors import first_by_arrival
 from hazeline.operators.validate import ERRORS, RECORD_DATE, check, with_record_date
 from hazeline.session import prepare
@@ -78,7 +79,7 @@ def _accepted(checked: DataFrame) -> DataFrame:
 
 
 def publish_layers(manifest: Manifest, planned_raw: DataFrame, planned: DataFrame, base: str, run: Run) -> tuple[DataFrame, DataFrame]:
-    """Nine steps from planned bronze and checked rows to published tables; returns bronze and gold as stored."""
+    """Ten steps from planned bronze and checked rows to published tables; returns bronze and gold as stored."""
 
     def layer(name: str, rows: DataFrame, counters: Mapping[str, Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
         manifest.step(name, rows, lambda df: snapshots.write_snapshot(df, base, name, run.run_id, by), counters, by)
@@ -90,6 +91,7 @@ def publish_layers(manifest: Manifest, planned_raw: DataFrame, planned: DataFram
     silver = layer("silver", silver_of(checked))
     layer("quarantine", quarantine_of(checked).drop(ACCEPTED))
     gold = layer("gold", fuse(silver), gold_counters(MEASURES))
+    layer("statistics", value_counts(gold, numeric_columns(gold)))
     layer("lineage", lineage_rows(silver, LINEAGE_COLUMNS))
     manifest.step("latest", raw, lambda df: snapshots.write_latest(df, f"{base}/latest/raw"))
     manifest.action("raw_records", lambda: tables.upsert_raw(raw, f"{base}/tables/raw_records", run.run_id, run.at))
@@ -126,6 +128,17 @@ def read_back(spark: SparkSession, manifest: Manifest, base: str, run: Run) -> D
     return checks
 
 
+def _counts(spark: SparkSession, base: str, run_id: str | None) -> DataFrame | None:
+    """A run's stored value counts; those of its gold layer where an older run stored none."""
+    if run_id is None:
+        return None
+    stored = snapshots.read_snapshot(spark, base, "statistics", run_id)
+    if stored is not None:
+        return stored.drop("run_id")
+    gold = snapshots.read_snapshot(spark, base, "gold", run_id)
+    return None if gold is None else value_counts(gold, numeric_columns(gold))
+
+
 def _execute(
     spark: SparkSession, landed: DataFrame, cities: DataFrame, base: str, run: Run, cities_processed: int,
     drift_against: str | None, thresholds: Mapping[str, float] | None, compare: bool, resume: bool,
@@ -151,8 +164,9 @@ def _report(
     summary = spark.read.schema(planned.schema).parquet(f"{folder}/summary")
     drift_row = None
     if compare:
-        earlier = snapshots.read_snapshot(spark, base, "gold", drift_against) if drift_against else None
-        drift_row = reports.drift_report(drift(gold, earlier, thresholds), run.run_id, drift_against)
+        now, earlier = (_counts(spark, base, run_id) for run_id in (run.run_id, drift_against))
+        compared = drift(gold, None) if now is None else drift_of_counts(now, earlier, thresholds)
+        drift_row = reports.drift_report(compared, run.run_id, drift_against)
         reports.write_report(drift_row, f"{base}/reports/drift/run_id={run.run_id}")
     manifest.action("call_log", lambda: call_log(raw).write.mode("overwrite").text(f"{folder}/call_log"))
     reports.write_report(reports.metrics_report(summary), f"{folder}/metrics")

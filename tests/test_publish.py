@@ -13,7 +13,7 @@ from hazeline.sources.cities import cities
 from tests.landing import CITIES, RUN, land
 from tests.test_runs import LIVE, PAST, report
 
-STEPS = [*LAYERS, "latest", "raw_records", "daily_features"]
+STEPS = [*LAYERS[:5], "statistics", LAYERS[5], "latest", "raw_records", "daily_features"]
 
 
 class Cut(RuntimeError):
