@@ -1,11 +1,11 @@
 from collections import Counter
 
 import corpus_pipeline
-from hazeline.llm import perplexity
 from hazeline.llm import secrets as S
 from tests.llm.test_mixing import water
 from tests.llm.test_neardup import WORD, brute
 from tests.llm.test_packing import check
+from tests.llm.test_perplexity import expected
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,8 +21,8 @@ def test_every_stage_against_brute_force(spark):
     assert [c for *_, c in seen[:-1]] == [columns] * 4
 
     _, before, after, _ = seen[0]
-    verdicts = {r.doc_id: r.kept for r in perplexity.quality(spark.createDataFrame(before, docs.sparkSession.read.parquet(f"{SF}/documents.parquet").schema)).collect()}
-    assert {r.doc_id for r in after} == {r.doc_id for r in before if verdicts[r.doc_id]}
+    verdicts = expected(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if verdicts[r.doc_id][2]}
 
     _, before, after, _ = seen[1]
     assert sorted(r.doc_id for r in after) == sorted({c for _, _, c in brute([(r.doc_id, r.text) for r in before], 5)})
