@@ -67,7 +67,7 @@ def _name(part: Column, lang: Column) -> Column:
 
 
 def _hashes(keys: np.ndarray, seeds) -> np.ndarray:
-    return mix(mix(keys) ^ seeds)
+    return mix(keys ^ seeds)
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +291,8 @@ def _assess(data: np.ndarray, offsets: np.ndarray, langs: list[str], known_logs:
         take = np.arange(own.sum()) + (ORDER - 1) * np.repeat(np.arange(rows), own)
         seeds = np.repeat(np.array([known[x] for x in langs], np.uint64), own)
         keys, of_row = keys[take], np.repeat(np.arange(rows), own)
-        logs = known_logs(_hashes(keys, seeds))
+        named = pa.array((keys ^ seeds).view(np.int64)).dictionary_encode()  # each n-gram is looked up once
+        logs = known_logs(mix(named.dictionary.to_numpy().view(np.uint64)))[named.indices.to_numpy()]
         lost = np.isnan(logs)
         if lost.any():
             others.append((of_row[lost], keys[lost]))
