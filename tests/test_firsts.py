@@ -34,3 +34,24 @@ def test_stream_equals_batch_and_state_is_bounded(spark, tmp_path):
     # Four entries a key (two values and its timer); 61 keys of the first days are gone.
     assert states[1] is None or states[1] >= 61
     assert states[-1] is not None and states[-1] <= 4 * 10
+
+
+def test_firsts_are_aggregated_in_the_engine(spark, tmp_path):
+    """Many keys are one aggregation, combined before the exchange, and not a call per key; null keys, equal rows and rows that don't precede add nothing."""
+    table = VersionedTable(spark, str(tmp_path / "firsts"), "day")
+    batches = [
+        [row(k, 10, 0) for k in ("a", "b", None)] * 2 + [row("a", 11, 0, 5)],
+        [row("a", 10, 0), row("b", 12, 0), row(None, 3, 0), row("a", 20, 1)],
+        [row("a", 19, 1), row("b", 9, 1)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        query = ingest_firsts(stream, ["k"], "ord", "at", "3 days", str(tmp_path / "firsts"), "day", str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        assert [p["operatorName"] for p in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
+    # One row for each key and day, and one for each that came later and precedes it.
+    stored = sorted((r.k or "", r.ord, r.day) for r in table.read().collect())
+    assert stored == [("", 3, "d0"), ("", 10, "d0"), ("a", 10, "d0"), ("a", 19, "d1"), ("a", 20, "d1"), ("b", 9, "d1"), ("b", 10, "d0")]
+    got = sorted((r.k or "", r.ord) for r in read_firsts(table, ["k"], "ord").collect())
+    assert got == [("", 3), ("a", 10), ("b", 9)]
