@@ -23,12 +23,11 @@ def parsed(text: Column) -> Column:
 
 def first_of(value: Column) -> tuple[Column, Column]:
     """(first element, whether there can be none): an array's first element, a text's first character, null for what is missing or
-    falsy. Any other value has no first element."""
-    shape = kind(value)
-    first = F.when(shape == "ARRAY", F.try_variant_get(value, "$[0]", "variant")).when(
-        shape == "STRING", F.left(F.try_variant_get(value, "$", "string"), F.lit(1)).cast("variant")
-    )
-    return F.when(truthy(value), first), truthy(value) & ~shape.isin("ARRAY", "STRING")
+    falsy. Any other value has no first element. Only a value that is no array with elements is looked at closer."""
+    shape, element = kind(value), F.try_variant_get(value, "$[0]", "variant")
+    letter = F.when((shape == "STRING") & truthy(value), F.left(F.try_variant_get(value, "$", "string"), F.lit(1)).cast("variant"))
+    none = value.isNotNull() & element.isNull() & ~shape.isin("ARRAY", "STRING") & truthy(value)
+    return F.coalesce(element, F.when(value.isNotNull(), letter)), F.coalesce(none, F.lit(False))
 
 
 def at(payload: Column, path: str) -> Column:
@@ -55,11 +54,17 @@ def is_number(value_kind: Column) -> Column:
     return value_kind.isin(*NUMERIC_KINDS)
 
 
+def is_object(value: Column) -> Column:
+    """Whether a value is an object; null for a missing value."""
+    return F.when(value.isNotNull(), F.try_variant_get(value, "$", "struct<x: variant>").isNotNull())
+
+
 def truthy(value: Column) -> Column:
     """True for a value that is neither missing, null, zero, false, nor empty."""
     body = value.cast("string")
-    number = F.when(is_number(kind(value)), F.try_variant_get(value, "$", "double"))
-    return F.coalesce(~body.isin("", "{}", "[]", "false") & F.coalesce(number != 0, F.lit(True)), F.lit(False))
+    # A zero is written with a leading 0; text may be, too.
+    zero = F.when(body.rlike("^-?0") & is_number(kind(value)), F.try_variant_get(value, "$", "double") == 0)
+    return F.coalesce(~body.isin("", "{}", "[]", "false") & ~F.coalesce(zero, F.lit(False)), F.lit(False))
 
 
 def document_text(raw: Column) -> Column:
@@ -73,11 +78,14 @@ def is_document(json_text: Column) -> Column:
     return F.left(json_text, F.lit(1)).isin("{", "[")
 
 
+def is_value(value: Column) -> Column:
+    """True for what is neither missing nor a JSON null."""
+    return value.isNotNull() & ~F.is_variant_null(value)
+
+
 def not_a_number(value: Column) -> Column:
     """True for a present value that neither is nor spells a number (a JSON null is no value)."""
-    value_kind = kind(value)
-    spelled = F.when(value_kind == "STRING", F.try_variant_get(value, "$", "double").isNull())
-    return F.coalesce(spelled, ~is_number(value_kind) & (value_kind != "VOID"), F.lit(False))
+    return F.try_variant_get(value, "$", "double").isNull() & F.coalesce(is_value(value), F.lit(False))
 
 
 def not_numbers(payload: Column, path: str, typed: Column) -> Column:

@@ -37,10 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that parses or validates.
+ROWS_OF_A_TASK = 50_000
+
+
 def _spread(df: DataFrame) -> DataFrame:
-    """Parsing and validation are heavy per row, so an input of fewer splits than cores is dealt out; a larger one is left as it is."""
+    """Parsing and validation are heavy per row, so rows are dealt out evenly: files are read by row groups, which may be few and hold a million rows each.
+    Counting a Parquet table reads its footers only."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // ROWS_OF_A_TASK)))
 
 
 def obs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:

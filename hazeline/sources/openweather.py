@@ -31,7 +31,7 @@ _BLOCKS = ("main", "wind", "clouds", "rain")
 
 
 def _present_but_no_object(value: Column) -> Column:
-    return F.coalesce(J.kind(value) != "OBJECT", F.lit(False))
+    return F.coalesce(~J.is_object(value), F.lit(False))
 
 
 def _rain(item: Column, prefix: str = "$") -> Column:
@@ -52,9 +52,9 @@ def live(payload: Column, now: Column) -> tuple[dict[str, Column], Column]:
     }
     blocks = [J.at(payload, f"$.weather.{b}") for b in _BLOCKS] + [J.at(payload, f"{pollution}.components")]
     main = J.at(payload, f"{pollution}.main")
-    broken = J.any_of([*[_present_but_no_object(b) for b in blocks], J.truthy(main) & _present_but_no_object(main)])
+    broken = J.any_of([*[_present_but_no_object(b) for b in blocks], _present_but_no_object(main) & J.truthy(main)])
     listed = J.at(payload, "$.air_quality.list")
-    shapeless = J.truthy(listed) & ~J.kind(listed).isin("ARRAY", "STRING")
+    _, shapeless = J.first_of(listed)
     return values, F.when(shapeless, F.lit("pollution list is not a list")).when(
         broken, F.lit("a weather or pollution block is not an object")
     )
@@ -74,15 +74,19 @@ DOCUMENTS = {
 }
 
 
-def _strict_items(payload: Column, path: str, blocks: dict[str, list[str]]) -> Column:
-    """True when an item has a block that is no object, or a block has a value that is no number."""
+def _strict_items(payload: Column, path: str, items: Column, blocks: dict[str, list[str]]) -> Column:
+    """True when an item has a block that is no object, or a block has a value that is no number.
+
+    ``items`` is the same list read as numbers: where it has a null, a block or a value must be missing.
+    """
+    found = F.try_variant_get(payload, path, f"array<struct<{', '.join(f'{b}: variant' for b in blocks)}>>")
 
     def broken(item: Column) -> Column:
-        tests = [_present_but_no_object(J.at(item, f"$.{b}")) for b in blocks]
-        tests += [J.not_a_number(J.at(item, f"$.{b}.{f}")) for b, fields in blocks.items() for f in fields]
-        return J.any_of(tests)
+        number, whole = item["items"], item["found"]
+        tests = [number[b].isNull() & whole[b].isNotNull() for b in blocks]
+        return J.any_of(tests + [number[b][f].isNull() & J.is_value(J.at(whole[b], f"$.{f}")) for b, fields in blocks.items() for f in fields])
 
-    return F.exists(F.try_variant_get(payload, path, "array<variant>"), broken)
+    return F.exists(F.arrays_zip(items.alias("items"), found.alias("found")), broken)
 
 
 def _has_gap(items: Column, blocks: dict[str, list[str]]) -> Column:
@@ -130,9 +134,9 @@ def history(
         lambda r: _present_but_no_object(r) | J.not_a_number(J.at(r, '$["1h"]')) | J.not_a_number(J.at(r, '$["3h"]')),
     )
     broken = J.any_of([
-        _has_gap(weather, weather_blocks) & _strict_items(payload, "$.weather.list", weather_blocks),
+        _has_gap(weather, weather_blocks) & _strict_items(payload, "$.weather.list", weather, weather_blocks),
         bad_rain,
-        _has_gap(air, air_blocks) & _strict_items(payload, "$.air_quality.list", air_blocks),
+        _has_gap(air, air_blocks) & _strict_items(payload, "$.air_quality.list", air, air_blocks),
         first_dt.isNotNull() & ~F.is_variant_null(first_dt) & epoch.isNull(),
     ])
     # A missing weather list is tolerated; a missing pollution list is not (unless the document is a bare list or value).
