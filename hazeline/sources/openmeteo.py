@@ -46,7 +46,7 @@ def live(payload: Column, now: Column) -> tuple[dict[str, Column], Column]:
     }
     # The hours are only looked at where the current block has no time.
     shapeless = J.any_of([*[none for _, none in hourly.values()], ~J.truthy(time) & no_hour])
-    return values, F.when(J.kind(current) != "OBJECT", F.lit("current weather is not an object")).when(
+    return values, F.when(~J.is_object(current), F.lit("current weather is not an object")).when(
         shapeless, F.lit("hourly values are not a list")
     )
 
