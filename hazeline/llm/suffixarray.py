@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and common prefixes of neighbours in text order.
 
-Suffixes are classified as smaller or larger than their successor; the leftmost-smaller ones are sorted by their substrings, recursively where
-substrings repeat, and all others are induced from them. Over bytes a bucket's suffixes are induced as arrays, in waves of equal bytes; the much shorter
-recursion has as many letters as names and runs item by item. The end of the text counts as smaller than any letter.
+Suffixes are classified as smaller or larger than their successor; the leftmost-smaller ones are sorted by their substrings, where these repeat by
+the order of the substrings' numbers, and all others are induced from them. A bucket's suffixes are induced as arrays, in waves of equal bytes; suffixes of
+numbers are ordered by ranks over twice as many numbers each round. The end of the text counts as smaller than any letter.
 """
 
 from __future__ import annotations
@@ -12,13 +12,10 @@ import numpy as np
 
 def _smaller(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one."""
-    n = len(t)
     differs = np.flatnonzero(t[:-1] != t[1:])
-    after = np.searchsorted(differs, np.arange(n - 1))
-    out = np.zeros(n, bool)
-    inside = after < len(differs)  # an equal run up to the end is larger than the end
-    at = differs[after[inside]]
-    out[:-1][inside] = t[at] < t[at + 1]
+    out = np.zeros(len(t), bool)  # an equal run up to the end is larger than the end
+    if len(differs):
+        out[: differs[-1] + 1] = np.repeat(t[differs] < t[differs + 1], np.diff(differs, prepend=-1))
     return out
 
 
@@ -39,9 +36,9 @@ def _induced_bytes(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, whole: b
             c = t[found]
             order = np.argsort(c, kind="stable")
             found, c = found[order], c[order]
-            cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
-            for part in np.split(found, cuts):
-                to[t[part[0]]].append(part)
+            cuts = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+            for k, letter in enumerate(c[cuts[:-1]].tolist()):
+                to[letter].append(found[cuts[k] : cuts[k + 1]])
 
     c = t[lms]
     order = np.argsort(c, kind="stable")
@@ -79,37 +76,31 @@ def _induced_bytes(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, whole: b
     return found[(found > 0) & ~smaller[found - 1]]
 
 
-def _induced_names(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The same over numbers, item by item."""
-    n = len(s)
-    counts = np.bincount(s)
-    ends = np.cumsum(counts)
-    heads, tails = (ends - counts).tolist(), ends.tolist()
-    # Letter of each suffix's predecessor where that is of the kind; the last entry stands for empty places.
-    larger_before, smaller_before = np.full(n + 1, -1), np.full(n + 1, -1)
-    larger_before[1:n] = np.where(smaller[:-1], -1, s[:-1])
-    smaller_before[1:n] = np.where(smaller[:-1], s[:-1], -1)
-    sa = [-1] * n
-    for c, j in zip(s[lms[::-1]].tolist(), lms[::-1].tolist(), strict=True):
-        tails[c] -= 1
-        sa[tails[c]] = j
-    last = int(s[n - 1])
-    sa[heads[last]] = n - 1
-    heads[last] += 1
-    before = larger_before.tolist()
-    for v in sa:  # grows as it is read
-        c = before[v]
-        if c >= 0:
-            sa[heads[c]] = v - 1
-            heads[c] += 1
-    tails = ends.tolist()
-    before = smaller_before.tolist()
-    for v in reversed(sa):
-        c = before[v]
-        if c >= 0:
-            tails[c] -= 1
-            sa[tails[c]] = v - 1
-    return np.array(sa)
+def _ordered_numbers(s: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes of numbers in order: by as many numbers as a key holds, then those that still agree by twice as many each round."""
+    n, bits = len(s), (int(s.max()) + 1).bit_length()
+    step = max(1, 63 // bits)
+    padded = np.concatenate([s.astype(np.int64) + 1, np.zeros(step, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = key << bits | padded[k : k + n]
+    sa, places = np.argsort(key, kind="stable"), np.arange(n)
+    rank, key = np.empty(n + step, np.int64), key[sa]
+    items = sa
+    while True:
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        rank[items] = np.repeat(places[first], size)  # of suffixes that agree so far, their first place
+        agree = np.repeat(size > 1, size)
+        if not agree.any():
+            return sa
+        places, items = places[agree], items[agree]
+        after = items + step
+        key = rank[items] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        key, items = key[order], items[order]
+        sa[places] = items
+        step *= 2
 
 
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
@@ -134,43 +125,40 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in order; t holds bytes (uint8) or numbers from 0."""
-    n = len(t)
-    if n < 2:
-        return np.arange(n)
+    if len(t) < 2:
+        return np.arange(len(t))
+    if t.dtype != np.uint8:
+        return _ordered_numbers(t)
     smaller = _smaller(t)
     lms = _leftmost(smaller)
-    by_bytes = t.dtype == np.uint8
-    if by_bytes:
-        ordered = _induced_bytes(t, smaller, lms, False) if len(lms) else lms
-    else:
-        ordered = lms
-        if len(lms):
-            sa = _induced_names(t, smaller, lms)
-            ordered = sa[(sa > 0) & smaller[sa] & ~smaller[sa - 1]]
+    ordered = lms
     if len(lms):
+        ordered = _induced_bytes(t, smaller, lms, False)
         names, different = _names(t, lms, ordered)
         if different < len(lms):
-            ordered = lms[suffix_array(names)]
-    return _induced_bytes(t, smaller, ordered, True) if by_bytes else _induced_names(t, smaller, ordered)
+            ordered = lms[_ordered_numbers(names)]
+    return _induced_bytes(t, smaller, ordered, True)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each suffix in text order, how many bytes (most at most) it shares with the suffix before it in sa; bytes after the end are zero."""
-    padded = np.concatenate([t, np.zeros(most + 8, np.uint8)])
-    words = np.zeros(len(t) + most, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : k + len(words)]
+    size = -(-(len(t) + most) // 8) * 8
+    padded = np.concatenate([t, np.zeros(size + 8 - len(t), np.uint8)])
+    words = np.empty((size // 8, 8), np.uint64)
+    for k in range(8):  # the first byte is the lowest
+        words[:, k] = padded[k : k + size].view("<u8")
+    words = words.ravel()
     before = np.full(len(t), -1)
     before[sa[1:]] = sa[:-1]
     at = np.flatnonzero(before >= 0)
-    out = np.zeros(len(t), np.int64)
+    out = np.full(len(t), most)
+    out[sa[:1]] = 0
     to = before[at]
     for step in range(0, most, 8):
         x = words[at + step] ^ words[to + step]
         equal = x == 0
-        part = np.full(len(at), 8)
-        for k in range(8):  # leading equal bytes
-            part[(x >> np.uint64(8 * k)) != 0] = 7 - k
-        out[at] = step + part
+        x = x[~equal]
+        lowest = np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64)
+        out[at[~equal]] = step + lowest // 8
         at, to = at[equal], to[equal]
     return np.minimum(out, most)

@@ -34,6 +34,8 @@ _WINDOW = LENGTH - _GRAM + 1
 MOST_WINDOWS = 64
 #: Bytes of text whose anchors share a bucket, bytes handled at a time, and bytes of a shard.
 BUCKET_BYTES, SLICE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 1 << 17
+#: Bytes of short texts whose anchors are found together.
+CACHED_BYTES = 1 << 16
 #: An anchor whose texts are longer than so many shards is split by its windows.
 ANCHOR_SHARDS = 8
 _LAST = (1 << 63) - 1
@@ -48,34 +50,49 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of every segment of a text."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = data.astype(np.uint64) + np.uint64(1)
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window and number of windows of every segment of texts that lie one after the other, and each text's number of segments."""
+    size = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+    if not size.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(size), np.int64)
+    h = data[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
     for step in (1, 2, 4):
         h = _joined(h[:-step], h[step:])
     h = mix(_joined(_joined(h[:-16], h[8:-8]), h[16:]))
     for step in (1, 2, 4, 8):
         h = np.minimum(h[:-step], h[step:])
     h = np.minimum(h[: len(h) - (_WINDOW - 16)], h[_WINDOW - 16 :])
-    first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    # Windows that reach into the next text are left out.
+    ends = np.cumsum(size)
+    begins = ends - size
+    if len(size) > 1:
+        h = np.concatenate([h[x : x + k] for x, k in zip((offsets[:-1] - offsets[0]).tolist(), size.tolist(), strict=True) if k])
+    cut = np.concatenate([[True], h[1:] != h[:-1]])
+    cut[begins[size > 0]] = True
+    first = np.flatnonzero(cut)
     n = np.diff(np.append(first, len(h)))
     if int(n.max()) > MOST_WINDOWS:  # periodic text; where it is cut doesn't matter, as windows are compared one by one
         pieces = -(-n // MOST_WINDOWS)
         step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first, n = np.repeat(first, pieces) + step * MOST_WINDOWS, np.minimum(np.repeat(n, pieces) - step * MOST_WINDOWS, MOST_WINDOWS)
-    return h[first], first, n
+    count = np.diff(np.searchsorted(first, np.append(begins, len(h))))
+    return h[first], first - np.repeat(begins, count), n, count
 
 
-def _text_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for texts of any length, a slice at a time; a segment may be cut in two there."""
-    if len(data) <= SLICE_BYTES:
-        return anchors(data)
+def _text_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for texts of any length, a few at a time that stay in the processor's cache, or a slice of one; a segment may be cut in two there."""
     found = []
-    for a in range(0, len(data) - LENGTH + 1, SLICE_BYTES):
-        h, first, n = anchors(data[a : a + SLICE_BYTES + LENGTH - 1])
-        found.append((h, first + a, n))
+    for i, j in slices(offsets, min(CACHED_BYTES, SLICE_BYTES)):
+        a, b = int(offsets[i]), int(offsets[j])
+        if b - a <= SLICE_BYTES:
+            found.append(anchors(data, offsets[i : j + 1]))
+            continue
+        parts = []
+        for at in range(a, b - LENGTH + 1, SLICE_BYTES):
+            h, first, n, _ = anchors(data, np.array([at, min(at + SLICE_BYTES + LENGTH - 1, b)]))
+            parts.append((h, first + at - a, n))
+        h, first, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        found.append((h, first, n, np.array([len(h)])))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -111,11 +128,9 @@ def _sent(buckets: int):
             names = batch.column(0).to_numpy()
             data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
-                found = [_text_anchors(data[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
-                count = [len(f[0]) for f in found]
-                if not sum(count):
+                h, first, n, count = _text_anchors(data, offsets[i : j + 1])
+                if not len(h):
                     continue
-                h, first, n = (np.concatenate([f[k] for f in found]) for k in range(3))
                 h = (h & np.uint64((1 << 8 * _ANCHOR) - 1)).astype(np.int64)
                 name = np.repeat(names[i:j], count)
                 order = np.argsort(h, kind="stable")
@@ -216,34 +231,31 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OCCURRENCE = f"anchor bigint, seg bigint, {_KEY}, off bigint, n bigint, body binary"
 
 
-def least_ids(texts: list[bytes], ids: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """For each text, its runs of windows (first, end, least id): the least id of the texts that hold the window."""
+def least_ids(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+    """Runs of windows of the texts (text, first, end, least id): the least id of the texts that hold the window."""
     joined = np.frombuffer(b"\xff".join(texts), np.uint8)
-    starts = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
     sizes = np.array([len(x) for x in texts])
+    starts = np.cumsum(sizes + 1) - sizes - 1
     sa = suffix_array(joined)
     # Neighbours that share fewer bytes part two groups; between them all suffixes have the same window.
     group = np.cumsum(permuted_prefixes(joined, sa, LENGTH)[sa] < LENGTH)
-    owner = np.searchsorted(starts, sa, "right") - 1
+    owners = np.repeat(np.arange(len(texts)), sizes + 1)
+    owner = owners[sa]
     window = sa - starts[owner] + LENGTH <= sizes[owner]
     sa, group, owner = sa[window], group[window], owner[window]
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.full(len(joined), -1)
+    least = np.empty(len(joined), np.int64)
     least[sa] = np.repeat(np.minimum.reduceat(ids[owner], cuts), np.diff(np.append(cuts, len(sa))))
-    out = []
-    for a, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        own = least[a : a + size - LENGTH + 1]
-        first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1]).tolist()
-        out.append(list(zip(first, [*first[1:], len(own)], own[first].tolist(), strict=True)))
-    return out
+    own = np.sort(sa)
+    owner, least = owners[own], least[own]
+    opens = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])]))
+    closes = np.append(opens[1:], len(own)) - 1
+    return [owner[opens], own[opens] - starts[owner[opens]], own[closes] + 1 - starts[owner[closes]], least[opens]]
 
 
 def _sorted_shard(table: pa.Table) -> pa.Table:
-    found = least_ids(table.column("body").to_pylist(), table.column("least").to_numpy())
-    count = [len(x) for x in found]
-    flat = [r for x in found for r in x]
-    keys = [pa.array(np.repeat(table.column(c).to_numpy(), count)) for c in ("anchor", "seg")]
-    return pa.table([*keys, *(pa.array([r[k] for r in flat], pa.int64()) for k in range(3))], ["anchor", "seg", "first", "end", "least"])
+    text, *runs = least_ids(table.column("body").to_pylist(), table.column("least").to_numpy())
+    return pa.table([pa.array(x) for x in (*(table.column(c).to_numpy()[text] for c in ("anchor", "seg")), *runs)], _RUNS)
 
 
 _RUNS = ["anchor", "seg", "first", "end", "least"]
@@ -252,10 +264,11 @@ _RUNS = ["anchor", "seg", "first", "end", "least"]
 def _window_runs(occurrences: DataFrame, shard_bytes: int) -> DataFrame:
     """(anchor, seg, first, end, least): the least id of the documents that hold each window of each different segment."""
     texts = released(occurrences.groupBy("anchor", "seg").agg(F.min("o").alias("least"), F.min("n").alias("n")), "texts")
-    per_anchor = texts.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("n") + LENGTH).alias("bytes"), F.min("least").alias("only"))
-    per_anchor = released(per_anchor, "per_anchor")
-    single = texts.join(per_anchor.filter("m = 1").select("anchor"), "anchor").select("anchor", "seg", F.lit(0).cast("bigint").alias("first"), F.col("n").alias("end"), "least")
-    several = texts.join(per_anchor.filter("m > 1").select("anchor", "bytes"), "anchor").select("anchor", "seg", "least", "bytes")
+    per_anchor = texts.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("n") + LENGTH).alias("bytes"))
+    of_anchor = released(texts.join(per_anchor, "anchor").select("anchor", "seg", "least", "n", F.when(F.col("m") > 1, F.col("bytes")).alias("bytes")), "of_anchor")
+    discarded(texts)
+    single = of_anchor.filter("bytes IS NULL").select("anchor", "seg", F.lit(0).cast("bigint").alias("first"), F.col("n").alias("end"), "least")
+    several = of_anchor.filter("bytes IS NOT NULL").select("anchor", "seg", "least", "bytes")
     bodies = occurrences.filter("body IS NOT NULL").select("anchor", "seg", "body").join(several, ["anchor", "seg"])
     bodies = released(bodies.dropDuplicates(["anchor", "seg"]), "bodies")
     total = bodies.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
@@ -267,7 +280,7 @@ def _window_runs(occurrences: DataFrame, shard_bytes: int) -> DataFrame:
     least = windows.groupBy("window").agg(F.min("least").alias("window_least"))
     split = windows.join(least, "window").select("anchor", "seg", "first", (F.col("first") + 1).alias("end"), F.col("window_least").alias("least"))
     runs = released(single.select(*_RUNS).unionByName(arrays).unionByName(split), "runs")
-    discarded(texts, per_anchor, bodies)
+    discarded(of_anchor, bodies)
     return runs
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -74,6 +75,53 @@ def test_suffix_array():
             assert shared[i] == next((n for n in range(20) if padded[i + n] != padded[j + n]), 20)
 
 
+def lines_run(f, *args):
+    """What f returns, and how many lines of this subpackage ran for it."""
+    n = 0
+
+    def trace(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return trace if "hazeline" in frame.f_code.co_filename else None
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        return f(*args), n
+    finally:
+        sys.settrace(before)
+
+
+def test_shards_are_sorted_by_arrays():
+    """Not item by item: a shard of variants of a few texts, whose substrings repeat."""
+    r = random.Random(5)
+    base = [prose(k, 12)[:100] for k in range(40)]
+    texts = list(dict.fromkeys((b[: (at := r.randrange(20, 80))] + "#" + b[at + 1 :]).encode() for b in base for _ in range(20)))
+    ids = np.array([r.randrange(100) for _ in texts])
+    (text, first, end, least), n = lines_run(suffixdedup.least_ids, texts, ids)
+    assert n < len(b"".join(texts)) // 4
+    holders = {}
+    for x, i in zip(texts, ids.tolist()):
+        for k in range(len(x) - 49):
+            holders[x[k : k + 50]] = min(i, holders.get(x[k : k + 50], i))
+    got = [(t, w, i) for t, a, b, i in zip(text.tolist(), first.tolist(), end.tolist(), least.tolist()) for w in range(a, b)]
+    assert got == [(t, k, holders[x[k : k + 50]]) for t, x in enumerate(texts) for k in range(len(x) - 49)]
+
+
+@pytest.mark.parametrize(("cached", "sliced"), [(1 << 16, 4 << 20), (1 << 16, 100), (200, 1000), (1, 100)])
+def test_anchors_of_many_texts_are_those_of_each(monkeypatch, cached, sliced):
+    monkeypatch.setattr(suffixdedup, "CACHED_BYTES", cached)
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", sliced)
+    texts = [b"", b"a" * 49, prose(1, 40).encode(), b"b" * 50, b"", b"x" * 700, prose(2, 8).encode()[:50], b"xy" * 300, b"z"] * 30
+    ends = np.cumsum([0, *map(len, texts)])
+    (h, first, n, count), lines = lines_run(suffixdedup._text_anchors, np.frombuffer(b"".join(texts), np.uint8), ends)
+    each = [suffixdedup._text_anchors(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    for k, x in enumerate((h, first, n, count)):
+        assert x.tolist() == np.concatenate([e[k] for e in each]).tolist()
+    assert all(sum(e[2]) == max(len(t) - 49, 0) for e, t in zip(each, texts))
+    assert cached < 1 << 16 or sliced < 4 << 20 or lines < 10 * len(texts)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_sql(spark, sf):
     from hazeline.llm.queries import ORACLES, QUERIES
