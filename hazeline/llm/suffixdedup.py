@@ -36,6 +36,10 @@ MOST_WINDOWS = 64
 BUCKET_BYTES, SLICE_BYTES, SHARD_BYTES = 16 << 20, 4 << 20, 1 << 17
 #: Bytes of short texts whose anchors are found together.
 CACHED_BYTES = 1 << 16
+#: Bytes of text whose anchors are packed at a time: a row for each bucket, and buckets grow with the input.
+PACKED_BYTES = 16 << 20
+#: Rows sent to Spark at a time.
+ROWS = 64
 #: An anchor whose texts are longer than so many shards is split by its windows.
 ANCHOR_SHARDS = 8
 _LAST = (1 << 63) - 1
@@ -106,11 +110,14 @@ _PACKED = "bucket int, anchors binary, names binary, offs binary, ns binary, man
 _WIDTHS = (_ANCHOR, _NAME, 5, 1)
 
 
-def _pack(bucket: int, x: list[np.ndarray], many: np.ndarray, sure: bool) -> pa.RecordBatch:
-    """Numbers byte by byte, all lowest bytes first: high bytes of small numbers become runs of zeros."""
-    parts = [a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for a, w in zip(x, _WIDTHS, strict=True)]
-    columns = [pa.array([bucket], pa.int32()), *(pa.array([p], pa.binary()) for p in parts), pa.array([many.tobytes()], pa.binary()), pa.array([sure])]
-    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _PACKED.split(", ")])
+def _pack(bucket: int, x: list[np.ndarray], many: np.ndarray, sure: bool) -> tuple:
+    """A row of numbers byte by byte, all lowest bytes first: high bytes of small numbers become runs of zeros."""
+    return bucket, *(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for a, w in zip(x, _WIDTHS, strict=True)), many.tobytes(), sure
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * 5, pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in _PACKED.split(", ")])
 
 
 def _unpack(data: bytes, width: int) -> np.ndarray:
@@ -121,33 +128,48 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
 
 
 def _sent(buckets: int):
-    """Anchors of whole texts, packed by bucket: entries to compare, and the segments already known to share their anchor within the slice."""
+    """Anchors of whole texts, packed by bucket: entries to compare, and the segments already known to share their anchor within what is packed at a time."""
+
+    def packed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, name, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(h):
+            return
+        order = np.argsort(h, kind="stable")
+        h, first, n, name = h[order], first[order], n[order], name[order]
+        cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(cuts, len(h)))
+        sure = np.repeat(np.minimum.reduceat(name, cuts) < np.maximum.reduceat(name, cuts), size)
+        lead = np.zeros(len(h), bool)
+        lead[cuts] = True
+        bucket = h % buckets
+        for which, known in ((~sure | lead, False), (sure, True)):
+            at = np.flatnonzero(which)
+            at = at[np.argsort(bucket[at], kind="stable")]
+            edges = np.searchsorted(bucket[at], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                own = at[edges[b] : edges[b + 1]]
+                rows.append(_pack(b, [h[own], name[own], first[own], n[own]], sure[own], known))
+                if len(rows) == ROWS:
+                    yield _packed_rows(rows)
+                    rows = []
+            if rows:
+                yield _packed_rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
             names = batch.column(0).to_numpy()
             data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, SLICE_BYTES):
                 h, first, n, count = _text_anchors(data, offsets[i : j + 1])
-                if not len(h):
-                    continue
-                h = (h & np.uint64((1 << 8 * _ANCHOR) - 1)).astype(np.int64)
-                name = np.repeat(names[i:j], count)
-                order = np.argsort(h, kind="stable")
-                h, first, n, name = h[order], first[order], n[order], name[order]
-                cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                size = np.diff(np.append(cuts, len(h)))
-                sure = np.repeat(np.minimum.reduceat(name, cuts) < np.maximum.reduceat(name, cuts), size)
-                lead = np.zeros(len(h), bool)
-                lead[cuts] = True
-                bucket = h % buckets
-                for which, known in ((~sure | lead, False), (sure, True)):
-                    at = np.flatnonzero(which)
-                    at = at[np.argsort(bucket[at], kind="stable")]
-                    edges = np.searchsorted(bucket[at], np.arange(buckets + 1))
-                    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                        own = at[edges[b] : edges[b + 1]]
-                        yield _pack(b, [h[own], name[own], first[own], n[own]], sure[own], known)
+                found.append(((h & np.uint64((1 << 8 * _ANCHOR) - 1)).astype(np.int64), np.repeat(names[i:j], count), first, n))
+                size += int(offsets[j] - offsets[i])
+                if size >= PACKED_BYTES:
+                    yield from packed(found)
+                    found, size = [], 0
+        if found:
+            yield from packed(found)
 
     return run
 

@@ -3,6 +3,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hazeline.llm import suffixdedup
@@ -122,6 +123,18 @@ def test_anchors_of_many_texts_are_those_of_each(monkeypatch, cached, sliced):
     assert cached < 1 << 16 or sliced < 4 << 20 or lines < 10 * len(texts)
 
 
+def test_a_slice_does_not_send_a_row_for_each_bucket(monkeypatch):
+    """Buckets grow with the input, so that rows of each slice for each bucket would grow with its square."""
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", 2000)
+    texts = [prose(k % 90, 30) for k in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts)], ["k", "text"])
+    sent = list(suffixdedup._sent(70)(iter([batch] * 2)))
+    assert sum(b.num_rows for b in sent) <= 2 * 70 and len(sent) <= 4
+    table = pa.Table.from_batches(sent).sort_by("bucket")
+    got = pa.Table.from_batches(suffixdedup._shared(iter(table.to_batches())))
+    assert set(got.column("k").to_pylist()) >= {*range(10), *range(90, 100)}  # copies of one another
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_sql(spark, sf):
     from hazeline.llm.queries import ORACLES, QUERIES
